@@ -89,8 +89,8 @@ _FOLD_BLOCKS = (
 
 
 @lru_cache(maxsize=1)
-def _plain_fold_class() -> str:
-    """Regex class body of the characters that fold to their lower-case form.
+def _plain_fold_ranges() -> list[tuple[int, int]]:
+    """Code point ranges of the characters that fold to their lower-case form.
 
     Derived from the Unicode tables: a character qualifies when NFKC leaves it alone, it cannot
     combine with a neighbour, and its case folding is its lower case (sharp s is handled apart).
@@ -108,16 +108,36 @@ def _plain_fold_class() -> str:
             and len(char.lower()) == 1
         )
 
-    ranges: list[str] = []
+    ranges: list[tuple[int, int]] = []
     for low, high in _FOLD_BLOCKS:
         start = None
         for code in range(low, high + 2):
             if code <= high and plain(chr(code)):
                 start = code if start is None else start
             elif start is not None:
-                ranges.append(f"\\u{start:04x}-\\u{code - 1:04x}")
+                ranges.append((start, code - 1))
                 start = None
-    return "".join(ranges)
+    return ranges
+
+
+def _outside(ranges: list[tuple[int, int]]) -> str:
+    return "[^" + "".join(f"\\u{low:04x}-\\u{high:04x}" for low, high in ranges) + "]"
+
+
+def _needs_python(text: Column) -> Column:
+    """Some character does not fold plainly.
+
+    The few wide ranges settle nearly every text; only the rest is tried against all ranges, which
+    is slow as one character class.
+    """
+    ranges = _plain_fold_ranges()
+    wide = [r for r in ranges if r[1] - r[0] >= 90]
+    return text.rlike(_outside(wide)) & text.rlike(_outside(ranges))
+
+
+def let(value: Column, body) -> Column:
+    """`body(value)` with the value computed once per row, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def _fold_native(text: Column) -> Column:
@@ -143,12 +163,9 @@ def lexical_normalize(text: Column) -> Column:
     sees null for them and the text itself only for the rest.
     """
     plain_ascii = F.octet_length(text) == F.length(text)
-    odd = ~plain_ascii & text.rlike(f"[^{_plain_fold_class()}]")
-    return (
-        F.when(plain_ascii, F.lower(text))
-        .when(odd, _fold_python(F.when(odd, text)))
-        .otherwise(_fold_native(text))
-    )
+    odd = ~plain_ascii & _needs_python(text)
+    folded = _fold_python(F.when(odd, text))
+    return F.when(plain_ascii, F.lower(text)).otherwise(F.coalesce(folded, _fold_native(text)))
 
 
 def folded_terms(folded: Column) -> Column:
@@ -178,7 +195,7 @@ def folded_terms(folded: Column) -> Column:
 
 def lexical_terms(text: Column) -> Column:
     """Terms of raw text: Latin words and numbers, CJK bigrams, trigrams and short runs."""
-    return folded_terms(lexical_normalize(text))
+    return let(lexical_normalize(text), folded_terms)
 
 
 def index_terms(text: Column) -> Column:
