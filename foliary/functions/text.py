@@ -256,4 +256,5 @@ def canonical_document_id(text: Column) -> Column:
 
 
 def source_modified_at(mtime_ns: Column) -> Column:
-    return F.timestamp_micros(F.expr("0L") + (mtime_ns - F.pmod(mtime_ns, F.lit(1000))) / F.lit(1000))
+    """Nanosecond epoch as a timestamp."""
+    return F.timestamp_micros(F.call_function("div", mtime_ns, F.lit(1000)))
