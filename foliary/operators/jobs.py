@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from foliary.params import JOB_UNFINISHED
 
 
+def _micros(moment: Column | datetime) -> Column:
+    value = moment if isinstance(moment, Column) else F.lit(moment)
+    return F.unix_micros(value.cast("timestamp"))
+
+
 def job_progress(items: DataFrame) -> DataFrame:
     """Completed and failed item counts per job."""
     return items.groupBy("job_id").agg(
@@ -37,11 +42,9 @@ def job_progress_ratio(jobs: DataFrame) -> DataFrame:
 
 def elapsed_seconds(now: datetime | Column) -> Column:
     """Active seconds of a job row: up to its end, its pause or `now`, minus paused seconds."""
-    moment = now if isinstance(now, Column) else F.lit(now)
-    end = F.coalesce(
-        F.col("finished_at"), F.when(F.col("control_state") == "PAUSED", F.col("paused_at")), moment
-    )
-    active = (F.unix_micros(end) - F.unix_micros("started_at")) / F.lit(1e6) - F.col("paused_seconds")
+    paused = F.when(F.col("control_state") == "PAUSED", F.col("paused_at"))
+    end = F.coalesce(_micros(F.col("finished_at")), _micros(paused), _micros(now))
+    active = (end - _micros(F.col("started_at"))) / F.lit(1e6) - F.col("paused_seconds")
     return F.when(F.col("started_at").isNull(), F.lit(0)).otherwise(
         F.greatest(F.lit(0), F.bround(active, 0).cast("long"))
     ).cast("long")
@@ -59,10 +62,9 @@ def current_job(jobs: DataFrame) -> DataFrame:
 
 def stale_leases(jobs: DataFrame, now: datetime | Column, timeout_seconds: int) -> DataFrame:
     """Running, active jobs without a heartbeat since `now` minus the timeout."""
-    moment = now if isinstance(now, Column) else F.lit(now)
-    cutoff = F.timestamp_micros(F.unix_micros(moment) - timeout_seconds * 1_000_000)
+    cutoff = _micros(now) - timeout_seconds * 1_000_000
     return jobs.filter(
         (F.col("status") == "RUNNING")
         & (F.col("control_state") == "ACTIVE")
-        & (F.col("heartbeat_at").isNull() | (F.col("heartbeat_at") < cutoff))
+        & (F.col("heartbeat_at").isNull() | (_micros(F.col("heartbeat_at")) < cutoff))
     )

@@ -169,3 +169,66 @@ def cards(spark: SparkSession, sf_dir: str, params: Params = FIXTURE) -> DataFra
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), "text")
+
+
+def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A later listing: some files gone, some with other bytes, some only touched, some new."""
+    doc = F.col("id") - 1
+    files = source_files(spark, sf_dir)
+    touched = F.when((doc % 13 == 0) | (doc % 19 == 0), F.lit(5 * SECOND_NS)).otherwise(F.lit(0))
+    unreadable = doc % 29 == 0
+    kept = files.filter(doc % 11 != 0).select(
+        "relative_path",
+        (F.col("size") + F.when(doc % 13 == 0, F.lit(1)).otherwise(F.lit(0))).alias("size"),
+        (F.col("mtime_ns") + touched).alias("mtime_ns"),
+        F.when(~unreadable, F.when(doc % 13 == 0, F.sha2(F.concat("sha256", F.lit("!")), 256)).otherwise(F.col("sha256"))).alias("sha256"),
+    )
+    added = files.filter(doc % 23 == 0).select(
+        F.concat(F.lit("new/"), "relative_path").alias("relative_path"), "size", "mtime_ns",
+        F.when(~unreadable, F.col("sha256")).alias("sha256"),
+    )
+    return kept.unionByName(added)
+
+
+def job_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = (
+        F.when(F.col("event_type") == "signup", F.lit("QUEUED"))
+        .when(F.col("event_type") == "view", F.lit("RUNNING"))
+        .when(F.col("event_type") == "error", F.lit("FAILED"))
+        .otherwise(F.lit("COMPLETED"))
+    )
+    return load(spark, sf_dir, "events").select(
+        F.col("user_id").alias("job_id"), F.col("event_id").alias("item_id"), "ts", status.alias("status")
+    )
+
+
+def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    job, last = F.col("job_id"), F.max("ts")
+    status = F.element_at(F.array(*[F.lit(s) for s in ("COMPLETED", "RUNNING", "RUNNING", "QUEUED")]), (job % 4 + 1).cast("int"))
+    return job_items(spark, sf_dir).groupBy("job_id").agg(
+        F.min("ts").alias("created_at"),
+        F.when(job % 6 != 0, F.min("ts")).alias("started_at"),
+        F.when(job % 4 == 0, last).alias("finished_at"),
+        F.when(job % 4 == 1, last - F.expr("INTERVAL 1 HOUR")).alias("paused_at"),
+        ((job % 7) * F.lit(1.5)).alias("paused_seconds"),
+        F.when(job % 9 != 0, last).alias("heartbeat_at"),
+        F.count("*").alias("total_items"),
+        F.count_if(F.col("status") == "COMPLETED").alias("completed_items"),
+        F.count_if(F.col("status") == "FAILED").alias("failed_items"),
+        status.alias("status"),
+        F.when(job % 4 == 1, F.lit("PAUSED")).when(job % 10 == 3, F.lit("STOPPED")).otherwise(F.lit("ACTIVE")).alias("control_state"),
+    )
+
+
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "conversations").filter(F.col("role").isin("user", "assistant"))
+
+
+def conversation_questions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """History and question of each conversation: its last user message and what came before."""
+    said = messages(spark, sf_dir)
+    asked = said.filter("role = 'user'").groupBy("conv_id").agg(
+        F.max("turn").alias("_turn"), F.max_by("text", "turn").alias("question")
+    )
+    history = said.join(asked.select("conv_id", "_turn"), "conv_id").filter("turn < _turn").drop("_turn")
+    return history, asked.select("conv_id", "question")
