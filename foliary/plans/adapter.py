@@ -232,3 +232,87 @@ def conversation_questions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame,
     )
     history = said.join(asked.select("conv_id", "_turn"), "conv_id").filter("turn < _turn").drop("_turn")
     return history, asked.select("conv_id", "question")
+
+
+_FOUND: dict[tuple[str, str], DataFrame] = {}
+
+
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of all questions, searched once per session and kept on the checkpoint folder."""
+    from foliary.operators.lexical import top_candidates
+    from foliary.operators.sizing import settled
+
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _FOUND:
+        _FOUND[key] = settled(top_candidates(questions(spark, sf_dir), records(spark, sf_dir), FIXTURE))
+    return _FOUND[key]
+
+
+def root_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Root rows; one source is not published, so that its candidates are foreign."""
+    directory = F.concat_ws("/", "source", "lang")
+    return load(spark, sf_dir, "documents").filter("source <> 'src7'").select(
+        folder_id_of(directory).alias("folder_id"), directory.alias("source_directory"), F.concat(F.lit("Folder "), directory).alias("summary")
+    ).distinct()
+
+
+def card_parts(spark: SparkSession, sf_dir: str, params: Params = FIXTURE) -> DataFrame:
+    """Card parts as rows; one part of some documents is not on its card."""
+    docs = documents(spark, sf_dir)
+    drafts = _drafts(docs, params).filter(~((F.col("document_id") % 13 == 4) & (F.col("draft_no") == 1)))
+    columns, text = part_columns(F.col("draft_no")), _part_text()
+    return drafts.select(
+        folder_id_of(source_directory_of(F.col("relative_path"))).alias("folder_id"),
+        F.col("document_id").cast("string").alias("document_id"), columns["part_no"].alias("part_no"), columns["part_id"].alias("part_id"),
+        text["label"].alias("label"), "anchors",
+    )
+
+
+def folder_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return docs.select(
+        folder_id_of(source_directory_of(F.col("relative_path"))).alias("folder_id"), F.col("document_id").cast("string").alias("document_id"),
+        F.col("relative_path").alias("source_path"), F.substring(F.split_part(normalize_markdown(F.col("text")), F.lit("\n"), F.lit(1)), 1, TITLE_CHARS).alias("title"),
+    )
+
+
+def folder_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two router responses per question, built from the candidates, with an unknown folder."""
+    ranked = candidates(spark, sf_dir).filter(F.col("rank").isin(1, 2, 5)).groupBy("question_id").agg(
+        *[F.max(F.when(F.col("rank") == r, F.col("folder_id"))).alias(f"f{r}") for r in (1, 2, 5)]
+    )
+    q = F.col("question_id")
+    one = F.struct(
+        F.lit(0).alias("response_no"), F.when(q % 9 == 0, F.lit("small_talk")).otherwise(F.lit("answer")).alias("intent"),
+        F.array_compact(F.array(F.col("f2"), F.lit("folder-x"))).alias("selected_folders"), F.lit(" router A ").alias("display_reason"), F.lit(False).alias("need_more_information"),
+    )
+    two = F.struct(
+        F.lit(1).alias("response_no"), F.when(q % 5 == 0, F.lit("download")).when(q % 9 == 0, F.lit("small_talk")).otherwise(F.lit("answer")).alias("intent"),
+        F.array_compact(F.array(F.col("f5"), F.col("f1"))).alias("selected_folders"), F.lit("router B").alias("display_reason"), F.lit(True).alias("need_more_information"),
+    )
+    return ranked.select("question_id", F.inline(F.array(one, two)))
+
+
+def document_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two responses per question and folder: its documents with their parts, plus invalid ids."""
+    found = candidates(spark, sf_dir).groupBy("question_id", "folder_id", "document_id").agg(
+        F.min("rank").alias("best"), F.array_sort(F.collect_list(F.struct("rank", "part_id"))).alias("_parts")
+    )
+    ids = F.transform("_parts", lambda p: p["part_id"])
+    folders = found.groupBy("question_id", "folder_id").agg(
+        F.array_sort(F.collect_list(F.struct("best", "document_id", ids.alias("part_ids")))).alias("_docs")
+    )
+    q = F.col("question_id")
+
+    def document(identifier, part_ids, reason):
+        return F.struct(identifier.alias("document_id"), part_ids.alias("part_ids"), reason.alias("display_reason"))
+
+    chosen = F.transform("_docs", lambda d: document(d["document_id"], d["part_ids"], F.concat(F.lit("doc "), d["document_id"])))
+    stray = document(F.lit("x999"), F.array(F.lit("part-001")), F.lit("stray"))
+    best = F.element_at("_docs", 1)
+    again = document(best["document_id"], F.concat(F.array(F.lit("part-999")), best["part_ids"], F.array(F.lit("part-001"))), F.lit(""))
+    one = F.struct(F.lit(0).alias("response_no"), F.lit(0.8).cast("double").alias("confidence"), F.concat(chosen, F.array(stray)).alias("selected_documents"))
+    two = F.struct(
+        F.lit(1).alias("response_no"), F.when(q % 4 == 0, F.lit(0.2)).otherwise(F.lit(0.7)).cast("double").alias("confidence"), F.array(again).alias("selected_documents"),
+    )
+    return folders.select("question_id", "folder_id", F.inline(F.array(one, two)))
