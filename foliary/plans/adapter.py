@@ -288,14 +288,14 @@ def folder_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     two = F.struct(
         F.lit(1).alias("response_no"), F.when(q % 5 == 0, F.lit("download")).when(q % 9 == 0, F.lit("small_talk")).otherwise(F.lit("answer")).alias("intent"),
-        F.array_compact(F.array(F.col("f5"), F.col("f1"))).alias("selected_folders"), F.lit("router B").alias("display_reason"), F.lit(True).alias("need_more_information"),
+        F.array_compact(F.array(F.col("f5"), F.col("f1"), F.when(q % 3 == 0, folder_id_of(F.lit("src3/es"))))).alias("selected_folders"), F.lit("router B").alias("display_reason"), F.lit(True).alias("need_more_information"),
     )
     return ranked.select("question_id", F.inline(F.array(one, two)))
 
 
 def document_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two responses per question and folder: its documents with their parts, plus invalid ids."""
-    found = candidates(spark, sf_dir).groupBy("question_id", "folder_id", "document_id").agg(
+    """Two responses per question and folder: its best parts by document, plus invalid ids."""
+    found = candidates(spark, sf_dir).filter("rank <= 8").groupBy("question_id", "folder_id", "document_id").agg(
         F.min("rank").alias("best"), F.array_sort(F.collect_list(F.struct("rank", "part_id"))).alias("_parts")
     )
     ids = F.transform("_parts", lambda p: p["part_id"])
