@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("lexical_queries", "scalar_queries", "inventory_queries", "index_queries", "navigation_queries")
+AREAS = (
+    "lexical_queries", "scalar_queries", "inventory_queries", "index_queries", "navigation_queries", "check_queries",
+)
 
 
 def _merged(attribute: str) -> dict:

@@ -316,3 +316,49 @@ def document_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(1).alias("response_no"), F.when(q % 4 == 0, F.lit(0.2)).otherwise(F.lit(0.7)).cast("double").alias("confidence"), F.array(again).alias("selected_documents"),
     )
     return folders.select("question_id", "folder_id", F.inline(F.array(one, two)))
+
+
+def cited_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence of each question: its best candidates that are on a card."""
+    best = candidates(spark, sf_dir).filter("rank <= 6")
+    return best.join(card_parts(spark, sf_dir), ["folder_id", "document_id", "part_id"]).select(
+        "question_id", "rank", "folder_id", "document_id", "part_id", "label", F.array("anchors").alias("source_anchors")
+    )
+
+
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answer outputs made from the evidence, with wrong labels, unknown anchors and repeats mixed in."""
+    lines = cited_evidence(spark, sf_dir).select(
+        "question_id", F.struct("rank", "document_id", "part_id", F.to_json(F.col("source_anchors")[0]).alias("anchor"), "label").alias("e")
+    )
+    grouped = lines.groupBy("question_id").agg(F.array_sort(F.collect_list("e")).alias("_e"))
+
+    def citation(e, anchor, label):
+        return F.struct(e["document_id"].alias("document_id"), e["part_id"].alias("part_id"), anchor.alias("anchor"), label.alias("label"))
+
+    def value(document, anchor):
+        return F.struct(F.lit("v").alias("value"), document.alias("document_id"), anchor.alias("anchor"))
+
+    def conflict(subject, *values):
+        return F.struct(F.lit(subject).alias("subject"), F.array(*values).alias("values"), F.lit("differs").alias("analysis"))
+
+    citations = F.flatten(
+        F.transform(
+            "_e",
+            lambda e: F.array(
+                citation(e, e["anchor"], e["label"]), citation(e, e["anchor"], F.lit("wrong")),
+                citation(e, F.lit('{"page":9}'), e["label"]), citation(e, e["anchor"], e["label"]),
+            ),
+        )
+    )
+    first, last = F.element_at("_e", 1), F.element_at("_e", -1)
+    good, bad, other = value(first["document_id"], first["anchor"]), value(F.lit("x999"), first["anchor"]), value(last["document_id"], last["anchor"])
+    download = lambda d: F.struct(d.alias("document_id"))
+    downloads = F.concat(F.transform("_e", lambda e: download(e["document_id"])), F.array(download(F.lit("x1")), download(first["document_id"])))
+    return grouped.select(
+        "question_id",
+        F.concat(F.lit("Answer "), F.col("question_id").cast("string")).alias("answer_markdown"),
+        citations.alias("citations"),
+        F.array(conflict("one", good, bad, other), conflict("two", good, bad)).alias("conflicts"),
+        downloads.alias("downloads"),
+    )
