@@ -6,6 +6,7 @@ from importlib import import_module
 
 AREAS = (
     "lexical_queries", "scalar_queries", "inventory_queries", "index_queries", "navigation_queries", "check_queries",
+    "source_queries",
 )
 
 

@@ -269,7 +269,7 @@ UNION ALL SELECT document_id, NULL, NULL, failed_items FROM health WHERE failed_
         f"""judged AS (SELECT d.*, CASE document_id % 10 WHEN 1 THEN 'shape' WHEN 2 THEN CASE WHEN n > 1 THEN 'part id' END WHEN 3 THEN 'title' WHEN 4 THEN 'topics' WHEN 5 THEN 'part count' END AS error, items
  FROM docs d JOIN (SELECT document_id, count(*) AS n, '[' || string_agg('{{"part_id":"' || part_id || '","label":"' || label || '","summary":' || to_json(trim(part_summary, {_B}))::VARCHAR
    || ',"md_path":"md/' || document_id || '/' || part_id || '.md","source_anchors":[{{"section":"' || section || '"}}]}}', ',' ORDER BY part_no) || ']' AS items FROM parts GROUP BY document_id) USING (document_id))""",
-        select="""SELECT document_id, error, CASE WHEN error IS NULL THEN title END AS title, CASE WHEN error IS NULL THEN array_to_string(topics, ',') END AS topics,
+        select="""SELECT document_id, error, CASE WHEN error IS NULL THEN trim(title) END AS title, CASE WHEN error IS NULL THEN array_to_string(topics, ',') END AS topics,
  CASE WHEN error IS NULL THEN items END AS parts FROM judged""",
     ),
     "normalize_part_batches": sql.with_(

@@ -66,3 +66,13 @@ def number_rows(
         .withColumn(out, (F.col("_offset") + F.col("_inside")).cast("long"))
         .drop("_bucket", "_inside", "_offset")
     )
+
+
+def number_sorted(frame: DataFrame, order: list[str], out: str) -> DataFrame:
+    """1-based position of each row in the global order.
+
+    Rows are range-partitioned and written once, so that a row's partition is the same when the
+    partitions are counted and when their rows are numbered.
+    """
+    ranged = settled(frame.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    return number_rows(ranged, [], order, F.col("_range"), out).drop("_range")

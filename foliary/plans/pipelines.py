@@ -4,11 +4,152 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliary.operators import folds, navigation as N
+from foliary.functions.paths import folder_id_of, source_directory_of
+from foliary.operators import answers as W, folds, hierarchy as H, inventory as I, lexical as L, navigation as N, validate as V
+from foliary.operators.chunking import bound_drafts, chunk_sections, number_parts
+from foliary.operators.sizing import number_sorted
+from foliary.operators.tables import empty_table_marker, table_rows_to_parts
 from foliary.params import Params
+from foliary.sources import artifacts, files as S
+
+
+@dataclass(frozen=True)
+class Ingest:
+    """Result of `ingest`: the new inventory, the parts of converted documents, and what failed."""
+
+    inventory: DataFrame
+    changes: DataFrame
+    parts: DataFrame
+    rejects: DataFrame
+
+
+def assign_ids(changes: DataFrame) -> DataFrame:
+    """Gives new inventory rows the ids after the highest one, in path order."""
+    highest = changes.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
+    fresh = number_sorted(changes.filter("change = 'new'"), ["relative_path"], "_no")
+    numbered = fresh.withColumn("id", (highest + F.col("_no")).cast("long")).drop("_no")
+    return changes.filter("change <> 'new'").unionByName(numbered)
+
+
+def ingest(previous: DataFrame, listing: DataFrame, contents: DataFrame, converted_at: str, params: Params) -> Ingest:
+    """Scan diff, then parts of every new or changed document.
+
+    `listing` is a scan with hashes where `scan_candidates` asked for them; `contents` has
+    relative_path and content bytes. Every route is one DataFrame branch over its files.
+    """
+    changes = assign_ids(I.scan_diff(previous, listing))
+    inventory = I.inventory_after(changes)
+    todo = I.dispatch_by_extension(inventory.filter("source_status = 'PRESENT' AND conversion_status IN ('NEW', 'CHANGED')"))
+    source = todo.select(
+        F.col("id").alias("document_id"), "relative_path", F.col("sha256").alias("source_sha256"), F.lit(converted_at).alias("converted_at"), "extension", "extractor"
+    ).join(contents.select("relative_path", "content"), "relative_path")
+    texts, undecoded = S.read_text_documents(source)
+    keys = ["document_id", "relative_path", "source_sha256", "converted_at"]
+
+    def of(kind: str) -> DataFrame:
+        return texts.filter(F.col("extractor") == kind).select(*keys, "text")
+
+    sections = chunk_sections(of("text"), params.document_text_chars_per_part)
+    pages = S.html_pages_to_parts(of("html").withColumnRenamed("text", "html"), params.document_text_chars_per_part)
+    json_drafts, json_rejects = S.read_json_documents(of("json"))
+    xml_drafts, xml_rejects = S.read_xml_documents(of("xml"))
+    drafts = sections.unionByName(pages).unionByName(json_drafts).unionByName(xml_drafts)
+    for delimiter, extension in ((",", ".csv"), ("\t", ".tsv")):
+        tables = texts.filter(F.col("extension") == extension).select(*keys, "text")
+        batches = table_rows_to_parts(S.read_delimited_tables(tables, delimiter), params.document_excel_rows_per_part)
+        sheets = tables.select("document_id", F.lit(None).cast("string").alias("sheet"))
+        whole = batches.unionByName(empty_table_marker(batches, sheets)).withColumn("draft_no", (F.col("batch_no") + 1).cast("int"))
+        drafts = drafts.unionByName(whole.join(tables.select(*keys), "document_id").select(*keys, "draft_no", "anchors", "body"))
+    bounded = bound_drafts(drafts, params.document_text_chars_per_part)
+    parts = number_parts(bounded, ("draft_no", "segment_no"))
+
+    def refused(rows: DataFrame) -> DataFrame:
+        return rows.select("document_id", "error")
+
+    blank = of("text").filter("length(btrim(text)) = 0").select("document_id", F.lit("no text").alias("error"))
+    unread = todo.filter("extractor IS NULL OR extractor IN ('workbook', 'slides', 'word', 'pdf', 'image')").select(
+        F.col("id").alias("document_id"), F.lit("no extractor").alias("error")
+    )
+    rejects = refused(undecoded).unionByName(refused(json_rejects)).unionByName(refused(xml_rejects)).unionByName(blank).unionByName(unread)
+    return Ingest(inventory, changes, parts, rejects)
+
+
+@dataclass(frozen=True)
+class Index:
+    """Frames of a generation before it is published."""
+
+    root: DataFrame
+    folders: DataFrame
+    documents: DataFrame
+    card_parts: DataFrame
+    postings: DataFrame
+
+    def frames(self) -> dict[str, DataFrame]:
+        return {
+            "root": self.root, "folders": self.folders, "documents": self.documents, "card_parts": self.card_parts,
+            "postings": self.postings, "term_stats": L.corpus_term_stats(self.postings), "metadata": L.index_metadata(self.postings),
+        }
+
+
+def build_index(files: DataFrame, parts: DataFrame, cards: DataFrame, params: Params, current: DataFrame | None = None) -> Index:
+    """Folder, root and search index of the eligible documents.
+
+    With `current` (the compact cards of the active generation) the rows of folders whose documents and
+    cards did not change are taken over as they are.
+    """
+    eligible = I.eligible_documents(files)
+    ids = eligible.select(F.col("id").cast("string").alias("document_id"))
+    chosen = cards.join(ids, "document_id", "left_semi")
+    documents = H.group_cards_by_folder(eligible, chosen)
+    if current is not None:
+        refreshed = eligible.filter("index_status <> 'INDEXED'").select(F.col("id").cast("string").alias("document_id"))
+        reuse = H.folder_reuse_set(documents, current, refreshed)
+        kept = reuse.filter("reuse").select("folder_id")
+        documents = current.join(kept, "folder_id", "left_semi").unionByName(documents.join(kept, "folder_id", "left_anti"))
+    own = parts.join(eligible.select(F.col("id").alias("document_id")), "document_id", "left_semi")
+    records = H.cards_with_artifacts(chosen, own)
+    directory = source_directory_of(F.col("source_path"))
+    card_parts = H.explode_card_parts(chosen).withColumn("folder_id", folder_id_of(directory))
+    return Index(
+        H.build_root(documents, params), H.folder_summary(documents, params.folder_summary_topics), documents, card_parts,
+        L.part_postings(L.part_search(records)),
+    )
+
+
+def generation_violations(written: dict[str, DataFrame], eligible: DataFrame) -> DataFrame:
+    """Broken rules of a written generation; empty when it may be activated."""
+    keys = ["folder_id", "document_id", "part_id"]
+    indexed = L.indexed_parts(written["postings"]).withColumn("document_id", F.col("document_id").cast("string"))
+    whole = V.validate_generation(written["root"], written["documents"], eligible, indexed, written["card_parts"].select(*keys))
+    return whole.filter("broken > 0").select("rule").unionByName(V.validate_root(written["root"]).select("rule"))
+
+
+def publish(spark: SparkSession, index: Index, eligible: DataFrame, path: str) -> int | None:
+    """Writes, checks and activates a generation; its number, or None if a check failed."""
+    return artifacts.publish_generation(spark, index.frames(), path, lambda written: generation_violations(written, eligible))
+
+
+def search(spark: SparkSession, path: str, questions: DataFrame, params: Params) -> DataFrame | None:
+    """Candidates of a batch of questions from the active generation; None before the first one."""
+    stored = artifacts.read_current_generation(spark, path, ("postings", "term_stats"))
+    return L.search_index(questions, stored["postings"], stored["term_stats"], params) if stored else None
+
+
+def assemble_answers(evidence: DataFrame, answers: DataFrame, documents: DataFrame, files: DataFrame) -> dict[str, DataFrame]:
+    """Validated citations with their sources, conflicts and downloads.
+
+    `evidence` has question_id, document_id, part_id, label and source_anchors; `documents` has
+    question_id, document_id, source_path and title.
+    """
+    allowed = W.evidence_anchors(evidence)
+    return {
+        "citations": W.citation_source_join(W.validate_citations(answers, allowed), documents),
+        "conflicts": W.validate_conflicts(answers, allowed),
+        "downloads": W.validate_downloads(answers, documents, files),
+    }
 
 
 @dataclass(frozen=True)
