@@ -5,6 +5,7 @@ Every projection is a pure function of a row, so the same tables can be derived
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -234,18 +235,26 @@ def conversation_questions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame,
     return history, asked.select("conv_id", "question")
 
 
-_FOUND: dict[tuple[str, str], DataFrame] = {}
+_STORED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _stored(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A frame made once per session and kept on the checkpoint folder, as a stored table would be."""
+    from foliary.operators.sizing import settled
+
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STORED:
+        _STORED[key] = settled(make())
+    return _STORED[key]
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates of all questions, searched once per session and kept on the checkpoint folder."""
+    """Candidates of all questions: the stored result of the search that navigation starts from."""
     from foliary.operators.lexical import top_candidates
-    from foliary.operators.sizing import settled
 
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _FOUND:
-        _FOUND[key] = settled(top_candidates(questions(spark, sf_dir), records(spark, sf_dir), FIXTURE))
-    return _FOUND[key]
+    return _stored(
+        spark, sf_dir, "candidates", lambda: top_candidates(questions(spark, sf_dir), records(spark, sf_dir), FIXTURE)
+    )
 
 
 def root_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -257,7 +266,12 @@ def root_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def card_parts(spark: SparkSession, sf_dir: str, params: Params = FIXTURE) -> DataFrame:
-    """Card parts as rows; one part of some documents is not on its card."""
+    """Card parts as rows, stored as an index generation stores them."""
+    return _stored(spark, sf_dir, "card_parts", lambda: _card_parts(spark, sf_dir, params))
+
+
+def _card_parts(spark: SparkSession, sf_dir: str, params: Params) -> DataFrame:
+    """One part of some documents is not on its card."""
     docs = documents(spark, sf_dir)
     drafts = _drafts(docs, params).filter(~((F.col("document_id") % 13 == 4) & (F.col("draft_no") == 1)))
     columns, text = part_columns(F.col("draft_no")), _part_text()

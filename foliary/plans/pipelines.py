@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from foliary.functions.paths import folder_id_of, source_directory_of
 from foliary.operators import answers as W, folds, hierarchy as H, inventory as I, lexical as L, navigation as N, validate as V
 from foliary.operators.chunking import bound_drafts, chunk_sections, number_parts
-from foliary.operators.sizing import number_sorted
+from foliary.operators.sizing import number_sorted, settled
 from foliary.operators.tables import empty_table_marker, table_rows_to_parts
 from foliary.params import Params
 from foliary.sources import artifacts, files as S
@@ -175,7 +175,9 @@ def navigate(
 ) -> Navigation:
     """Selected documents and parts of every question from search candidates and router responses.
 
-    Social questions keep only their intent. Everything is lazy; nothing passes through the driver.
+    Social questions keep only their intent. The few frames that most later steps read (folders,
+    candidates inside them, valid choices) are written once to the checkpoint folder; otherwise every
+    step would repeat all steps before it. Nothing passes through the driver.
     """
     key = ["question_id"]
     pair = ["question_id", "folder_id"]
@@ -186,19 +188,24 @@ def navigate(
     responses = folder_selection.join(active.select(*key), key, "left_semi")
     kept, foreign = N.folder_whitelist(candidates.join(active.select(*key), key, "left_semi"), root)
     folders, unknown = N.select_folders(kept, responses, root)
+    folders = settled(folders)
     need = N.need_more_information(responses, folders)
     routed = N.cap_folders(folders, limit)
-    inside = kept.join(routed.select(*pair), pair, "left_semi")
+    inside = settled(kept.join(routed.select(*pair), pair, "left_semi"))
     routing = N.document_card_join(routed, folder_documents, inside)
     valid, missing = N.part_whitelist(inside, card_parts)
 
     choices = document_selection.join(routed.select(*pair), pair, "left_semi")
     documents, parts, bad_documents, bad_parts = N.selection_whitelist(choices, routing, card_parts)
+    documents, parts = settled(documents), settled(parts)
     merged, merged_parts = N.merge_selections(documents, parts)
     chosen, reached = N.cap_documents(merged, routed, limit)
+    chosen, reached = settled(chosen), settled(reached)
     confidence = N.min_confidence(choices, reached, active)
     held, omitted = N.cap_parts_round_robin(chosen, merged_parts, params.navigation_max_selected_parts)
+    held = settled(held)
     added = N.lexical_fallback(chosen, held, valid, active, confidence, params)
+    added = settled(added)
     all_documents, all_parts = N.add_fallback(chosen, held, added)
 
     invalid = foreign.unionByName(missing).groupBy("question_id").agg(F.sum("invalid_lexical").alias("invalid_lexical"))
