@@ -15,7 +15,7 @@ def _search(spark, sf):
 def _scores(spark, sf):
     terms = L.question_terms(A.questions(spark, sf))
     postings = L.part_postings(_search(spark, sf))
-    return L.bm25_score(L.search_postings(terms, postings), L.corpus_term_stats(postings))
+    return L.bm25_score(terms, postings, L.corpus_term_stats(postings))
 
 
 def top_candidates(spark, sf):

@@ -125,8 +125,11 @@ def search_postings(terms: DataFrame, postings: DataFrame) -> DataFrame:
     return postings.join(terms.filter(F.col("term") != EVERY_PART), "term")
 
 
-def bm25_score(hits: DataFrame, stats: DataFrame) -> DataFrame:
-    """Score units per (question, part); more is better, the public score is minus units / 1e12."""
+def posting_units(postings: DataFrame, stats: DataFrame) -> DataFrame:
+    """Postings with what each adds to the score of a question using its term, in units of 1e-12.
+
+    The gain depends on the posting alone, so it is computed once per posting and not once per hit.
+    """
     total = (
         stats.filter(F.col("term") == EVERY_PART)
         .select(F.struct(F.col("document_frequency").cast("double").alias("parts"), F.col("mean_length").alias("mean")))
@@ -140,13 +143,17 @@ def bm25_score(hits: DataFrame, stats: DataFrame) -> DataFrame:
     weight = F.col("weight").cast("double")
     norm = K1 * ((1 - B) + B * F.col("length") / mean)
     gain = F.col("idf") * (weight * (K1 + 1)) / (weight + norm)
-    return (
-        hits.join(known, "term")
-        .groupBy("question_id", "document_id", "part_no", "source_path")
-        .agg(F.sum(F.round(gain * UNITS).cast("long")).alias("units"))
+    return postings.join(known, "term").select(
+        "term", "document_id", "part_no", "source_path", F.round(gain * UNITS).cast("long").alias("units")
     )
 
 
+def bm25_score(terms: DataFrame, postings: DataFrame, stats: DataFrame) -> DataFrame:
+    """Score units per (question, part); more is better, the public score is minus units / 1e12."""
+    hits = search_postings(terms, posting_units(postings, stats))
+    return hits.groupBy("question_id", "document_id", "part_no", "source_path").agg(F.sum("units").alias("units"))
+
+
 def rank_candidates(scores: DataFrame, keep: int = SEARCH_OVERFETCH) -> DataFrame:
     """Best `keep` parts per question; equal scores keep the index order (path, id, part)."""
     order = [F.desc("units"), *PART_ORDER]
@@ -196,7 +203,7 @@ def _search_terms(questions: DataFrame, text: str) -> tuple[DataFrame, DataFrame
 
 
 def _best(terms: DataFrame, postings: DataFrame, stats: DataFrame, params: Params) -> DataFrame:
-    scores = bm25_score(search_postings(terms, postings), stats)
+    scores = bm25_score(terms, postings, stats)
     chosen = diversify_candidates(
         rank_candidates(scores), params.lexical_max_parts_per_document, params.lexical_candidate_parts
     )

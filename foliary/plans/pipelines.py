@@ -79,20 +79,29 @@ def ingest(previous: DataFrame, listing: DataFrame, contents: DataFrame, convert
 
 @dataclass(frozen=True)
 class Index:
-    """Frames of a generation before it is published."""
+    """A generation before it is published: compact cards, card parts and postings."""
 
-    root: DataFrame
-    folders: DataFrame
     documents: DataFrame
     card_parts: DataFrame
     postings: DataFrame
+    params: Params
+
+    def base(self) -> dict[str, DataFrame]:
+        return {"documents": self.documents, "card_parts": self.card_parts, "postings": self.postings}
 
-    def frames(self) -> dict[str, DataFrame]:
+    def derive(self, base: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        """Frames that follow from the base frames; given the written ones, nothing is computed twice."""
         return {
-            "root": self.root, "folders": self.folders, "documents": self.documents, "card_parts": self.card_parts,
-            "postings": self.postings, "term_stats": L.corpus_term_stats(self.postings), "metadata": L.index_metadata(self.postings),
+            "root": H.build_root(base["documents"], self.params),
+            "folders": H.folder_summary(base["documents"], self.params.folder_summary_topics),
+            "term_stats": L.corpus_term_stats(base["postings"]),
+            "metadata": L.index_metadata(base["postings"]),
         }
 
+    @property
+    def root(self) -> DataFrame:
+        return H.build_root(self.documents, self.params)
+
 
 def build_index(files: DataFrame, parts: DataFrame, cards: DataFrame, params: Params, current: DataFrame | None = None) -> Index:
     """Folder, root and search index of the eligible documents.
@@ -113,10 +122,7 @@ def build_index(files: DataFrame, parts: DataFrame, cards: DataFrame, params: Pa
     records = H.cards_with_artifacts(chosen, own)
     directory = source_directory_of(F.col("source_path"))
     card_parts = H.explode_card_parts(chosen).withColumn("folder_id", folder_id_of(directory))
-    return Index(
-        H.build_root(documents, params), H.folder_summary(documents, params.folder_summary_topics), documents, card_parts,
-        L.part_postings(L.part_search(records)),
-    )
+    return Index(documents, card_parts, L.part_postings(L.part_search(records)), params)
 
 
 def generation_violations(written: dict[str, DataFrame], eligible: DataFrame) -> DataFrame:
@@ -129,7 +135,9 @@ def generation_violations(written: dict[str, DataFrame], eligible: DataFrame) ->
 
 def publish(spark: SparkSession, index: Index, eligible: DataFrame, path: str) -> int | None:
     """Writes, checks and activates a generation; its number, or None if a check failed."""
-    return artifacts.publish_generation(spark, index.frames(), path, lambda written: generation_violations(written, eligible))
+    return artifacts.publish_generation(
+        spark, index.base(), path, index.derive, lambda written: generation_violations(written, eligible)
+    )
 
 
 def search(spark: SparkSession, path: str, questions: DataFrame, params: Params) -> DataFrame | None:
