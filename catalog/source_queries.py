@@ -10,6 +10,7 @@ from catalog import sql
 from catalog.index_queries import ROOT
 from catalog.index_queries import SQL as INDEX_SQL
 from catalog.inventory_queries import CHANGES, LISTING, JOBS
+from catalog.navigation_queries import INPUTS
 from catalog.check_queries import SQL as CHECK_SQL
 from foliary.functions import register
 from foliary.operators import folds, hierarchy as H, inventory as I, lexical as L, prompts
@@ -191,6 +192,28 @@ def part_prompt_rows(spark, sf):
     return out.select("document_id", "batch_no", "bytes", "tokens", F.sha2("request", 256).alias("digest"))
 
 
+def routing_prompt_rows(spark, sf):
+    """Document routing requests: the parts of each document as entries, packed to a budget."""
+    entry = F.to_json(F.struct("part_id", F.length("markdown").alias("size")))
+    items = A.parts(spark, sf).select("document_id", F.col("part_no").alias("pos"), entry.alias("entry_json"), F.octet_length(entry).alias("bytes"))
+    packed = folds.pack_batches(items, ["document_id"], "pos", "bytes", 60, 100, 300)
+    asked = packed.withColumn("question", F.concat(F.lit("Q"), F.col("document_id").cast("string")))
+    out = prompts.routing_prompt_rows(asked, ["document_id"], "documents", "folder_index", "Choose.")
+    return out.select("document_id", "batch_no", "request", "bytes")
+
+
+def answer_prompt_rows(spark, sf):
+    cited = A.cited_evidence(spark, sf)
+    texts = A.parts(spark, sf).select(F.col("document_id").cast("string").alias("document_id"), "part_id", F.col("markdown").alias("content"))
+    evidence = cited.join(texts, ["document_id", "part_id"]).select(
+        "question_id", F.col("document_id").cast("long").alias("doc_order"), F.col("rank").alias("part_order"), "document_id", "part_id", "label", "content", "source_anchors"
+    )
+    names = A.folder_documents(spark, sf).select("document_id", "title", F.concat("document_id", F.lit(".txt")).alias("filename"))
+    documents = evidence.select("question_id", "document_id", "doc_order").distinct().join(names, "document_id").withColumn("source_modified_at", F.lit(None).cast("string"))
+    out = prompts.answer_prompt_rows(A.questions(spark, sf), evidence, documents)
+    return out.select("question_id", "bytes", F.sha2("request", 256).alias("digest"))
+
+
 def register_functions(spark, sf):
     register.register_functions(spark)
     A.load(spark, sf, "documents").createOrReplaceTempView("registered_documents")
@@ -229,7 +252,7 @@ QUERIES = {
     for f in (
         read_text_documents, read_delimited_tables, read_json_documents, read_xml_documents, html_pages_to_parts, scan_source_tree,
         write_part_manifest, read_part_manifest, write_folder_index, write_root_index, write_lexical_index, build_index, publish_generation,
-        read_current_generation, incremental_index, search, ingest, assemble_answers, part_prompt_rows, register_functions,
+        read_current_generation, incremental_index, search, ingest, assemble_answers, part_prompt_rows, routing_prompt_rows, answer_prompt_rows, register_functions,
         stream_scan_diff, stream_job_progress,
     )
 }
@@ -288,6 +311,27 @@ FROM docs JOIN (SELECT document_id, count(*) AS n_parts, sha256(string_agg(part_
  SELECT document_id, batch_no, 'Summarise.' || chr(10) || chr(10) || 'source_path: "' || relative_path || '"' || chr(10) || 'source_extension: ".txt"' || chr(10) || chr(10)
  || string_agg('<markdown-part id="' || part_id || '">' || chr(10) || 'anchors: {"section": "' || section || '"}' || chr(10) || markdown || chr(10) || '</markdown-part>', chr(10) || chr(10) ORDER BY part_no) AS request
  FROM packed JOIN parts USING (document_id, part_no) JOIN docs USING (document_id) GROUP BY document_id, batch_no, relative_path)""",
+    ),
+    "routing_prompt_rows": sql.with_(
+        sql.parts(),
+        """entries AS MATERIALIZED (SELECT document_id, part_no, '{"part_id":"' || part_id || '","size":' || length(markdown) || '}' AS entry FROM parts),
+sized AS MATERIALIZED (SELECT document_id, part_no, strlen(entry) + 1 AS size FROM entries)""",
+        __import__("catalog.inventory_queries", fromlist=["x"])._next_fit(3 * (300 - 100 - 128) - 60 + 1, 1000000),
+        select="""SELECT document_id, batch_no, request, strlen(request)::INTEGER AS bytes FROM (
+ SELECT document_id, batch_no, 'Choose.' || chr(10) || chr(10) || 'user_question:' || chr(10) || 'Q' || document_id || chr(10) || chr(10) || 'folder_index:' || chr(10)
+ || '{"documents":[' || string_agg(entry, ',' ORDER BY part_no) || ']}' AS request FROM packed JOIN entries USING (document_id, part_no) GROUP BY document_id, batch_no)""",
+    ),
+    "answer_prompt_rows": sql.search(
+        """SELECT question_id, strlen(request)::INTEGER AS bytes, sha256(request) AS digest FROM (
+ SELECT item_id AS question_id, '{"user_question":' || to_json(text)::VARCHAR || ',"selected_markdown_parts":[' || coalesce(markdown_parts, '') || '],"source_metadata":[' || coalesce(sources, '') || ']}' AS request
+ FROM benchmark LEFT JOIN (SELECT question_id AS item_id, string_agg('{"document_id":"' || document_id || '","part_id":"' || part_id || '","markdown":' || to_json(markdown)::VARCHAR || '}', ',' ORDER BY document_id, rank) AS markdown_parts
+   FROM evid GROUP BY question_id) USING (item_id)
+ LEFT JOIN (SELECT question_id AS item_id, string_agg('{"document_id":"' || document_id || '","title":' || to_json(title)::VARCHAR || ',"filename":"' || document_id || '.txt","source_modified_at":null,"parts":[' || cited || ']}', ',' ORDER BY document_id) AS sources
+   FROM (SELECT question_id, document_id, title, string_agg('{"part_id":"' || part_id || '","citation_label":"' || label || '","anchors":[' || to_json('{"section":"' || section || '"}')::VARCHAR || ']}', ',' ORDER BY rank) AS cited
+         FROM evid JOIN docs USING (document_id) GROUP BY ALL) GROUP BY question_id) USING (item_id))""",
+        INPUTS,
+        """evid AS MATERIALIZED (SELECT c.question_id, c.rank, p.document_id, p.part_id, p.label, p.section, p.markdown
+  FROM candidates c JOIN card_parts k USING (folder_id, document_id, part_id) JOIN parts p ON p.document_id = c.document_id::BIGINT AND p.part_id = c.part_id WHERE c.rank <= 6)""",
     ),
     "register_functions": f"""SELECT doc_id, ((strlen(text) + 2) // 3)::INTEGER AS tokens, ((strlen(to_json(text)::VARCHAR) + 2) // 3)::INTEGER AS json_tokens,
  'folder-' || sha256(source || '/' || lang)[1:16] AS folder_id, CASE WHEN doc_id > 0 THEN doc_id END AS id, array_to_string({sql.terms("text")}, ' ') AS terms FROM documents""",

@@ -43,3 +43,51 @@ def part_prompt_rows(parts: DataFrame, batches: DataFrame, files: DataFrame, ins
     return grouped.join(source, "document_id").select(
         "document_id", "batch_no", request.alias("request"), F.octet_length(request).alias("bytes"), estimate_tokens(request).alias("tokens")
     )
+
+
+def routing_prompt_rows(entries: DataFrame, group: list[str], member: str, heading: str, instruction: str) -> DataFrame:
+    """One routing request per (group, batch_no): instruction, question, and the batch's index entries.
+
+    `entries` holds the group columns, batch_no, pos, question and entry_json, batched with
+    `pack_batches`, which bounds what one request collects.
+    """
+    listed = F.array_join(
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", "entry_json"))), lambda e: e["entry_json"]), ","
+    )
+    grouped = entries.groupBy(*group, "batch_no").agg(F.first("question").alias("_question"), listed.alias("_entries"))
+    request = F.concat(
+        F.lit(f"{instruction}\n\nuser_question:\n"), F.col("_question"), F.lit(f'\n\n{heading}:\n{{"{member}":['), F.col("_entries"), F.lit("]}")
+    )
+    return grouped.select(*group, "batch_no", request.alias("request"), F.octet_length(request).alias("bytes"), estimate_tokens(request).alias("tokens"))
+
+
+def answer_prompt_rows(questions: DataFrame, evidence: DataFrame, documents: DataFrame) -> DataFrame:
+    """(question_id, request): the JSON payload of an answer request.
+
+    `evidence` holds the eligible parts (doc_order, part_order, document_id, part_id, label, content and
+    source_anchors); `documents` the selected documents in order with title, filename and
+    source_modified_at. Both are capped per question, which bounds the payload.
+    """
+    keep = {"ignoreNullFields": "false"}
+
+    def ordered(*order: str, value: Column) -> Column:
+        return F.transform(F.array_sort(F.collect_list(F.struct(*order, value.alias("_json")))), lambda e: e["_json"])
+
+    part = F.to_json(F.struct("document_id", "part_id", F.col("content").alias("markdown")), keep)
+    anchors = F.transform("source_anchors", lambda a: F.to_json(a))
+    source = F.to_json(F.struct("part_id", F.col("label").alias("citation_label"), anchors.alias("anchors")), keep)
+    markdown = evidence.groupBy("question_id").agg(ordered("doc_order", "part_order", value=part).alias("_parts"))
+    sources = evidence.groupBy("question_id", "document_id").agg(F.array_join(ordered("part_order", value=source), ",").alias("_sources"))
+    head = F.to_json(F.struct("document_id", "title", "filename", "source_modified_at"), keep)
+    with_parts = F.concat(F.expr("substring(_head, 1, length(_head) - 1)"), F.lit(',"parts":['), F.coalesce("_sources", F.lit("")), F.lit("]}"))
+    listed = (
+        documents.withColumn("_head", head).join(sources, ["question_id", "document_id"], "left")
+        .groupBy("question_id").agg(ordered("doc_order", value=with_parts).alias("_documents"))
+    )
+    joined = questions.join(markdown, "question_id", "left").join(listed, "question_id", "left")
+    request = F.concat(
+        F.lit('{"user_question":'), json_string(F.col("text")),
+        F.lit(',"selected_markdown_parts":['), F.coalesce(F.array_join("_parts", ","), F.lit("")),
+        F.lit('],"source_metadata":['), F.coalesce(F.array_join("_documents", ","), F.lit("")), F.lit("]}"),
+    )
+    return joined.select("question_id", request.alias("request"), F.octet_length(request).alias("bytes"), estimate_tokens(request).alias("tokens"))
