@@ -1,11 +1,12 @@
-"""Size-checked broadcasts and skew-free numbering, shared by the operators."""
+"""Shared intermediate tables, size-checked broadcasts and skew-free numbering, shared by the operators."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -24,17 +25,39 @@ def settled_if_small(frame: DataFrame, max_rows: int = SMALL_ROWS) -> tuple[Data
     return F.broadcast(frame.sparkSession.createDataFrame(rows, schema=frame.schema)), True
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors see: the session's `spark.checkpoint.dir`.
+
+    A local session without that setting gets a folder of its own, as in tests; on a cluster the
+    missing setting is an error, since a machine's own folder is unreadable to the others.
+    """
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder shared by the driver and the executors")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+        folder = context.getCheckpointDir()
+    return folder.rstrip("/")
+
+
+def new_folder(spark: SparkSession, kind: str) -> str:
+    """A fresh path below the shared folder, removed when the session's file system closes."""
+    path = f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
+
+
 def settled(frame: DataFrame) -> DataFrame:
-    """The frame written once to the shared checkpoint folder, for results read several times.
+    """The frame written once as parquet below the shared folder, for results read several times.
 
-    The folder is the session's `spark.checkpoint.dir`; a folder of its own is made only where none
-    is configured, as in tests.
+    Unlike a checkpoint, the copy is columnar: later reads take only their columns and the planner
+    knows its size. It goes when the session ends.
     """
-    context = frame.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = frame.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return frame.checkpoint()
+    folder = new_folder(frame.sparkSession, "settled")
+    frame.write.parquet(folder)
+    return frame.sparkSession.read.schema(frame.schema).parquet(folder)
 
 
 def same_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
