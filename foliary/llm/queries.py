@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliary.llm import hosts
+from foliary.llm import hosts, nearcopies
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,8 +15,13 @@ def op6_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hosts.judged(_table(spark, sf_dir, "documents"))
 
 
+def op7_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearcopies.components(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op6_host_rules": op6_host_rules,
+    "op7_hyperminhash": op7_hyperminhash,
 }
 
 _HOST_RULES = ("few_words", "repeats", "symbols", "dup_lines")
