@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliary.llm import hosts, nearcopies
+from foliary.llm import hosts, leaks, nearcopies
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_simhash_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.findings(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op6_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hosts.judged(_table(spark, sf_dir, "documents"))
 
@@ -20,6 +24,7 @@ def op7_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_simhash_leaks": op3_simhash_leaks,
     "op6_host_rules": op6_host_rules,
     "op7_hyperminhash": op7_hyperminhash,
 }
