@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliary.llm import hosts, leaks, nearcopies
+from foliary.llm import hosts, leaks, nearcopies, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op3_simhash_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.findings(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op5_dictionary_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.stored(spark, _table(spark, sf_dir, "documents"))
+
+
 def op6_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hosts.judged(_table(spark, sf_dir, "documents"))
 
@@ -25,6 +29,7 @@ def op7_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_simhash_leaks": op3_simhash_leaks,
+    "op5_dictionary_shards": op5_dictionary_shards,
     "op6_host_rules": op6_host_rules,
     "op7_hyperminhash": op7_hyperminhash,
 }

@@ -17,7 +17,8 @@ CHUNK_BYTES = 1 << 20
 SHINGLE = 5
 
 _generator = np.random.Generator(np.random.PCG64(20_240_501))
-_BYTE = _generator.integers(1, 1 << 63, 256, dtype=np.uint64)
+_RAW_BYTE = _generator.integers(1, 1 << 63, 256, dtype=np.uint64)
+_BYTE = _RAW_BYTE.copy()
 _BYTE[65:91] = _BYTE[97:123]
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -40,6 +41,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, values: np.ndarray = _RAW_BYTE) -> np.ndarray:
+    """Hash of each span of bytes; the same bytes anywhere have the same hash."""
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(values[data] * _powers(_STEP, len(data)), out=total[1:])
+    sums = total[end] - total[start]
+    return mix(sums * _powers(_BACK, len(data) + 1)[start] + (end - start).astype(np.uint64))
+
+
 class Words:
     """The words of some texts: `hashes`, byte bounds `start` and `end`, and `first[i]:first[i+1]` for text i."""
 
@@ -55,10 +64,7 @@ class Words:
         self.start = np.flatnonzero(opens)
         self.end = np.flatnonzero(closes) + 1
         self.first = np.searchsorted(self.start, offsets)
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE[data] * _powers(_STEP, len(data)), out=total[1:])
-        sums = total[self.end] - total[self.start]
-        self.hashes = mix(sums * _powers(_BACK, len(data) + 1)[self.start] + (self.end - self.start).astype(np.uint64))
+        self.hashes = span_hashes(data, self.start, self.end, _BYTE)
 
     def grams(self, size: int) -> np.ndarray:
         """Hash of the `size` words that begin at each word, over text borders too."""
