@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliary.llm import hosts, leaks, nearcopies, tokens
+from foliary.llm import hosts, leaks, mixing, nearcopies, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,11 +27,16 @@ def op7_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearcopies.components(_table(spark, sf_dir, "documents"))
 
 
+def op10_subset_sum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken_words(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op3_simhash_leaks": op3_simhash_leaks,
     "op5_dictionary_shards": op5_dictionary_shards,
     "op6_host_rules": op6_host_rules,
     "op7_hyperminhash": op7_hyperminhash,
+    "op10_subset_sum_mix": op10_subset_sum_mix,
 }
 
 _HOST_RULES = ("few_words", "repeats", "symbols", "dup_lines")
