@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliary.llm import hosts, leaks, mixing, nearcopies, tokens
+from foliary.llm import dialogues, hosts, leaks, lines, mixing, nearcopies, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_line_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.removed_units(_table(spark, sf_dir, "documents"))
+
+
 def op3_simhash_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.findings(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -27,15 +31,21 @@ def op7_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearcopies.components(_table(spark, sf_dir, "documents"))
 
 
+def op8_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogues.perspectives(_table(spark, sf_dir, "conversations"))
+
+
 def op10_subset_sum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op2_line_hashes": op2_line_hashes,
     "op3_simhash_leaks": op3_simhash_leaks,
     "op5_dictionary_shards": op5_dictionary_shards,
     "op6_host_rules": op6_host_rules,
     "op7_hyperminhash": op7_hyperminhash,
+    "op8_perspectives": op8_perspectives,
     "op10_subset_sum_mix": op10_subset_sum_mix,
 }
 
@@ -48,6 +58,48 @@ CASE WHEN {r}_mean * (1 - {r}_mean) <= 0
        / ({r}_var - {r}_mean * (1 - {r}_mean) * share))) END"""
 
 SQL = {
+    "op2_line_hashes": """
+WITH l AS (
+  SELECT rid, doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS unit
+  FROM (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)
+),
+placed AS (
+  SELECT doc_id, unit, length(line) AS size,
+         sum(length(line) + 1) OVER (PARTITION BY rid ORDER BY unit) - length(line) - 1 AS start,
+         regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+  FROM l
+),
+u AS (SELECT *, array_to_string(w, ' ') AS norm, (doc_id, unit) AS rank FROM placed WHERE len(w) >= 25),
+r AS (SELECT *, first_value(doc_id) OVER same AS kept_doc_id, first_value(unit) OVER same AS kept_unit FROM u
+      WINDOW same AS (PARTITION BY norm ORDER BY doc_id NULLS LAST, unit))
+SELECT doc_id, unit::INTEGER AS unit, start::BIGINT AS start, (start + size)::BIGINT AS "end", len(w)::INTEGER AS n_words,
+       kept_doc_id, kept_unit::INTEGER AS kept_unit
+FROM r WHERE doc_id IS DISTINCT FROM kept_doc_id OR unit <> kept_unit
+""",
+    "op8_perspectives": """
+WITH t AS (
+  SELECT conv_id, coalesce(translate(role, '<|>' || chr(10) || chr(13), ''), 'unknown') AS role,
+         replace(coalesce(text, ''), '<|im_', '<|im-') AS said, turn
+  FROM conversations
+),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, said) AS n FROM t),
+p AS (SELECT DISTINCT conv_id, role AS speaker FROM n WHERE role <> 'system'),
+h AS (
+  SELECT n.conv_id, speaker, n, said, role = speaker AS own, '<|im_start|>' || CASE WHEN role = speaker THEN 'assistant'
+         WHEN role = 'system' THEN 'system' ELSE 'user name=' || role END || chr(10) AS head
+  FROM n JOIN p ON n.conv_id IS NOT DISTINCT FROM p.conv_id
+),
+o AS (
+  SELECT *, head || said || '<|im_end|>' || chr(10) AS piece,
+         sum(length(head || said) + 11) OVER (PARTITION BY conv_id, speaker ORDER BY n) - length(head || said) - 11 AS place
+  FROM h
+)
+SELECT conv_id, speaker, ((n - 1) // 64)::INTEGER AS block, count(*)::INTEGER AS n_turns, min(place)::BIGINT AS start,
+       string_agg(piece, '' ORDER BY n) AS text,
+       coalesce(string_agg((place + length(head))::BIGINT || ':' || (place + length(head || said) + 10)::BIGINT, ',' ORDER BY n)
+                FILTER (own), '') AS spans
+FROM o GROUP BY conv_id, speaker, (n - 1) // 64
+""",
     "op6_host_rules": f"""
 WITH d AS MATERIALIZED (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t,
