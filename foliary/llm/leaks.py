@@ -38,24 +38,24 @@ RADIUS = 15
 BLOCK_CHARS = 8_000_000
 FOUND = "doc_id long, item_id long, start long, end long, similarity double, hamming int"
 
-_BITS = np.arange(64, dtype=np.uint64)
 _EDGES = np.linspace(0, 64, RADIUS + 2).astype(int)
 
 
-def simhash(hashes: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """Fingerprint of the `length` words at each start: per bit, the majority over the words' hashes."""
-    out = np.zeros(len(starts), np.uint64)
-    if not len(starts):
-        return out
-    low, high = int(starts.min()), int(starts.max()) + length
-    spread = mix(hashes[low:high] ^ np.uint64(0x5851F42D4C957F2D))
-    for bit in _BITS:
-        sums = np.concatenate([[0], np.cumsum((spread >> bit) & np.uint64(1), dtype=np.int64)])
-        ones = sums[starts - low + length] - sums[starts - low]
-        out |= (2 * ones > length).astype(np.uint64) << bit
+def bit_sums(hashes: np.ndarray) -> np.ndarray:
+    """For each bit, how many of the first i words have it set: (words + 1) x 64."""
+    spread = mix(hashes ^ np.uint64(0x5851F42D4C957F2D))
+    out = np.zeros((len(hashes) + 1, 64), np.int32)
+    bits = np.unpackbits(spread.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    np.cumsum(bits, axis=0, dtype=np.int32, out=out[1:])
     return out
 
 
+def simhash(sums: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """Fingerprint of the `length` words at each start: per bit, the majority over the words' hashes."""
+    ones = 2 * (sums[starts + length] - sums[starts]) > length
+    return np.packbits(ones, axis=1, bitorder="little").view("<u8")[:, 0]
+
+
 def window_shingles(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of one window and how often each occurs."""
     if len(hashes) < SHINGLE:
@@ -75,12 +75,42 @@ def weighted_similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
     return both / (int(a[1].sum()) + int(b[1].sum()) - both)
 
 
+class Blocks:
+    """Fingerprints of items of one length, found by the values of their blocks of bits."""
+
+    def __init__(self, prints: np.ndarray):
+        self.prints, self.tables = prints, []
+        for low, high in zip(_EDGES[:-1], _EDGES[1:], strict=True):
+            values = block_values(prints, low, high)
+            order = np.argsort(values, kind="stable")
+            self.tables.append((order, np.searchsorted(values[order], np.arange((1 << int(high - low)) + 1))))
+
+    def within(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(print place, item place, distance) of every pair within the radius."""
+        pairs = []
+        for (order, first), low, high in zip(self.tables, _EDGES[:-1], _EDGES[1:], strict=True):
+            values = block_values(prints, low, high)
+            sizes = first[values + 1] - first[values]
+            which = np.repeat(np.arange(len(prints)), sizes)
+            inside = np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            pairs.append(which * len(self.prints) + order[first[values][which] + inside])
+        which, item = np.divmod(np.unique(np.concatenate(pairs)), len(self.prints))
+        distance = np.bitwise_count(prints[which] ^ self.prints[item])
+        near = distance <= RADIUS
+        return which[near], item[near], distance[near]
+
+
+def block_values(prints: np.ndarray, low: int, high: int) -> np.ndarray:
+    return ((prints >> np.uint64(low)) & np.uint64((1 << int(high - low)) - 1)).astype(np.int64)
+
+
 class Index:
-    """A block of items by length: fingerprints, block values, shingles; and all shingles as a sorted set."""
+    """A block of items by length: ids, shingles and fingerprints; and all shingles as a sorted set."""
 
     def __init__(self, items: list[tuple[int | None, str]]):
         column = pa.array([text for _, text in items], pa.large_string())
         self.by_length: dict[int, list] = {}
+        prints: dict[int, list] = {}
         every = [np.zeros(0, np.uint64)]
         for first, words in chunks(column):
             for i in range(len(words.offsets) - 1):
@@ -88,18 +118,12 @@ class Index:
                 if len(own):
                     shingles = window_shingles(own)
                     every.append(shingles[0])
-                    print_ = int(simhash(own, np.zeros(1, np.int64), len(own))[0])
-                    self.by_length.setdefault(len(own), []).append((items[first + i][0], print_, shingles))
+                    self.by_length.setdefault(len(own), []).append((items[first + i][0], shingles))
+                    prints.setdefault(len(own), []).append(simhash(bit_sums(own), np.zeros(1, np.int64), len(own))[0])
+        self.blocks = {length: Blocks(np.array(group, np.uint64)) for length, group in prints.items()}
         self.every = np.unique(np.concatenate(every))
         self.coarse = np.zeros(1 << 16, bool)
         self.coarse[(self.every >> np.uint64(48)).astype(np.int64)] = True
-        self.blocks: dict[int, list[dict[int, list[int]]]] = {}
-        for length, group in self.by_length.items():
-            tables: list[dict[int, list[int]]] = [{} for _ in range(RADIUS + 1)]
-            for at, (_, print_, _) in enumerate(group):
-                for table, value in zip(tables, block_values(print_), strict=True):
-                    table.setdefault(value, []).append(at)
-            self.blocks[length] = tables
 
     def known(self, hashes: np.ndarray) -> np.ndarray:
         """Which hashes are a shingle of some item."""
@@ -110,16 +134,6 @@ class Index:
             out[maybe] = self.every[place] == hashes[maybe]
         return out
 
-    def within(self, length: int, print_: int) -> list[tuple[int, int]]:
-        """(item place, distance) of every item of this length within the radius."""
-        near = {at for table, value in zip(self.blocks[length], block_values(print_), strict=True) for at in table.get(value, ())}
-        group = self.by_length[length]
-        return [(at, d) for at in sorted(near) if (d := (group[at][1] ^ print_).bit_count()) <= RADIUS]
-
-
-def block_values(print_: int) -> list[int]:
-    return [(print_ >> int(a)) & ((1 << int(b - a)) - 1) for a, b in zip(_EDGES[:-1], _EDGES[1:], strict=True)]
-
 
 def needed(window: int, item: int) -> int:
     """Fewest shared shingles with which a window of so many words can reach the similarity."""
@@ -127,40 +141,54 @@ def needed(window: int, item: int) -> int:
     return int(np.ceil(SIMILARITY * (a + b) / (1 + SIMILARITY) - 1e-9))
 
 
-def _of_text(hashes: np.ndarray, hits: np.ndarray, index: Index) -> list[tuple[int, int, int, int, float, int]]:
-    """(length, item place, first word, words, similarity, distance) of one text; hits: its places with a known shingle."""
-    out, count = [], len(hashes)
-    for length, group in index.by_length.items():
+def _starts(count: int, size: int, least: int, hits: np.ndarray) -> np.ndarray:
+    """Starts of the windows of `size` words that hold at least `least` hits.
+
+    A window at s holds the shingles at s .. s + size - 5, so from some hit not before s on, the
+    `least`-th must lie in it.
+    """
+    near, far = hits[: len(hits) - least + 1], hits[least - 1 :] - (size - SHINGLE)
+    opens, closes = np.maximum(far, 0), np.minimum(near, count - size)
+    inside = np.zeros(count - size + 2, np.int64)
+    some = opens <= closes
+    np.add.at(inside, opens[some], 1)
+    np.add.at(inside, closes[some] + 1, -1)
+    return np.flatnonzero(np.cumsum(inside[:-1]) > 0)
+
+
+class _Text:
+    """A text that may hold a passage: its words' hashes and bounds in code points."""
+
+    def __init__(self, row: int, words: Words, i: int):
+        at, end = words.first[i], words.first[i + 1]
+        self.row, self.hashes = row, words.hashes[at:end]
+        points = np.cumsum((words.data[words.offsets[i] : words.offsets[i + 1]] & 0xC0) != 0x80)
+        self.start = points[words.start[at:end] - words.offsets[i]] - 1
+        self.end = points[words.end[at:end] - 1 - words.offsets[i]]
+
+
+def _windows(hashes: np.ndarray, hits: np.ndarray, index: Index) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(item length, starts, fingerprints) of one text's windows; hits: its places with a known shingle."""
+    count, sums = len(hashes), None
+    for length in index.by_length:
         size = min(length, count)
         least = needed(size, length)
-        if least > size or (size >= SHINGLE and len(hits) < least):
-            continue
-        if size < length or size < SHINGLE:
-            starts = np.arange(count - size + 1)
-        else:
-            # A window [s, s + size) holds the shingles at s .. s + size - 5; the `least`-th hit from its first must lie in it.
-            far = hits[least - 1 :] - (size - SHINGLE)
-            near = hits[: len(hits) - least + 1]
-            spans = [np.arange(max(0, a), min(b, count - size) + 1) for a, b in zip(far, near, strict=True) if a <= b]
-            starts = np.unique(np.concatenate(spans)) if spans else np.zeros(0, np.int64)
-        if not len(starts):
+        if least > max(1, size - SHINGLE + 1) or (size >= SHINGLE and len(hits) < least):
             continue
-        for start, print_ in zip(starts.tolist(), simhash(hashes, starts, size).tolist(), strict=True):
-            for at, distance in index.within(length, print_):
-                value = weighted_similarity(window_shingles(hashes[start : start + size]), group[at][2])
-                if value >= SIMILARITY:
-                    out.append((length, at, start, size, value, distance))
-    out.sort(key=lambda x: (x[0], x[1], -x[4], x[2]))
-    best: list = []
-    for x in out:
-        if not any(y[:2] == x[:2] and x[2] < y[2] + y[3] and y[2] < x[2] + x[3] for y in best):
-            best.append(x)
-    return best
+        starts = np.arange(count - size + 1) if size < SHINGLE else _starts(count, size, least, hits)
+        if len(starts):
+            sums = bit_sums(hashes) if sums is None else sums
+            yield length, starts, simhash(sums, starts, size)
 
 
-def _scan(batch: pa.RecordBatch, index: Index) -> Iterator[tuple]:
-    """(row, item_id, start, end, similarity, distance) of every finding in a batch of texts."""
+def _scan(batch: pa.RecordBatch, index: Index) -> list[tuple]:
+    """(row, item_id, start, end, similarity, distance) of every finding in a batch of texts.
+
+    The windows of all texts of the batch meet the items of their length at once.
+    """
     short = any(length < SHINGLE for length in index.by_length)
+    texts: list[_Text] = []
+    windows: dict[int, list[tuple]] = {}
     for first, words in chunks(batch.column("text")):
         known = np.flatnonzero(index.known(words.grams(SHINGLE)))
         text = np.searchsorted(words.first, known, "right") - 1
@@ -170,19 +198,39 @@ def _scan(batch: pa.RecordBatch, index: Index) -> Iterator[tuple]:
         for i in rows.tolist():
             at, end = words.first[i], words.first[i + 1]
             hits = known[np.searchsorted(text, i) : np.searchsorted(text, i, "right")] - at
-            for length, place, start, size, value, distance in _of_text(words.hashes[at:end], hits, index):
-                opens, closes = words.start[at + start], words.end[at + start + size - 1]
-                yield (
-                    first + i, index.by_length[length][place][0], _points(words.data, words.offsets[i], opens),
-                    _points(words.data, words.offsets[i], closes), value, distance,
-                )
+            own = list(_windows(words.hashes[at:end], hits, index))
+            for length, starts, prints in own:
+                windows.setdefault(length, []).append((np.full(len(starts), len(texts)), starts, prints))
+            if own:
+                texts.append(_Text(first + i, words, i))
+    found = []
+    for length, parts in windows.items():
+        which, starts, prints = (np.concatenate(x) for x in zip(*parts, strict=True))
+        for at, place, distance in zip(*(x.tolist() for x in index.blocks[length].within(prints)), strict=True):
+            text, start, (item_id, shingles) = int(which[at]), int(starts[at]), index.by_length[length][place]
+            own = texts[text].hashes
+            size = min(length, len(own))
+            value = weighted_similarity(window_shingles(own[start : start + size]), shingles)
+            if value >= SIMILARITY:
+                found.append((text, length, place, start, size, value, distance, item_id))
+    found.sort(key=lambda x: (x[:3], -x[5], x[3]))
+    best: list[tuple] = []
+    group, taken = None, []
+    for x in found:
+        if x[:3] != group:
+            group, taken = x[:3], []
+        if all(x[3] >= end or x[3] + x[4] <= start for start, end in taken):
+            taken.append((x[3], x[3] + x[4]))
+            text = texts[x[0]]
+            best.append((text.row, x[7], int(text.start[x[3]]), int(text.end[x[3] + x[4] - 1]), x[5], x[6]))
+    return best
 
 
 def _finder(index: Index) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int32()]
         for batch in batches:
-            found = list(_scan(batch, index))
+            found = _scan(batch, index)
             columns = [pa.array([x[k + 1] for x in found], kind) for k, kind in enumerate(kinds)]
             ids = batch.column("doc_id").take(pa.array([x[0] for x in found], pa.int64()))
             yield pa.RecordBatch.from_arrays([ids, *columns], [field.split()[0] for field in FOUND.split(", ")])
@@ -200,11 +248,6 @@ def _sieve(index: Index) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
     return sieve
 
 
-def _points(data: np.ndarray, start: int, end: int) -> int:
-    """Code points between two byte places."""
-    return int(np.count_nonzero((data[start:end] & 0xC0) != 0x80))
-
-
 def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[Index]:
     """The items block by block; the driver holds one block, whose size no table decides."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter(

@@ -3,6 +3,8 @@
 import random
 from collections import Counter
 
+import numpy as np
+
 from foliary.llm import leaks
 
 DOCS, ITEMS = "doc_id long, text string, item_id string", "item_id long, text string, doc_id int"
@@ -81,11 +83,15 @@ def test_cases(spark):
 
 
 def test_radius_is_guaranteed():
-    """Any two fingerprints within the radius agree on a block."""
+    """Every fingerprint within the radius is found, none beyond it."""
     draw = random.Random(1)
+    items = [draw.getrandbits(64) for _ in range(40)]
+    prints = []
     for _ in range(300):
-        a = draw.getrandbits(64)
-        b = a
-        for bit in draw.sample(range(64), leaks.RADIUS):
-            b ^= 1 << bit
-        assert any(x == y for x, y in zip(leaks.block_values(a), leaks.block_values(b)))
+        x = draw.choice(items)
+        for bit in draw.sample(range(64), draw.randrange(leaks.RADIUS - 3, leaks.RADIUS + 4)):
+            x ^= 1 << bit
+        prints.append(x)
+    which, item, distance = leaks.Blocks(np.array(items, np.uint64)).within(np.array(prints, np.uint64))
+    expected = {(i, j): (x ^ y).bit_count() for i, x in enumerate(prints) for j, y in enumerate(items)}
+    assert dict(zip(zip(which.tolist(), item.tolist()), distance.tolist())) == {k: v for k, v in expected.items() if v <= leaks.RADIUS}
