@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliary.llm import dialogues, hosts, leaks, lines, mixing, nearcopies, tokens
+from foliary.llm import dialogues, hosts, leaks, lines, mixing, nearcopies, pages, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_host_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extracted(_table(spark, sf_dir, "pages"))
+
+
 def op2_line_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.removed_units(_table(spark, sf_dir, "documents"))
 
@@ -40,6 +44,7 @@ def op10_subset_sum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_host_paths": op1_host_paths,
     "op2_line_hashes": op2_line_hashes,
     "op3_simhash_leaks": op3_simhash_leaks,
     "op5_dictionary_shards": op5_dictionary_shards,
