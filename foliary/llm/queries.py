@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliary.llm import dialogues, hosts, leaks, lines, mixing, nearcopies, pages, tokens
+from foliary.llm import dialogues, hosts, leaks, lines, mixing, nearcopies, pages, sanitising, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op3_simhash_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.findings(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op4_unlabelled_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_dictionary_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.stored(spark, _table(spark, sf_dir, "documents"))
 
@@ -39,6 +43,10 @@ def op8_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dialogues.perspectives(_table(spark, sf_dir, "conversations"))
 
 
+def op9_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sanitising.report(_table(spark, sf_dir, "documents"))
+
+
 def op10_subset_sum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(_table(spark, sf_dir, "documents"))
 
@@ -47,10 +55,12 @@ QUERIES = {
     "op1_host_paths": op1_host_paths,
     "op2_line_hashes": op2_line_hashes,
     "op3_simhash_leaks": op3_simhash_leaks,
+    "op4_unlabelled_toxicity": op4_unlabelled_toxicity,
     "op5_dictionary_shards": op5_dictionary_shards,
     "op6_host_rules": op6_host_rules,
     "op7_hyperminhash": op7_hyperminhash,
     "op8_perspectives": op8_perspectives,
+    "op9_disclosure": op9_disclosure,
     "op10_subset_sum_mix": op10_subset_sum_mix,
 }
 

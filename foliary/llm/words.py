@@ -17,9 +17,9 @@ CHUNK_BYTES = 1 << 18
 SHINGLE = 5
 
 _generator = np.random.Generator(np.random.PCG64(20_240_501))
-_RAW_BYTE = _generator.integers(1, 1 << 63, 256, dtype=np.uint64)
-_BYTE = _RAW_BYTE.copy()
-_BYTE[65:91] = _BYTE[97:123]
+RAW_BYTE = _generator.integers(1, 1 << 63, 256, dtype=np.uint64)
+FOLDED_BYTE = RAW_BYTE.copy()
+FOLDED_BYTE[65:91] = FOLDED_BYTE[97:123]
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _STEP = 0x9E3779B97F4A7C15
@@ -41,7 +41,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, values: np.ndarray = _RAW_BYTE) -> np.ndarray:
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, values: np.ndarray = RAW_BYTE) -> np.ndarray:
     """Hash of each span of bytes; the same bytes anywhere have the same hash."""
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(values[data] * _powers(_STEP, len(data)), out=total[1:])
@@ -64,7 +64,7 @@ class Words:
         self.start = np.flatnonzero(opens)
         self.end = np.flatnonzero(closes) + 1
         self.first = np.searchsorted(self.start, offsets)
-        self.hashes = span_hashes(data, self.start, self.end, _BYTE)
+        self.hashes = span_hashes(data, self.start, self.end, FOLDED_BYTE)
 
     def grams(self, size: int) -> np.ndarray:
         """Hash of the `size` words that begin at each word, over text borders too."""
@@ -101,6 +101,21 @@ def sequence_hash(hashes: np.ndarray) -> np.uint64:
     return mix(total)[0]
 
 
+_PUNCTUATION = np.zeros(256, bool)
+_PUNCTUATION[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
+
+
+def stripped(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, start, end) of each word without up to three marks on either side; words of marks alone go."""
+    start, end = words.start.copy(), words.end.copy()
+    for _ in range(3):
+        start += (start < end) & _PUNCTUATION[words.data[np.minimum(start, len(words.data) - 1)]]
+        end -= (start < end) & _PUNCTUATION[words.data[end - 1]]
+    text = np.repeat(np.arange(len(words.offsets) - 1), np.diff(words.first))
+    some = start < end
+    return text[some], start[some], end[some]
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column, nulls as empty, and the byte offsets of its rows."""
     column = column.cast(pa.large_binary()).fill_null(b"")
