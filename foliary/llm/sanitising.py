@@ -48,6 +48,8 @@ WINDOW, SUPPORT, DISCLOSURE = 8, 3, 0.9
 #: Shortest term in bytes.
 LEAST_BYTES = 3
 _BITMAP_BITS = 24
+#: Terms that a task counts before it passes them on.
+MOST_TERMS = 200_000
 _FOUND = (
     "_row long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, copy long, "
     "context array<struct<entity:bigint,term:bigint,start:int,end:int>>"
@@ -130,16 +132,25 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _term_counts(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(term, documents) of each batch, of terms whose bit is set."""
+    """(term, documents) of terms whose bit is set, added up over a task; they are passed on when many, and at the end."""
+    terms, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(counts)], ["term", "documents"])
+
     for batch in batches:
         for _, words in chunks(batch.column("text")):
             text, start, end = stripped(words)
             hashes = span_hashes(words.data, start, end, FOLDED_BYTE)
             bit = (hashes >> np.uint64(64 - _BITMAP_BITS)).astype(np.int64)
             some = (bitmap[bit >> 3] >> (bit & 7)) & 1 == 1
-            pairs = np.unique(np.rec.fromarrays([hashes[some], text[some]]))
-            terms, counts = np.unique(pairs.f0, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(counts.astype(np.int64))], ["term", "documents"])
+            own = np.unique(np.rec.fromarrays([hashes[some], text[some]])).f0
+            terms, place = np.unique(np.concatenate([terms, own]), return_inverse=True)
+            counts = np.bincount(place, np.concatenate([counts, np.ones(len(own), np.int64)]), len(terms)).astype(np.int64)
+            if len(terms) > MOST_TERMS:
+                yield out()
+                terms, counts = terms[:0], counts[:0]
+    yield out()
 
 
 def _bitmap(terms: DataFrame) -> np.ndarray:
@@ -156,25 +167,30 @@ def _bitmap(terms: DataFrame) -> np.ndarray:
 
 def disclosing(found: DataFrame, texts: DataFrame) -> DataFrame | None:
     """(entity, term) pairs above the threshold; None where no pair has the support."""
-    documents = found.count()
-    near = found.filter(F.col("copy").isNotNull()).select("_row", "copy", F.explode("context").alias("c")).select("_row", "copy", "c.entity", "c.term").distinct()
+    documents = float(found.count())
+    near = settled(
+        found.filter(F.col("copy").isNotNull()).select("_row", "copy", F.explode("context").alias("c"))
+        .select("_row", "copy", "c.entity", "c.term").distinct()
+    )
+    # An entity without any word near it in a document names nothing there and is not counted.
+    entities = near.select("_row", "entity").distinct().groupBy("entity").agg(F.count("*").alias("with_entity"))
+    # A term is in as many documents at least as it is near any entity in: terms that cannot reach the threshold go here.
+    about = near.select("_row", "term").distinct().groupBy("term").agg(F.count("*").alias("least"))
+    bits = -F.log2(F.col("with_entity") / F.lit(documents))
     pairs = settled(
         near.groupBy("entity", "term", "copy").agg(F.count("*").alias("n")).groupBy("entity", "term")
         .agg(F.count("*").alias("copies"), F.sum("n").alias("n")).filter(F.col("copies") >= SUPPORT)
+        .join(entities, "entity").join(about, "term")
+        .filter((bits > 0) & (F.log2(F.col("n") / F.col("least")) + bits >= DISCLOSURE * bits)).drop("least")
     )
     if not pairs.take(1):
         return None
-    # An entity without any word near it in a document names nothing there and is not counted.
-    entities = near.select("_row", "entity").distinct().groupBy("entity").agg(F.count("*").alias("with_entity"))
     bitmap = _bitmap(pairs.select("term").distinct())
     terms = texts.select("text").mapInArrow(lambda b: _term_counts(b, bitmap), "term long, documents long").groupBy("term").agg(
         F.sum("documents").alias("with_term")
     )
-    bits = -F.log2(F.col("with_entity") / F.lit(float(documents)))
     revealed = F.log2(F.col("n") / F.col("with_term")) + bits
-    return settled(
-        pairs.join(entities, "entity").join(terms, "term").filter((bits > 0) & (revealed >= DISCLOSURE * bits)).select("entity", "term")
-    )
+    return settled(pairs.join(terms, "term").filter(revealed >= DISCLOSURE * bits).select("entity", "term"))
 
 
 def report(documents: DataFrame) -> DataFrame:

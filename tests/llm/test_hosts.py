@@ -50,11 +50,11 @@ def rows_of(seed):
     draw = random.Random(seed)
     rows = []
     for d in range(300):
-        source = draw.choice(["good", "good", "bad", "mixed", "", None, f"one{d}"])
-        good = draw.random() < {"good": 0.97, "bad": 0.01}.get(source, 0.6)
-        words = [f"w{draw.randrange(80)}" for _ in range(draw.randrange(50, 200) if good else draw.randrange(0, 49))]
+        source = draw.choice(["good"] * 4 + ["bad"] * 9 + ["mixed", "", None, f"one{d}"])
+        good = draw.random() < {"good": 0.97, "bad": 0.0}.get(source, 0.6)
+        words = [f"w{draw.randrange(80)}" for _ in range(draw.randrange(50, 200) if good else draw.randrange(0, 35))]
         text = "".join(w + draw.choice([" ", "  ", "\t", "\n", "\x0b", "\n \n", " # "]) for w in words)
-        rows.append((d, text if draw.random() < 0.9 else text + text, source))
+        rows.append((d, text + text if good and draw.random() < 0.1 else text, source))
     return rows + [(900, None, "good"), (901, "", None), (None, "w " * 60, "bad"), (902, "é" * 40 + "     z", "good"),
                    (3, rows[3][1], rows[3][2]), (903, "a b c d " * 20_000, "good"), (904, "a b c a b c", "one"), (905, "a a a a", "one")]
 
