@@ -1,12 +1,10 @@
 """Files, artifacts, generations, whole pipelines and streams over the tables."""
 
-import os
-import tempfile
 from urllib.parse import urlparse
 
 from pyspark.sql import functions as F
 
-from catalog import sql
+from catalog import inventory_queries, sql
 from catalog.index_queries import ROOT
 from catalog.index_queries import SQL as INDEX_SQL
 from catalog.inventory_queries import CHANGES, LISTING, JOBS
@@ -14,6 +12,7 @@ from catalog.navigation_queries import INPUTS
 from catalog.check_queries import SQL as CHECK_SQL
 from foliary.functions import register
 from foliary.operators import folds, hierarchy as H, inventory as I, lexical as L, prompts
+from foliary.operators.sizing import new_folder
 from foliary.params import Params
 from foliary.plans import adapter as A, pipelines as PL
 from foliary.sources import artifacts as AR, files as S
@@ -22,11 +21,8 @@ from foliary.streaming.state import read_version
 
 
 def scratch(spark, name):
-    """A new folder for the files of one run, below the cluster's checkpoint folder where one is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/{name}-{os.urandom(8).hex()}"
-    return tempfile.mkdtemp(prefix=f"spark-{name}-", dir="/tmp")
+    """A new folder for the files of one run, below the session's shared folder."""
+    return new_folder(spark, name)
 
 
 def _files(spark, sf, text, suffix="x"):
@@ -45,7 +41,7 @@ def read_text_documents(spark, sf):
 
 def read_delimited_tables(spark, sf):
     quoted = F.concat(F.lit('"'), F.replace("text", F.lit('"'), F.lit('""')), F.lit('",b|c\n\nlast,row,'), F.col("lang"))
-    rows = S.read_delimited_tables(_files(spark, sf, quoted), ",")
+    rows, _ = S.read_delimited_tables(_files(spark, sf, quoted), ",")
     return rows.select("document_id", "row_no", F.array_join("cells", "~").alias("cells"))
 
 
@@ -171,15 +167,24 @@ def search(spark, sf):
     return found.select("question_id", "document_id", "part_id", "rank")
 
 
-def ingest(spark, sf):
+def _ingested(spark, sf):
     docs = A.documents(spark, sf)
     contents = docs.select("relative_path", F.encode("text", "UTF-8").alias("content"))
     extra = contents.withColumn("relative_path", F.concat(F.lit("new/"), "relative_path"))
-    out = PL.ingest(A.source_files(spark, sf), A.listing(spark, sf), contents.unionByName(extra), A.CONVERTED_AT, A.FIXTURE)
+    return PL.ingest(A.source_files(spark, sf), A.listing(spark, sf), contents.unionByName(extra), A.CONVERTED_AT, A.FIXTURE)
+
+
+def ingest(spark, sf):
+    out = _ingested(spark, sf)
     named = out.parts.join(out.inventory.select(F.col("id").alias("document_id"), "relative_path"), "document_id")
     return named.select("relative_path", "part_id", "anchors.section", "body")
 
 
+def ingest_inventory(spark, sf):
+    """Every file after the ingest with its final statuses."""
+    return _ingested(spark, sf).inventory.select("relative_path", "source_status", "conversion_status", "last_error")
+
+
 def assemble_answers(spark, sf):
     evidence = A.cited_evidence(spark, sf)
     documents = A.folder_documents(spark, sf).join(evidence.select("question_id", "document_id").distinct(), "document_id")
@@ -239,9 +244,9 @@ def stream_scan_diff(spark, sf):
 def stream_job_progress(spark, sf):
     folder = scratch(spark, "progress")
     items = A.job_items(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
-    items.repartitionByRange(4, "ts").write.parquet(f"{folder}/in")
+    items.repartition(4, "item_id").write.parquet(f"{folder}/in")
     stream = spark.readStream.schema(items.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
-    query = ST.stream_job_progress(stream, f"{folder}/state", f"{folder}/checkpoint", "100 days")
+    query = ST.stream_job_progress(stream, f"{folder}/state", f"{folder}/checkpoint")
     query.processAllAvailable()
     query.stop()
     return ST.current_progress(spark, f"{folder}/state")
@@ -252,7 +257,7 @@ QUERIES = {
     for f in (
         read_text_documents, read_delimited_tables, read_json_documents, read_xml_documents, html_pages_to_parts, scan_source_tree,
         write_part_manifest, read_part_manifest, write_folder_index, write_root_index, write_lexical_index, build_index, publish_generation,
-        read_current_generation, incremental_index, search, ingest, assemble_answers, part_prompt_rows, routing_prompt_rows, answer_prompt_rows, register_functions,
+        read_current_generation, incremental_index, search, ingest, ingest_inventory, assemble_answers, part_prompt_rows, routing_prompt_rows, answer_prompt_rows, register_functions,
         stream_scan_diff, stream_job_progress,
     )
 }
@@ -303,10 +308,18 @@ FROM docs JOIN (SELECT document_id, count(*) AS n_parts, sha256(string_agg(part_
         sql.cut("todo", "relative_path", "clean", 1000),
         select="SELECT relative_path, 'part-' || lpad(n::VARCHAR, 3, '0') AS part_id, 'section-' || n AS section, chunk AS body FROM cut",
     ),
+    "ingest_inventory": sql.with_(
+        sql.FILES, LISTING, CHANGES,
+        select=f"""SELECT relative_path, source_status, CASE WHEN NOT due THEN conversion_status WHEN clean = '' THEN 'FAILED' ELSE 'READY' END AS conversion_status,
+ CASE WHEN NOT due THEN last_error WHEN clean = '' THEN 'no text' END AS last_error
+ FROM (SELECT c.*, trim(text, {sql.BLANK}) AS clean, c.source_status = 'PRESENT' AND c.conversion_status IN ('NEW', 'CHANGED') AS due
+   FROM changes c LEFT JOIN (SELECT source || '/' || lang || '/' || doc_id || '.txt' AS p, text FROM documents) d ON d.p = regexp_replace(c.relative_path, '^new/', '')
+   WHERE change NOT IN ('removed', 'skipped'))""",
+    ),
     "assemble_answers": CHECK_SQL["citation_source_join"],
     "part_prompt_rows": sql.with_(
         sql.parts(), "sized AS MATERIALIZED (SELECT document_id, part_no, length(markdown) AS size FROM parts)",
-        __import__("catalog.inventory_queries", fromlist=["x"])._next_fit(30000, 24),
+        inventory_queries._next_fit(30000, 24),
         select="""SELECT document_id, batch_no, strlen(request)::INTEGER AS bytes, ((strlen(request) + 2) // 3)::INTEGER AS tokens, sha256(request) AS digest FROM (
  SELECT document_id, batch_no, 'Summarise.' || chr(10) || chr(10) || 'source_path: "' || relative_path || '"' || chr(10) || 'source_extension: ".txt"' || chr(10) || chr(10)
  || string_agg('<markdown-part id="' || part_id || '">' || chr(10) || 'anchors: {"section": "' || section || '"}' || chr(10) || markdown || chr(10) || '</markdown-part>', chr(10) || chr(10) ORDER BY part_no) AS request
@@ -316,7 +329,7 @@ FROM docs JOIN (SELECT document_id, count(*) AS n_parts, sha256(string_agg(part_
         sql.parts(),
         """entries AS MATERIALIZED (SELECT document_id, part_no, '{"part_id":"' || part_id || '","size":' || length(markdown) || '}' AS entry FROM parts),
 sized AS MATERIALIZED (SELECT document_id, part_no, strlen(entry) + 1 AS size FROM entries)""",
-        __import__("catalog.inventory_queries", fromlist=["x"])._next_fit(3 * (300 - 100 - 128) - 60 + 1, 1000000),
+        inventory_queries._next_fit(3 * (300 - 100 - 128) - 60 + 1, 1000000),
         select="""SELECT document_id, batch_no, request, strlen(request)::INTEGER AS bytes FROM (
  SELECT document_id, batch_no, 'Choose.' || chr(10) || chr(10) || 'user_question:' || chr(10) || 'Q' || document_id || chr(10) || chr(10) || 'folder_index:' || chr(10)
  || '{"documents":[' || string_agg(entry, ',' ORDER BY part_no) || ']}' AS request FROM packed JOIN entries USING (document_id, part_no) GROUP BY document_id, batch_no)""",

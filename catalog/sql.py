@@ -1,5 +1,7 @@
 """SQL fragments shared by the DuckDB statements: the adapter projections as common tables."""
 
+from foliary.functions.text import STOP_TERMS
+
 BLANK = "(' ' || chr(9) || chr(10) || chr(13))"
 FOLD = "replace(lower({x}), 'ß', 'ss')"
 
@@ -91,13 +93,7 @@ parts AS MATERIALIZED (
 )"""
 
 
-STOP = "[" + ", ".join(
-    f"'{t}'"
-    for t in (
-        "一下 一个 什么 信息 内容 哪个 哪些 哪天 哪里 多少 如何 怎么 情况 我想 文件 文档 是否 有关 材料 "
-        "查找 相关 给出 请问 资料 这个 那个 里面 项目"
-    ).split()
-) + "]"
+STOP = "[" + ", ".join(f"'{t}'" for t in STOP_TERMS) + "]"
 
 
 def lexical(limit: int = 1000) -> str:

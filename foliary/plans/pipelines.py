@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,10 @@ from foliary.params import Params
 from foliary.sources import artifacts, files as S
 
 
+#: Routes whose files are per-file codecs without an extractor here.
+NO_EXTRACTOR = ("workbook", "slides", "word", "pdf", "image")
+
+
 @dataclass(frozen=True)
 class Ingest:
     """Result of `ingest`: the new inventory, the parts of converted documents, and what failed."""
@@ -35,17 +40,23 @@ def assign_ids(changes: DataFrame) -> DataFrame:
 
 
 def ingest(previous: DataFrame, listing: DataFrame, contents: DataFrame, converted_at: str, params: Params) -> Ingest:
-    """Scan diff, then parts of every new or changed document.
+    """Scan diff, then parts and final status of every new or changed document.
 
     `listing` is a scan with hashes where `scan_candidates` asked for them; `contents` has
-    relative_path and content bytes. Every route is one DataFrame branch over its files.
+    relative_path and content bytes. The diff is written once, and so are the contents of the files to
+    convert, by route: each route reads its own files from there, and contents are moved once.
+
+    Every converted file ends in the parts or in the rejects, never in both: READY with its parts,
+    FAILED with its first error or `no text`, or UNSUPPORTED where there is no extractor. The inventory
+    has these statuses, so a second run converts nothing and `build_index` finds the READY files.
     """
-    changes = assign_ids(I.scan_diff(previous, listing))
+    changes = settled(assign_ids(I.scan_diff(previous, listing)))
     inventory = I.inventory_after(changes)
-    todo = I.dispatch_by_extension(inventory.filter("source_status = 'PRESENT' AND conversion_status IN ('NEW', 'CHANGED')"))
-    source = todo.select(
-        F.col("id").alias("document_id"), "relative_path", F.col("sha256").alias("source_sha256"), F.lit(converted_at).alias("converted_at"), "extension", "extractor"
-    ).join(contents.select("relative_path", "content"), "relative_path")
+    todo = I.dispatch_by_extension(inventory.filter("source_status = 'PRESENT' AND conversion_status IN ('NEW', 'CHANGED')")).select(
+        F.col("id").alias("document_id"), "relative_path", F.col("sha256").alias("source_sha256"), F.lit(converted_at).alias("converted_at"), "extension",
+        F.when(~F.col("extractor").isin(*NO_EXTRACTOR), F.col("extractor")).alias("extractor"),
+    )
+    source = settled(todo.filter("extractor IS NOT NULL").join(contents.select("relative_path", "content"), "relative_path"))
     texts, undecoded = S.read_text_documents(source)
     keys = ["document_id", "relative_path", "source_sha256", "converted_at"]
 
@@ -57,24 +68,36 @@ def ingest(previous: DataFrame, listing: DataFrame, contents: DataFrame, convert
     json_drafts, json_rejects = S.read_json_documents(of("json"))
     xml_drafts, xml_rejects = S.read_xml_documents(of("xml"))
     drafts = sections.unionByName(pages).unionByName(json_drafts).unionByName(xml_drafts)
+    refused = [undecoded, json_rejects, xml_rejects]
     for delimiter, extension in ((",", ".csv"), ("\t", ".tsv")):
         tables = texts.filter(F.col("extension") == extension).select(*keys, "text")
-        batches = table_rows_to_parts(S.read_delimited_tables(tables, delimiter), params.document_excel_rows_per_part)
+        rows, table_rejects = S.read_delimited_tables(tables, delimiter)
+        batches = table_rows_to_parts(rows, params.document_excel_rows_per_part)
         sheets = tables.select("document_id", F.lit(None).cast("string").alias("sheet"))
         whole = batches.unionByName(empty_table_marker(batches, sheets)).withColumn("draft_no", (F.col("batch_no") + 1).cast("int"))
         drafts = drafts.unionByName(whole.join(tables.select(*keys), "document_id").select(*keys, "draft_no", "anchors", "body"))
+        refused.append(table_rejects)
     bounded = bound_drafts(drafts, params.document_text_chars_per_part)
-    parts = number_parts(bounded, ("draft_no", "segment_no"))
-
-    def refused(rows: DataFrame) -> DataFrame:
-        return rows.select("document_id", "error")
+    errors = reduce(DataFrame.unionByName, [r.select("document_id", "error") for r in refused]).groupBy("document_id").agg(F.min("error").alias("error"))
+    errors = settled(errors)
+    parts = settled(number_parts(bounded, ("draft_no", "segment_no")).join(errors.select("document_id"), "document_id", "left_anti"))
 
-    blank = of("text").filter("length(btrim(text)) = 0").select("document_id", F.lit("no text").alias("error"))
-    unread = todo.filter("extractor IS NULL OR extractor IN ('workbook', 'slides', 'word', 'pdf', 'image')").select(
-        F.col("id").alias("document_id"), F.lit("no extractor").alias("error")
+    status = (
+        F.when(F.col("extractor").isNull(), F.lit("UNSUPPORTED")).when(F.col("has_parts"), F.lit("READY")).otherwise(F.lit("FAILED"))
+    )
+    failed = F.coalesce("error", F.when(F.col("read"), F.lit("no text")).otherwise(F.lit("file cannot be read")))
+    outcome = settled(
+        todo.select("document_id", "extractor")
+        .join(parts.select("document_id").distinct().withColumn("has_parts", F.lit(True)), "document_id", "left")
+        .join(source.select("document_id").distinct().withColumn("read", F.lit(True)), "document_id", "left")
+        .join(errors, "document_id", "left")
+        .select("document_id", status.alias("status"), F.when(status == "UNSUPPORTED", F.lit("no extractor")).when(status == "FAILED", failed).alias("error"))
     )
-    rejects = refused(undecoded).unionByName(refused(json_rejects)).unionByName(refused(xml_rejects)).unionByName(blank).unionByName(unread)
-    return Ingest(inventory, changes, parts, rejects)
+    final = inventory.join(outcome.withColumnRenamed("document_id", "id"), "id", "left").withColumns({
+        "conversion_status": F.coalesce("status", "conversion_status"),
+        "last_error": F.when(F.col("status").isNull(), F.col("last_error")).otherwise(F.col("error")),
+    }).select(*inventory.columns)
+    return Ingest(final, changes, parts, outcome.filter("status <> 'READY'").select("document_id", "error"))
 
 
 @dataclass(frozen=True)

@@ -19,6 +19,7 @@ from foliary.functions.cells import table_cell_render
 from foliary.functions.paths import extension_of, file_name, is_ignored_source_path, is_safe_relative_path
 from foliary.functions.text import strip
 from foliary.operators.chunking import chunk_sections
+from foliary.operators.sizing import settled
 
 
 def _binary_files(spark: SparkSession, root: str) -> DataFrame:
@@ -64,24 +65,35 @@ def read_text_documents(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
 
 
-def read_delimited_tables(files: DataFrame, delimiter: str) -> DataFrame:
-    """(document_id, sheet, row_no, cells) of CSV files without header; rows count physically from 1."""
+def read_delimited_tables(files: DataFrame, delimiter: str) -> tuple[DataFrame, DataFrame]:
+    """((document_id, sheet, row_no, cells) of files without header, rejects).
+
+    Rows count physically from 1. A file that the parser refuses is a reject; its rows do not count. Each
+    file is parsed once: rows and refusals are written together.
+    """
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        csv.field_size_limit(2**31 - 1)
+        columns = ["document_id", "row_no", "raw", "error"]
         for batch in batches:
             for identifier, text in zip(batch["document_id"], batch["text"]):
                 block: list[tuple] = []
-                for number, values in enumerate(csv.reader(io.StringIO(text, newline=""), delimiter=delimiter), 1):
-                    block.append((identifier, number, values))
-                    if len(block) == 4_096:
-                        yield pd.DataFrame(block, columns=["document_id", "row_no", "raw"])
-                        block = []
+                try:
+                    for number, values in enumerate(csv.reader(io.StringIO(text, newline=""), delimiter=delimiter), 1):
+                        block.append((identifier, number, values, None))
+                        if len(block) == 4_096:
+                            yield pd.DataFrame(block, columns=columns)
+                            block = []
+                except csv.Error as error:
+                    block.append((identifier, None, None, f"invalid table: {error}"))
                 if block:
-                    yield pd.DataFrame(block, columns=["document_id", "row_no", "raw"])
+                    yield pd.DataFrame(block, columns=columns).astype({"row_no": "Int64"})
 
-    raw = files.select("document_id", "text").mapInPandas(rows, "document_id long, row_no long, raw array<string>")
+    raw = settled(files.select("document_id", "text").mapInPandas(rows, "document_id long, row_no long, raw array<string>, error string"))
+    rejects = raw.filter("error is not null").select("document_id", "error")
     cells = F.transform("raw", lambda c: table_cell_render(c, T.StringType()))
-    return raw.select("document_id", F.lit(None).cast("string").alias("sheet"), "row_no", cells.alias("cells"))
+    good = raw.filter("error is null").join(rejects.select("document_id"), "document_id", "left_anti")
+    return good.select("document_id", F.lit(None).cast("string").alias("sheet"), "row_no", cells.alias("cells")), rejects
 
 
 @F.pandas_udf(T.StringType())

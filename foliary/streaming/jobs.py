@@ -31,22 +31,21 @@ def stream_scan_diff(listings: DataFrame, inventory: DataFrame, state: str, chec
     return listings.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).start()
 
 
-def stream_job_progress(items: DataFrame, state: str, checkpoint: str, late: str = "1 hour") -> StreamingQuery:
+def stream_job_progress(items: DataFrame, state: str, checkpoint: str) -> StreamingQuery:
     """Latest status per item from a stream of item events; `current_progress` reads it.
 
-    Each micro-batch is first reduced to one row per item and then merged with the version before it.
-    Events later than the watermark are dropped by the first reduction.
+    Each micro-batch is reduced to one row per item and merged with the version before it. The latest
+    event of an item is a maximum, so order does not matter: there is no watermark and no event is late.
     """
-    latest = items.withWatermark("ts", late).groupBy("job_id", "item_id").agg(
-        F.max(F.struct("ts", "status")).alias("last")
-    )
 
     def apply(batch: DataFrame, number: int) -> None:
+        last = F.max(F.struct("ts", "status")).alias("last")
+        latest = batch.groupBy("job_id", "item_id").agg(last)
         previous = read_version(batch.sparkSession, state, before=number)
-        merged = batch if previous is None else batch.unionByName(previous)
+        merged = latest if previous is None else latest.unionByName(previous)
         write_version(merged.groupBy("job_id", "item_id").agg(F.max("last").alias("last")), state, number)
 
-    return latest.writeStream.outputMode("update").foreachBatch(apply).option("checkpointLocation", checkpoint).start()
+    return items.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).start()
 
 
 def current_progress(spark: SparkSession, state: str) -> DataFrame | None:
