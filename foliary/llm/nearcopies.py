@@ -9,14 +9,19 @@ one class; the rest of the work is on one document of each class, that with the
    the first one in use), so that every register of two texts is equal with the chance of their Jaccard.
    Bands of five registers are hashed; documents with an equal band meet in a bucket. At a similarity of
    0.75 a pair misses all 60 bands with a chance of 9e-8, and less above it.
-3. No bucket emits all its pairs. First every document of a bucket is paired with the bucket's smallest
-   document. Links found join documents to components. Where a bucket still holds several components,
-   its documents outside the largest one are paired with those of other components. A bucket of
-   thousands of copies so costs one pair a document, and no link between components is lost.
-4. A pair's Jaccard is estimated from equal registers less the expected chance collisions. Only pairs
+3. A document also keeps one bit of each of 256 registers. Unequal registers share a bit by chance half the
+   time, so d unequal bits estimate a Jaccard of 1 - 2 d / 256. Pairs that meet but estimate below 0.5 are
+   passed over; at a similarity of 0.75 that is a chance of 1e-7.
+4. No bucket emits all its pairs. First every document of a bucket is paired with the bucket's centre, the
+   document that meets the most others over all its buckets. Links found join documents to components.
+   Where a bucket still holds several components, its documents outside the largest one are paired with
+   those of other components, unless too many of a document's shingles are in no other one for any of its
+   pairs to reach the threshold. A bucket of thousands of copies so costs one pair a document, and no link
+   between components is lost.
+5. A pair's Jaccard is estimated again from equal registers less the expected chance collisions. Only pairs
    far below the threshold are dropped (six standard deviations and more); all others are confirmed on
    their full shingle sets: 100 * intersection >= 75 * union.
-5. Components come from rounds of large-star and small-star rewiring in Spark; the driver sees a count.
+6. Components come from rounds of large-star and small-star rewiring in Spark; the driver sees a count.
 
 Cases: a text without words has an empty set and is linked with nothing. Rows with a null doc_id are
 linked with nothing and have a null component. Rows with one doc_id are one document. An empty table
@@ -40,6 +45,8 @@ BAND = 5
 MANTISSA_BITS = 10
 #: Similarity in hundredths.
 THRESHOLD = 75
+#: Longs of register bits kept with a document, and the most unequal ones of a pair that is looked at.
+SKETCH, MOST_UNEQUAL = 4, 64
 #: Registers in use from which an estimate may drop a pair, and how many standard deviations below the threshold.
 ESTIMATE_FROM, DEVIATIONS = 64, 6.0
 #: Constant of the expected collisions of two HyperMinHash sketches (Yu and Weber, 2017), a fixed value.
@@ -50,6 +57,9 @@ _SECOND = np.uint64(0xA0761D6478BD642F)
 _RANK = np.random.Generator(np.random.PCG64(20_170_101)).random((REGISTERS, REGISTERS)).argsort(axis=1).astype(np.int16)
 
 
+_BITS = tuple(f"s{j}" for j in range(SKETCH))
+
+
 def registers(shingles: np.ndarray, rows: np.ndarray, count: int) -> np.ndarray:
     """HyperMinHash registers (count x REGISTERS, uint16; 0 for an empty bucket) of hashes and their row."""
     least = np.full(count * REGISTERS, np.iinfo(np.uint64).max, np.uint64)
@@ -81,6 +91,13 @@ def bands(codes: np.ndarray) -> np.ndarray:
     return np.where(groups.any(axis=2), total, 0).astype(np.uint64).view(np.int64)
 
 
+def sketches(codes: np.ndarray) -> np.ndarray:
+    """One well mixed bit of each of the first registers (rows x SKETCH, int64)."""
+    some = codes[:, : 64 * SKETCH].astype(np.uint64)
+    bits = (mix(some ^ (np.arange(some.shape[1], dtype=np.uint64) << np.uint64(20))) & np.uint64(1)).astype(np.uint8)
+    return np.packbits(bits, axis=1, bitorder="little").view("<i8")
+
+
 def estimate(a: np.ndarray, b: np.ndarray, n: int, m: int) -> tuple[float, int]:
     """Jaccard from two register rows, corrected for chance collisions, and the registers in use."""
     used = int(np.count_nonzero(a | b))
@@ -96,7 +113,8 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = len(words.offsets) - 1
             shingles, bounds = words.shingle_rows()
             codes = registers(shingles, np.repeat(np.arange(rows), np.diff(bounds)), rows)
-            keys = bands(densified(codes))
+            full = densified(codes)
+            keys, bits = bands(full), sketches(full)
             sizes, low, high = np.zeros(rows, np.int64), np.zeros(rows, np.uint64), np.zeros(rows, np.uint64)
             for i in range(rows):
                 own = np.unique(shingles[bounds[i] : bounds[i + 1]])
@@ -108,8 +126,9 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     batch.column("doc_id")[first : first + rows], pa.array(sizes),
                     pa.array(low.view(np.int64)), pa.array(high.view(np.int64)),
                     pa.ListArray.from_arrays(pa.array(np.concatenate([[0], filled.sum(axis=1).cumsum()]), pa.int32()), pa.array(keys[filled])),
+                    *(pa.array(bits[:, j].copy()) for j in range(SKETCH)),
                 ],
-                ["doc_id", "n", "f1", "f2", "keys"],
+                ["doc_id", "n", "f1", "f2", "keys", *_BITS],
             )
 
 
@@ -124,6 +143,16 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, shingle), each of a text's distinct shingles once."""
+    for batch in batches:
+        for first, words in chunks(batch.column("text")):
+            shingles, bounds = words.shingle_rows()
+            own = [np.unique(shingles[bounds[i] : bounds[i + 1]]) for i in range(len(bounds) - 1)]
+            ids = batch.column("doc_id").take(pa.array(np.repeat(np.arange(len(own)) + first, [len(x) for x in own])))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate([*own, np.zeros(0, np.uint64)]).view(np.int64))], ["doc_id", "gram"])
+
+
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b) whose estimate may reach the threshold and whose full sets do."""
     bound = THRESHOLD / 100
@@ -148,7 +177,7 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _links(pairs: DataFrame, documents: DataFrame) -> DataFrame:
-    """The confirmed pairs. Only texts of paired documents are read into sets; `documents` has one row a doc_id."""
+    """The confirmed pairs. Only texts of paired documents become sets."""
     pairs = settled(pairs)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     sets = settled(
@@ -193,48 +222,96 @@ def connected(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("doc_id"), F.col("v").alias("root"))
 
 
-def _similar_sizes(n: str, m: str) -> str:
-    return f"100 * least({n}, {m}) >= {THRESHOLD} * greatest({n}, {m})"
+def _alike(a: str, b: str) -> str:
+    """Whether a pair may reach the threshold by its sizes and register bits; columns begin with `a` and `b`."""
+    unequal = " + ".join(f"bit_count({a}{s} ^ {b}{s})" for s in _BITS)
+    return f"100 * least({a}n, {b}n) >= {THRESHOLD} * greatest({a}n, {b}n) and {unequal} <= {MOST_UNEQUAL}"
+
+
+def _prefixed(frame: DataFrame, prefix: str) -> DataFrame:
+    return frame.select(*[F.col(c).alias(f"{prefix}{c}") for c in frame.columns])
+
+
+def _open_pairs(split: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components that share a bucket or a rare shingle and may reach the threshold.
+
+    A shingle is rare that at most three of these documents have. The intersection of two documents is at
+    most the smaller of their counts of other shingles, and the rare ones they share. Pairs that need no
+    rare shingle for it come from the buckets; those that share one, straight from its two or three documents.
+    """
+    grams = texts.join(split.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_grams, "doc_id long, gram long")
+    total, low, high = F.sum(F.col("doc_id").cast("decimal(20,0)")), F.min("doc_id"), F.max("doc_id")
+    rare = settled(grams.groupBy("gram").agg(F.count("*").alias("documents"), low.alias("low"), high.alias("high"), total.alias("total")).filter(
+        "documents <= 3"
+    ).select(F.expr("array_sort(array_distinct(if(documents = 3, array(low, high, cast(total - low - high as long)), array(low, high))))").alias("own")))
+    counts = rare.select(F.explode("own").alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("rare"))
+    people = settled(
+        split.select("doc_id", "root", "n", *_BITS).distinct().join(counts, "doc_id", "left")
+        .withColumn("most", F.col("n") - F.coalesce("rare", F.lit(0)))
+    )
+
+    def may(shared: str) -> str:
+        return (
+            f"x_root <> y_root and {100 + THRESHOLD} * (least(x_most, y_most) + {shared}) >= {THRESHOLD} * (x_n + y_n) and "
+            + _alike("x_", "y_")
+        )
+
+    x, y = _prefixed(people.drop("rare"), "x_"), _prefixed(people.drop("rare"), "y_")
+    sharing = (
+        rare.filter(F.size("own") > 1).select(F.explode(F.expr(
+            "if(size(own) = 2, array(struct(own[0] as a, own[1] as b)), array(struct(own[0] as a, own[1] as b), struct(own[0] as a, own[2] as b), struct(own[1] as a, own[2] as b)))"
+        )).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("shared"))
+    )
+    by_shingle = sharing.join(x, sharing["a"] == x["x_doc_id"]).join(y, sharing["b"] == y["y_doc_id"]).filter(may("shared")).select("a", "b")
+
+    # A pair that meets in several buckets is taken in the first: each row has its document's at most 60 keys.
+    keys = split.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
+    placed = split.select("key", "doc_id", "main", "head").join(people.drop("rare"), "doc_id").join(keys, "doc_id").filter(
+        f"100 * most >= {THRESHOLD} * n"
+    )
+    minor = _prefixed(placed.filter("root <> main").drop("main", "head"), "x_").withColumnRenamed("x_key", "key")
+    other = _prefixed(placed, "y_").withColumnRenamed("y_key", "key")
+    by_bucket = minor.join(other, "key").filter(
+        "(y_root = y_main or x_doc_id < y_doc_id) and x_doc_id <> y_head and y_doc_id <> y_head and " + may("0")
+        + " and key = array_min(array_intersect(x_keys, y_keys))"
+    ).select(F.least("x_doc_id", "y_doc_id").alias("a"), F.greatest("x_doc_id", "y_doc_id").alias("b"))
+    return by_bucket.unionByName(by_shingle).distinct()
 
 
 def components(documents: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept (see the module's text)."""
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signatures = settled(texts.mapInArrow(_signatures, "doc_id long, n long, f1 long, f2 long, keys array<long>"))
+    signatures = settled(texts.mapInArrow(
+        _signatures, "doc_id long, n long, f1 long, f2 long, keys array<long>, " + ", ".join(f"{s} long" for s in _BITS)
+    ))
     named = signatures.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     classes = settled(
         named.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"))
     )
     reps = classes.select(F.col("rep").alias("doc_id")).distinct()
-    members = (
-        named.join(reps, "doc_id", "left_semi").select("doc_id", "n", F.explode("keys").alias("key"))
-    )
-    heads = settled(
-        members.groupBy("key").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("tail"), F.min_by("n", "doc_id").alias("head_n"))
-        .filter("head < tail").drop("tail")
-    )
-    met = settled(members.join(heads, "key").select("key", "doc_id", "n", "head", "head_n"))
-    stars = met.filter(f"doc_id <> head and {_similar_sizes('n', 'head_n')}").select(
-        F.col("head").alias("a"), F.col("doc_id").alias("b")
-    ).distinct()
-    one_each = texts.join(reps, "doc_id", "left_semi")
-    links = _links(stars, one_each)
+    mine = named.join(reps, "doc_id", "left_semi")
+    sketch = mine.select("doc_id", "n", *_BITS)
+    keys = mine.select("doc_id", F.explode("keys").alias("key"))
+    shared = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    shared = settled(keys.join(shared.filter("low < high").select("key", "size"), "key"))
+    # What many others are copies of has the most company; it is the centre of its buckets.
+    company = shared.groupBy("doc_id").agg(F.sum("size").alias("company"))
+    centres = shared.join(company, "doc_id").groupBy("key").agg(F.max_by("doc_id", F.struct("company", -F.col("doc_id"))).alias("h_doc_id"))
+    centres = centres.join(_prefixed(sketch, "h_"), "h_doc_id")
+    met = settled(shared.join(sketch, "doc_id").join(centres, "key").select(
+        "key", "doc_id", "n", *_BITS, F.col("h_doc_id").alias("head"), F.expr(_alike("", "h_")).alias("near")
+    ))
+    stars = met.filter("near and doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct()
+    links = _links(stars, texts)
     roots = connected(links)
 
-    placed = met.join(roots, "doc_id", "left").select(
-        "key", "doc_id", "n", "head", F.coalesce("root", "doc_id").alias("root")
-    )
+    placed = met.drop("near").join(roots, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
     largest = placed.groupBy("key", "root").count().groupBy("key").agg(
         F.max_by("root", F.struct("count", "root")).alias("main"), F.count("*").alias("roots")
     ).filter("roots > 1").drop("roots")
     split = settled(placed.join(largest, "key"))
     if split.take(1):
-        minor = split.filter("root <> main").select("key", F.col("doc_id").alias("x"), F.col("n").alias("xn"), F.col("root").alias("xr"))
-        other = split.select("key", F.col("doc_id").alias("y"), F.col("n").alias("yn"), F.col("root").alias("yr"), "main", "head")
-        rest = minor.join(other, "key").filter(
-            f"xr <> yr and (yr = main or x < y) and x <> head and y <> head and {_similar_sizes('xn', 'yn')}"
-        ).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        links = links.unionByName(_links(rest, one_each))
+        links = links.unionByName(_links(_open_pairs(split, texts), texts))
         roots = connected(links)
 
     rooted = classes.join(roots.withColumnRenamed("doc_id", "rep"), "rep", "left").select(
