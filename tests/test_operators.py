@@ -31,12 +31,12 @@ def ask(spark, records, *questions, params=Params(lexical_candidate_parts=12)):
 
 def test_exact_facts_are_recalled(spark):
     records = [
-        record("1", 1, "付款信息", "乙方账号为0200003319221666670，开户行为工商银行。"),
-        record("2", 3, "保密协议", "双方于2024年3月20日签订保密协议，未特别规定的信息需永久保密。"),
+        record("1", 1, "仓库钥匙", "红色仓库的编号为7731905524，管理员姓林。"),
+        record("2", 3, "租船合约", "木船于2019年7月8日租出，押金在归还木船后退回。"),
     ]
-    account, number, secrecy, nothing = ask(spark, records, "乙方账号是多少？", "0200003319221666670", "保密协议是哪天签的，保密期限多久？", "？")
-    assert account[0]["document_id"] == "1" and number[0]["document_id"] == "1"
-    assert (secrecy[0]["document_id"], secrecy[0]["part_id"]) == ("2", "part-003")
+    store, number, boat, nothing = ask(spark, records, "红色仓库编号？", "7731905524", "租船合约的押金几时退回？", "？")
+    assert store[0]["document_id"] == "1" and number[0]["document_id"] == "1"
+    assert (boat[0]["document_id"], boat[0]["part_id"]) == ("2", "part-003")
     assert nothing == []
 
 
@@ -207,16 +207,16 @@ def test_answer_checks(spark):
     one, two = '{"page":1}', '{"page":2}'
     answer = spark.createDataFrame(
         [(1, [("1", "part-001", one, "Evidence 1"), ("1", "part-001", one, "other"), ("1", "part-001", two, "Evidence 1")],
-          [("s", [("10", "1", one), ("20", "2", two), ("21", "2", two), ("9", "1", two)], "a"), ("t", [("1", "1", one), ("2", "1", two)], "a")],
+          [("s", [("37", "1", one), ("52", "2", two), ("53", "2", two), ("8", "1", two)], "a"), ("t", [("1", "1", one), ("2", "1", two)], "a")],
           [("1",), ("999",), ("1",)])],
         "question_id int, citations array<struct<document_id: string, part_id: string, anchor: string, label: string>>, "
         "conflicts array<struct<subject: string, values: array<struct<value: string, document_id: string, anchor: string>>, analysis: string>>, "
         "downloads array<struct<document_id: string>>")
     assert W.validate_citations(answer, allowed).count() == 1
-    assert [r["value"] for r in W.validate_conflicts(answer, allowed).orderBy("value_no").collect()] == ["10", "20", "21"]
-    files = spark.createDataFrame([(1, "中文目录/报告一.md", "报告一.md", "PRESENT"), (2, "报告二.md", "报告二.md", "MISSING")], "id long, relative_path string, filename string, source_status string")
+    assert [r["value"] for r in W.validate_conflicts(answer, allowed).orderBy("value_no").collect()] == ["37", "52", "53"]
+    files = spark.createDataFrame([(1, "山川/游记.md", "游记.md", "PRESENT"), (2, "诗集.md", "诗集.md", "MISSING")], "id long, relative_path string, filename string, source_status string")
     documents = evidence.select("question_id", "document_id")
-    assert [(r["filename"], r["relative_directory"]) for r in W.validate_downloads(answer, documents, files).collect()] == [("报告一.md", "中文目录")]
+    assert [(r["filename"], r["relative_directory"]) for r in W.validate_downloads(answer, documents, files).collect()] == [("游记.md", "山川")]
 
 
 def test_parameters_are_checked():

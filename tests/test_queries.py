@@ -13,7 +13,8 @@ from catalog import inventory_queries, scalar_queries
 from tests.compare import difference, oracle
 
 SF = "/root/testdata/sf0.001"
-QUICK = [*scalar_queries.SQL, *inventory_queries.SQL, "top_candidates", "build_root", "navigate", "validate_citations", "ingest"]
+QUICK = [*scalar_queries.SQL, *inventory_queries.SQL, "top_candidates", "build_root", "navigate", "validate_citations", "ingest", "ingest_inventory",
+         "read_delimited_tables", "write_folder_index", "write_root_index", "stream_job_progress"]
 NAMES = list(catalog.statements()) if os.environ.get("FOLIARY_ALL") else QUICK
 
 
