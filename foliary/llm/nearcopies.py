@@ -34,9 +34,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliary.llm.bitmaps import bitmap, passes
 from foliary.llm.words import chunks, mix
 from foliary.operators.sizing import settled
 
@@ -132,8 +133,13 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _wanted(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        yield batch.filter(pa.array(passes(bits, batch.column("at").to_numpy(zero_copy_only=False))))
+
+
+def _sets(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for batch in _wanted(batches, bits):
         for first, words in chunks(batch.column("text")):
             shingles, bounds = words.shingle_rows()
             rows = len(bounds) - 1
@@ -143,9 +149,9 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, shingle), each of a text's distinct shingles once."""
-    for batch in batches:
+def _grams(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(doc_id, shingle), each of a wanted text's distinct shingles once."""
+    for batch in _wanted(batches, bits):
         for first, words in chunks(batch.column("text")):
             shingles, bounds = words.shingle_rows()
             own = [np.unique(shingles[bounds[i] : bounds[i + 1]]) for i in range(len(bounds) - 1)]
@@ -176,19 +182,22 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
-def _links(pairs: DataFrame, documents: DataFrame) -> DataFrame:
-    """The confirmed pairs. Only texts of paired documents become sets."""
+def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The confirmed pairs. Texts of paired documents alone become sets, picked at the scan by a bit map of
+    their ids, so that no text is moved."""
     pairs = settled(pairs)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = settled(
-        documents.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, hashes binary")
-    )
+    bits = bitmap(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), _place())
+    sets = settled(texts.withColumn("at", _place()).mapInArrow(lambda b: _sets(b, bits), "doc_id long, hashes binary"))
     joined = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("left")), "a").join(
         sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("right")), "b"
     )
     return settled(joined.select("a", "b", "left", "right").mapInArrow(_confirmed, "a long, b long"))
 
 
+def _place() -> Column:
+    return F.coalesce(F.xxhash64("doc_id"), F.lit(0))
+
+
 def connected(links: DataFrame) -> DataFrame:
     """(doc_id, root): each linked document with the smallest doc_id it reaches.
 
@@ -239,7 +248,8 @@ def _open_pairs(split: DataFrame, texts: DataFrame) -> DataFrame:
     most the smaller of their counts of other shingles, and the rare ones they share. Pairs that need no
     rare shingle for it come from the buckets; those that share one, straight from its two or three documents.
     """
-    grams = texts.join(split.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_grams, "doc_id long, gram long")
+    bits = bitmap(split, _place())
+    grams = texts.withColumn("at", _place()).mapInArrow(lambda b: _grams(b, bits), "doc_id long, gram long")
     total, low, high = F.sum(F.col("doc_id").cast("decimal(20,0)")), F.min("doc_id"), F.max("doc_id")
     rare = settled(grams.groupBy("gram").agg(F.count("*").alias("documents"), low.alias("low"), high.alias("high"), total.alias("total")).filter(
         "documents <= 3"

@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliary.llm.bitmaps import bitmap, passes
 from foliary.llm.words import FOLDED_BYTE, Words, chunks, span_hashes, stripped
 from foliary.operators.sizing import settled
 
@@ -47,7 +48,6 @@ TERM = "term"
 WINDOW, SUPPORT, DISCLOSURE = 8, 3, 0.9
 #: Shortest term in bytes.
 LEAST_BYTES = 3
-_BITMAP_BITS = 24
 #: Terms that a task counts before it passes them on.
 MOST_TERMS = 200_000
 _FOUND = (
@@ -131,7 +131,7 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _term_counts(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _term_counts(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
     """(term, documents) of terms whose bit is set, added up over a task; they are passed on when many, and at the end."""
     terms, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
@@ -142,8 +142,7 @@ def _term_counts(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray) -> Itera
         for _, words in chunks(batch.column("text")):
             text, start, end = stripped(words)
             hashes = span_hashes(words.data, start, end, FOLDED_BYTE)
-            bit = (hashes >> np.uint64(64 - _BITMAP_BITS)).astype(np.int64)
-            some = (bitmap[bit >> 3] >> (bit & 7)) & 1 == 1
+            some = passes(bits, hashes)
             own = np.unique(np.rec.fromarrays([hashes[some], text[some]])).f0
             terms, place = np.unique(np.concatenate([terms, own]), return_inverse=True)
             counts = np.bincount(place, np.concatenate([counts, np.ones(len(own), np.int64)]), len(terms)).astype(np.int64)
@@ -153,18 +152,6 @@ def _term_counts(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray) -> Itera
     yield out()
 
 
-def _bitmap(terms: DataFrame) -> np.ndarray:
-    """Bits of the terms' leading hash bits: at most 512 rows of 4 KB come to the driver, whatever the table."""
-    bit = F.shiftrightunsigned("term", 64 - _BITMAP_BITS) + 1  # these functions number from 1
-    rows = terms.select(F.bitmap_bucket_number(bit).alias("bucket"), F.bitmap_bit_position(bit).alias("place")).groupBy("bucket").agg(
-        F.bitmap_construct_agg("place").alias("bits")
-    ).collect()
-    out, size = np.zeros(1 << (_BITMAP_BITS - 3), np.uint8), 1 << 12  # bytes of one bucket
-    for bucket, bits in rows:
-        out[(bucket - 1) * size : bucket * size] = np.frombuffer(bytes(bits), np.uint8)
-    return out
-
-
 def disclosing(found: DataFrame, texts: DataFrame) -> DataFrame | None:
     """(entity, term) pairs above the threshold; None where no pair has the support."""
     documents = float(found.count())
@@ -185,8 +172,8 @@ def disclosing(found: DataFrame, texts: DataFrame) -> DataFrame | None:
     )
     if not pairs.take(1):
         return None
-    bitmap = _bitmap(pairs.select("term").distinct())
-    terms = texts.select("text").mapInArrow(lambda b: _term_counts(b, bitmap), "term long, documents long").groupBy("term").agg(
+    wanted = bitmap(pairs, F.col("term"))
+    terms = texts.select("text").mapInArrow(lambda b: _term_counts(b, wanted), "term long, documents long").groupBy("term").agg(
         F.sum("documents").alias("with_term")
     )
     revealed = F.log2(F.col("n") / F.col("with_term")) + bits

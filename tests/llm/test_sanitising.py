@@ -8,7 +8,10 @@ from hashlib import sha256
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from foliary.llm import sanitising
+from foliary.llm.bitmaps import bitmap, passes
 
 SCHEMA = "doc_id long, text string, spans string, n_ip int"
 
@@ -130,5 +133,7 @@ def test_none(spark):
 def test_bitmap(spark):
     draw = random.Random(7)
     values = [draw.getrandbits(64) - (1 << 63) for _ in range(500)] + [0, -1, (1 << 63) - 1, -(1 << 63)]
-    bits = np.unpackbits(sanitising._bitmap(spark.createDataFrame([(v,) for v in values], "term long")), bitorder="little")
+    found = bitmap(spark.createDataFrame([(v,) for v in values], "term long"), F.col("term"))
+    assert passes(found, np.array(values)).all() and not passes(found, np.array([v ^ (1 << 45) for v in values[:500]])).all()
+    bits = np.unpackbits(found, bitorder="little")
     assert set(np.flatnonzero(bits).tolist()) == {(v % (1 << 64)) >> 40 for v in values}
