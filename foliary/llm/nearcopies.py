@@ -337,11 +337,25 @@ def components(documents: DataFrame) -> DataFrame:
 def one_of_each(documents: DataFrame) -> DataFrame:
     """The documents without those that a kept one of their component stands for, columns unchanged.
 
-    Only the ids that go are joined. Rows with a null doc_id stay; of repeated rows with one doc_id, one stays.
+    A bit map of the ids that go passes the other rows on where they stand; only the rest is joined, so texts that
+    stay are not moved. Rows with a null doc_id stay; of repeated rows with one doc_id, one stays.
     """
     found = settled(components(documents))
     gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("_nc_gone")).distinct()
-    rows = documents.join(gone, documents["doc_id"] == gone["_nc_gone"], "left_anti")
+    gone = settled(gone)
+    bits = bitmap(gone, F.xxhash64("_nc_gone"))
+    placed = documents.withColumn("_nc_at", F.coalesce(F.xxhash64(F.col("doc_id").cast("long")), F.lit(0)))
+
+    def sieved(marked: bool) -> DataFrame:
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                same = passes(bits, batch.column("_nc_at").to_numpy(zero_copy_only=False)) == marked
+                yield batch.filter(pa.array(same)).drop_columns(["_nc_at"])
+
+        return placed.mapInArrow(keep, documents.schema)
+
+    maybe = sieved(True)
+    rows = sieved(False).unionByName(maybe.join(gone, maybe["doc_id"] == gone["_nc_gone"], "left_anti"))
     again = settled(
         found.filter("kept and doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
     )
