@@ -34,7 +34,7 @@ from foliary.operators.sizing import number_sorted, settled
 WEIGHTS = (3, 1, 2)
 TOTAL_PERCENT, MOST_TIMES = 150, 2
 SEED = 20_240_229
-#: Words that the knapsack fits; what is above it is given out by length first.
+#: Words that the knapsack fits exactly; what is above it is given out by length first, as long as documents fit.
 KNAPSACK_WORDS = 1 << 16
 
 
@@ -86,7 +86,8 @@ def fit(sizes: np.ndarray, counts: np.ndarray, budget: int, limit: int = KNAPSAC
     """How many documents of each size to take for about `budget` words in all.
 
     The proportional share of each size is taken first, then one more of the sizes with the largest
-    remainders while more than `limit` words are left, then the knapsack's best fit of the rest.
+    remainders while more than `limit` words are left, then what `_filled` finds for the rest. Where that
+    misses the budget, it fills the plain shares, and then nothing, as well, and the nearest counts.
     """
     total = int((sizes * counts).sum())
     if budget >= total:
@@ -94,14 +95,57 @@ def fit(sizes: np.ndarray, counts: np.ndarray, budget: int, limit: int = KNAPSAC
     if 2 * budget > total:  # what is left out is fitted, so that documents of every size stay free to choose
         return counts - fit(sizes, counts, total - budget, limit)
     share = counts * (budget / total)
-    taken = np.floor(share).astype(np.int64)
-    rest = budget - int((sizes * taken).sum())
-    for i in np.argsort(-(share - taken), kind="stable"):
+    floors = np.floor(share).astype(np.int64)
+    taken, rest = floors.copy(), budget - int((sizes * floors).sum())
+    for i in np.argsort(-(share - floors), kind="stable"):
         if rest <= limit:
             break
         if taken[i] < counts[i] and sizes[i] <= rest:
             taken[i] += 1
             rest -= int(sizes[i])
+    best, most = taken, -1
+    for start in (taken, floors, np.zeros_like(floors)):
+        found = _filled(sizes, counts, start, budget, limit)
+        words = int((sizes * found).sum())
+        if words > most:
+            best, most = found, words
+        if most == budget:
+            break
+    return best
+
+
+def _filled(sizes: np.ndarray, counts: np.ndarray, taken: np.ndarray, budget: int, limit: int) -> np.ndarray:
+    """`taken` and further documents, until the budget is met or no document fits what is left of it.
+
+    Sizes above `limit` are used where the shorter documents cannot bring the rest down to it; they are
+    fitted in units of some words, rounded up, which get smaller with the rest. Shorter sizes are then given
+    out by proportion and, the longest first, in full. The knapsack's exact fit ends it.
+    """
+    taken, rest, long = taken.copy(), budget - int((sizes * taken).sum()), sizes > limit
+    while rest > limit + int((sizes * (counts - taken))[~long].sum()):
+        unit = -(-rest // limit)
+        more = knapsack(np.where(long, -(-sizes // unit), 0), counts - taken, rest // unit)
+        fitting = np.flatnonzero(long & (counts > taken) & (sizes <= rest))
+        if not len(fitting):
+            break
+        longest = fitting[np.argmax(sizes[fitting])]
+        if int((sizes * more).sum()) < sizes[longest]:  # lost in rounding up
+            more = (np.arange(len(sizes)) == longest).astype(np.int64)
+        taken += more
+        rest -= int((sizes * more).sum())
+    left = np.where(long, 0, counts - taken)
+    words = int((sizes * left).sum())
+    if rest > limit and words:
+        more = np.floor(left * min(1.0, (rest - limit) / words)).astype(np.int64)
+        taken += more
+        rest -= int((sizes * more).sum())
+        for i in np.argsort(-sizes, kind="stable"):
+            if rest <= limit:
+                break
+            if not long[i] and sizes[i]:
+                some = min(int(counts[i] - taken[i]), -(-(rest - limit) // int(sizes[i])))
+                taken[i] += some
+                rest -= some * int(sizes[i])
     return taken + knapsack(sizes, counts - taken, min(rest, limit))
 
 

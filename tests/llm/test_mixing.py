@@ -83,3 +83,23 @@ def test_fit_with_more_left_than_the_knapsack_holds():
         budget = int((sizes * counts).sum() * share)
         taken = mixing.fit(sizes, counts, budget)
         assert (taken <= counts).all() and abs(int((taken * sizes).sum()) - budget) <= 1
+
+
+def test_fit_leaves_no_words_while_documents_fit():
+    sizes, counts = np.array([100, 900_000, 1_000_000]), np.array([50_000, 1, 1])
+    taken = mixing.fit(sizes, counts, 2_760_000)
+    assert (taken <= counts).all() and int((taken * sizes).sum()) == 2_760_000
+    # Long documents alone: the best two of three, one that is the whole rest, and short ones that do not suffice.
+    sizes, counts = np.array([260_000, 500_000, 600_000, 700_000]), np.ones(4, np.int64)
+    assert mixing.fit(sizes, counts, 760_000).tolist() == [1, 1, 0, 0]
+    sizes, counts = np.array([100, 99_999, 700_001, 900_000]), np.array([10, 1, 1, 1])
+    assert mixing.fit(sizes, counts, 700_001).tolist() == [0, 0, 1, 0]
+    draw = random.Random(5)
+    for _ in range(200):
+        sizes = np.array(sorted({*draw.sample(range(1, 500), 6), *draw.sample(range(300, 20_000), 6)}))
+        counts = np.array([draw.choice([1, 1, 3, 400]) for _ in sizes])
+        budget = int((sizes * counts).sum() * draw.random() / 2)
+        taken = mixing.fit(sizes, counts, budget, limit=1000)
+        left = budget - int((taken * sizes).sum())
+        assert (taken >= 0).all() and (taken <= counts).all() and left >= 0
+        assert not (sizes[taken < counts] <= left).any()
