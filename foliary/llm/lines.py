@@ -3,8 +3,14 @@
 A unit is a line of a text (between \\n). It is normalised (ASCII letters in lower case, white space
 runs as one blank, trimmed) and digested to 128 bits. Digests are grouped over all documents; of equal
 units the first by rank stays and the others are removed. Rank is (doc_id, null last; number of the
-line). Units of fewer than `MIN_WORDS` words are left alone: short lines repeat by chance and carry
-structure.
+line). Units of fewer than `MIN_WORDS` words are left alone by `removed_units`.
+
+`removed_lines` and `without_repeats` take shorter lines too: at every line, the lines from it on and the
+lines up to it are joined until they hold `MIN_WORDS` words (a run; blank lines hold none), and each line
+of `LINE_WORDS` words is a run of its own. Runs are compared by their words; a passage broken into lines
+at other words is found only where two runs begin and end at the same words.
+All lines of a run that an earlier run repeats are removed; a run that overlaps the one it repeats is left
+alone. Every removed word stands in an earlier run, so its first occurrence stays.
 
 Units travel as digest and offsets, never as text. A digest's earliest rank is a minimum that is
 pre-aggregated before its shuffle, and only digests that stand more than once are joined back to the
@@ -13,7 +19,7 @@ units, a join whose hot keys adaptive execution can split.
 Cases: a null or empty text has no unit; a line repeated inside one document is removed like any other;
 rows that repeat a doc_id have equal ranks, and the lines of all of them stay or go together; a null
 doc_id ranks last; an empty table gives an empty result; further columns are ignored by
-`removed_units` and kept by `without_repeats`.
+`removed_units` and `removed_lines` and kept by `without_repeats`.
 """
 
 from __future__ import annotations
@@ -28,7 +34,13 @@ from pyspark.sql import functions as F
 from foliary.operators.sizing import settled
 
 MIN_WORDS = 25
+#: Shorter single lines repeat by chance and carry structure; they go only as part of a run.
+LINE_WORDS = 10
 UNITS = "doc_id long, unit int, start long, end long, n_words int, d1 long, d2 long"
+_LINES = (
+    "doc_id long, row long, unit int, start long, end long, n_words int, "
+    "runs array<struct<unit:int,last:int,d1:bigint,d2:bigint>>"
+)
 
 
 def _units(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
@@ -65,10 +77,84 @@ def removed_units(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame
     )
 
 
+def _text_runs(lines: list[list[bytes]], min_words: int) -> dict[int, list[tuple[int, int]]]:
+    """The runs (first line, last line) of a text by their first line."""
+    full = [i for i, words in enumerate(lines) if words]
+    out: dict[int, set[tuple[int, int]]] = {}
+    # Two ends move over the lines with words: the fewest from each line on, then the fewest up to each.
+    last, held = -1, 0
+    for k, i in enumerate(full):
+        while held < min_words and last + 1 < len(full):
+            last += 1
+            held += len(lines[full[last]])
+        if held >= min_words:
+            out.setdefault(i, set()).add((i, full[last]))
+        if len(lines[i]) >= min(LINE_WORDS, min_words):
+            out.setdefault(i, set()).add((i, i))
+        held -= len(lines[full[k]])
+    first, held = 0, 0
+    for i in full:
+        held += len(lines[i])
+        while held - len(lines[full[first]]) >= min_words:
+            held -= len(lines[full[first]])
+            first += 1
+        if held >= min_words:
+            out.setdefault(full[first], set()).add((full[first], i))
+    return {i: sorted(runs) for i, runs in out.items()}
+
+
+def _lines(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
+    run = pa.list_(pa.struct([("unit", pa.int32()), ("last", pa.int32()), ("d1", pa.int64()), ("d2", pa.int64())]))
+    names = ["doc_id", "row", "unit", "start", "end", "n_words", "runs"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), run]
+    for batch in batches:
+        columns: list[list] = [[] for _ in names]
+        for doc_id, row, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row", "text")), strict=True):
+            texts = (text or "").split("\n")
+            words = [line.encode().lower().split() for line in texts]
+            normal = [b" ".join(w) for w in words]
+            runs = _text_runs(words, min_words)
+            start = 0
+            for unit, line in enumerate(texts):
+                own = []
+                for _, last in runs.get(unit, ()):
+                    digest = blake2b(b" ".join(n for n in normal[unit : last + 1] if n), digest_size=16).digest()
+                    halves = [int.from_bytes(half, "little", signed=True) for half in (digest[:8], digest[8:])]
+                    own.append({"unit": unit, "last": last, "d1": halves[0], "d2": halves[1]})
+                for column, value in zip(columns, (doc_id, row, unit, start, start + len(line), len(words[unit]), own), strict=True):
+                    column.append(value)
+                start += len(line) + 1
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+
+def removed_lines(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """Lines of runs that an earlier one repeats: doc_id, unit, start, end, n_words, kept_doc_id, kept_unit.
+
+    The kept unit is the first line of the earliest run that holds the line's words. Lines travel without text.
+    """
+    rows = documents.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col("text").cast("string").alias("text")
+    )
+    lines = settled(rows.mapInArrow(lambda batches: _lines(batches, min_words), _LINES))
+    every = lines.select("doc_id", "row", F.explode("runs").alias("r")).select("doc_id", "row", "r.*").withColumn(
+        "rank", F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "unit")
+    )
+    first = every.groupBy("d1", "d2").agg(
+        F.min(F.struct("rank", "last")).alias("first"), F.max("rank").alias("highest")
+    ).filter("first.rank < highest").drop("highest")
+    apart = ~F.col("doc_id").eqNullSafe(F.col("first.rank.doc_id")) | (F.col("unit") > F.col("first.last"))
+    removed = every.join(first, ["d1", "d2"]).filter((F.col("rank") > F.col("first.rank")) & apart).select(
+        "row", F.explode(F.sequence("unit", "last")).alias("unit"), F.col("first.rank").alias("kept")
+    ).groupBy("row", "unit").agg(F.min("kept").alias("kept"))
+    return lines.drop("runs").join(removed, ["row", "unit"]).select(
+        "doc_id", "unit", "start", "end", "n_words", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.unit").alias("kept_unit")
+    )
+
+
 def without_repeats(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """The documents with repeated lines cut out, columns unchanged, and `removed_spans`, the original
+    """The documents with repeated lines and runs cut out, columns unchanged, and `removed_spans`, the original
     [start, end) of each cut in code points. A document's spans are the only rows put together."""
-    spans = removed_units(documents, min_words).distinct().groupBy(F.col("doc_id").alias("_ln_id")).agg(
+    spans = removed_lines(documents, min_words).select("doc_id", "start", "end").distinct().groupBy(F.col("doc_id").alias("_ln_id")).agg(
         F.sort_array(F.collect_list(F.struct("start", "end"))).alias("removed_spans")
     )
     rows = documents.join(spans, documents["doc_id"].eqNullSafe(spans["_ln_id"]), "left").drop("_ln_id")

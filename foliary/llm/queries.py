@@ -19,6 +19,10 @@ def op2_line_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.removed_units(_table(spark, sf_dir, "documents"))
 
 
+def op2_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.removed_lines(_table(spark, sf_dir, "documents"))
+
+
 def op3_simhash_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.findings(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -54,6 +58,7 @@ def op10_subset_sum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_host_paths": op1_host_paths,
     "op2_line_hashes": op2_line_hashes,
+    "op2_line_runs": op2_line_runs,
     "op3_simhash_leaks": op3_simhash_leaks,
     "op4_unlabelled_toxicity": op4_unlabelled_toxicity,
     "op5_dictionary_shards": op5_dictionary_shards,

@@ -40,6 +40,25 @@ def test_lines_group_of_copies(spark):
     assert {r.kept_doc_id for r in lines.removed_units(frame).collect()} == {0}
 
 
+def test_runs_of_short_lines(spark):
+    words = [f"w{i}" for i in range(60)]
+    passage = "\n".join(" ".join(words[i : i + 6]) for i in range(0, 60, 6))
+    tail = " ".join(words[:26]) + "\n\nend of it"
+    rows = [
+        (1, f"alone\n{passage}\nhere"), (2, f"other\n\n{passage.upper()}\nthere"), (3, passage.replace("w24", "x")),
+        (4, tail), (5, "head\n" + tail + "\nmore"), (6, "\n".join(["x"] * 30)), (7, "a b c d e f g h i j\nk"), (8, "m\na b c d e f g h i j"),
+        (None, "\n".join(words[30:])), (9, "short\nlines"), (10, "short\nlines"),
+    ]
+    frame = docs(spark, rows)
+    assert lines.removed_units(frame.filter("doc_id < 4 or doc_id is null")).collect() == []
+    got = {r.doc_id: r.text for r in lines.without_repeats(frame).collect()}
+    left = dict(rows) | {2: "other\n\nthere", 3: passage[: passage.index("w30")].replace("w24", "x"), 5: "head\nmore", 8: "m\n"}
+    assert got == left
+    found = [r for r in lines.removed_lines(frame).collect() if r.doc_id == 2]
+    assert sorted((r.unit, rows[1][1][r.start : r.end].lower(), r.n_words) for r in found) == [(i + 2, line, 6) for i, line in enumerate(passage.split("\n"))]
+    assert all(r.kept_doc_id == 1 for r in found) and lines.removed_lines(docs(spark, [])).collect() == []
+
+
 def turns(spark, rows):
     return spark.createDataFrame([(*r, 1, "x") for r in rows], TURNS)
 
