@@ -3,19 +3,20 @@
 Base spans are found in every whole text by fixed patterns (email, ip, card, phone; leftmost, not
 overlapping within a kind; a match that fails its check is dropped).
 
-Each distinct value found is a protected entity. The words within `WINDOW` words of an entity are its
+Each distinct value found is a protected entity. All words of its document outside the base spans are its
 context. Over the whole corpus, for entity e and term t,
 
-    P(e) = documents with e / documents,   P(e | t) = documents with t near e / documents with t,
+    P(e) = documents with e / documents,   P(e | t) = documents with t and e / documents with t,
 
 the term reveals log2(P(e | t) / P(e)) of the -log2 P(e) bits that name the entity. A term that stands
-near the entity in at least `SUPPORT` different texts and reveals at least `DISCLOSURE` of its bits is a
-span of kind `term`, wherever it stands near that entity. `sanitised` replaces base values by their kind
-and generalises terms to their length class, or removes them.
+with the entity in at least `SUPPORT` different texts and reveals at least `DISCLOSURE` of its bits is a
+span of kind `term`, wherever it stands in a document that holds that entity. `sanitised` replaces base
+values by their kind and generalises terms to their length class, or removes them.
 
-One pass over the texts finds base spans and contexts; context pairs are counted in Spark, pre-aggregated
-and without texts. A second pass counts the documents of those terms alone that may disclose something,
-filtered by a bit map of fixed size (2 MB); the counts themselves are exact by the terms' 64-bit hashes.
+One pass over the texts finds base spans and the words of documents that have some. A second pass counts
+the documents of the terms in enough texts with entities, filtered by a bit map of fixed size (2 MB); the
+counts themselves are exact by the terms' 64-bit hashes. Pairs are joined by document, without texts, of
+the entities and terms alone whose counts let them reach the support and the threshold.
 
 Cases: a null or empty text has no span; copies of one text support a term once; repeated rows are each
 returned; a null doc_id is kept; an empty table gives an empty result; further columns are ignored by
@@ -25,6 +26,7 @@ returned; a null doc_id is kept; an empty table gives an empty result; further c
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 from hashlib import blake2b, sha256
 
@@ -45,14 +47,16 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
 
-WINDOW, SUPPORT, DISCLOSURE = 8, 3, 0.9
+#: Words on either side of a value that are its context: all of the document. An entity in fewer different texts than
+#: `SUPPORT` has no term, see the README.
+WINDOW, SUPPORT, DISCLOSURE = sys.maxsize, 3, 0.9
 #: Shortest term in bytes.
-LEAST_BYTES = 3
+LEAST_BYTES = 1
 #: Terms that a task counts before it passes them on.
 MOST_TERMS = 200_000
 _FOUND = (
     "_row long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, copy long, "
-    "context array<struct<entity:bigint,term:bigint,start:int,end:int>>"
+    "entities array<bigint>, words array<struct<term:bigint,start:int,end:int>>"
 )
 _NOT_DIGITS = re.compile(r"[^0-9]+")
 
@@ -88,7 +92,7 @@ def _digest(data: bytes) -> int:
 
 
 def _context(text: str, spans: list[tuple[str, int, int, str]]) -> list[dict]:
-    """Terms within the window of each base span that lie outside all of them."""
+    """The words of a text that lie outside all base spans."""
     data = np.frombuffer(text.encode(), np.uint8)
     points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
     words = Words(data, np.array([0, len(data)], np.int64))
@@ -99,21 +103,16 @@ def _context(text: str, spans: list[tuple[str, int, int, str]]) -> list[dict]:
     free = (end - start) >= LEAST_BYTES
     for _, a, b, _ in spans:
         free[np.searchsorted(high, a, "right") : np.searchsorted(low, b)] = False
-    out: dict[tuple, dict] = {}
-    for kind, a, b, value in spans:
-        entity = _digest(f"{kind}:{value}".encode())
-        first, last = np.searchsorted(high, a, "right"), np.searchsorted(low, b)
-        for i in [*range(max(0, first - WINDOW), first), *range(last, min(len(low), last + WINDOW))]:
-            if free[i]:
-                out[entity, i] = {"entity": entity, "term": int(hashes[i]), "start": int(low[i]), "end": int(high[i])}
-    return list(out.values())
+    return [
+        {"term": t, "start": a, "end": b} for t, a, b in zip(hashes[free].tolist(), low[free].tolist(), high[free].tolist(), strict=True)
+    ]
 
 
 def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))
+    kind = pa.list_(pa.struct([("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))
     for batch in batches:
         counts: list[list[int]] = [[] for _ in KINDS]
-        bases, copies, contexts = [], [], []
+        bases, copies, entities, contexts = [], [], [], []
         for source in batch.column("text"):
             text = source.as_py() or ""
             spans = base_spans(text)
@@ -121,13 +120,14 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 column.append(sum(s[0] == name for s in spans))
             bases.append(",".join(f"{k}:{a}:{b}" for k, a, b, _ in spans))
             copies.append(_digest(text.encode()) if spans else None)
+            entities.append(sorted({_digest(f"{k}:{value}".encode()) for k, _, _, value in spans}) if spans else None)
             contexts.append(_context(text, spans) if spans else None)
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("_row"), batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in counts), pa.array(bases, pa.string()),
-                pa.array(copies, pa.int64()), pa.array(contexts, kind),
+                pa.array(copies, pa.int64()), pa.array(entities, pa.list_(pa.int64())), pa.array(contexts, kind),
             ],
-            ["_row", "doc_id", *(f"n_{k}" for k in KINDS), "base", "copy", "context"],
+            ["_row", "doc_id", *(f"n_{k}" for k in KINDS), "base", "copy", "entities", "words"],
         )
 
 
@@ -153,31 +153,48 @@ def _term_counts(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterato
 
 
 def disclosing(found: DataFrame, texts: DataFrame) -> DataFrame | None:
-    """(entity, term) pairs above the threshold; None where no pair has the support."""
+    """(_row, term) of the terms above the threshold for an entity of their document; None where there is none."""
     documents = float(found.count())
-    near = settled(
-        found.filter(F.col("copy").isNotNull()).select("_row", "copy", F.explode("context").alias("c"))
-        .select("_row", "copy", "c.entity", "c.term").distinct()
-    )
-    # An entity without any word near it in a document names nothing there and is not counted.
-    entities = near.select("_row", "entity").distinct().groupBy("entity").agg(F.count("*").alias("with_entity"))
-    # A term is in as many documents at least as it is near any entity in: terms that cannot reach the threshold go here.
-    about = near.select("_row", "term").distinct().groupBy("term").agg(F.count("*").alias("least"))
-    bits = -F.log2(F.col("with_entity") / F.lit(documents))
-    pairs = settled(
-        near.groupBy("entity", "term", "copy").agg(F.count("*").alias("n")).groupBy("entity", "term")
-        .agg(F.count("*").alias("copies"), F.sum("n").alias("n")).filter(F.col("copies") >= SUPPORT)
-        .join(entities, "entity").join(about, "term")
-        .filter((bits > 0) & (F.log2(F.col("n") / F.col("least")) + bits >= DISCLOSURE * bits)).drop("least")
+    # An entity without any other word in a document names nothing there and is not counted.
+    held = found.filter(F.size("words") > 0)
+    every = held.select("_row", "copy", F.explode("entities").alias("entity"))
+    entities = settled(
+        every.groupBy("entity").agg(F.count("*").alias("with_entity"), F.countDistinct("copy").alias("copies"))
+        .filter(F.col("copies") >= SUPPORT).drop("copies").filter(F.col("with_entity") < documents)
     )
-    if not pairs.take(1):
+    fewest, most = entities.agg(F.min("with_entity"), F.max("with_entity")).first()
+    if fewest is None:
         return None
-    wanted = bitmap(pairs, F.col("term"))
-    terms = texts.select("text").mapInArrow(lambda b: _term_counts(b, wanted), "term long, documents long").groupBy("term").agg(
+    owners = settled(every.join(entities, "entity"))
+    # A pair is in as many documents at most as its entity and as its term with any entity; 1e-9 is for rounding.
+    reach = lambda with_entity: F.pow(F.lit(documents) / with_entity, F.lit(1 - DISCLOSURE)) * (1 + 1e-9)
+    words = held.select("_row", "copy", F.explode(F.array_distinct(F.col("words.term"))).alias("term")).join(
+        owners.select("_row").distinct(), "_row", "left_semi"
+    )
+    about = settled(
+        words.groupBy("term", "copy").agg(F.count("*").alias("n")).groupBy("term")
+        .agg(F.count("*").alias("copies"), F.sum("n").alias("least")).filter(F.col("copies") >= SUPPORT).drop("copies")
+    )
+    wanted = bitmap(about, F.col("term"))
+    counted = texts.select("text").mapInArrow(lambda b: _term_counts(b, wanted), "term long, documents long").groupBy("term").agg(
         F.sum("documents").alias("with_term")
     )
-    revealed = F.log2(F.col("n") / F.col("with_term")) + bits
-    return settled(pairs.join(terms, "term").filter(revealed >= DISCLOSURE * bits).select("entity", "term"))
+    terms = settled(about.join(counted, "term").filter(
+        (F.col("with_term") <= F.col("least") * reach(F.lit(fewest))) & (F.col("with_term") <= F.lit(most) * reach(F.lit(most)))
+    ).drop("least"))
+    near = settled(
+        words.join(terms, "term").drop("copy").join(owners, "_row")
+        .filter(F.col("with_term") <= F.col("with_entity") * reach(F.col("with_entity")))
+    )
+    bits = -F.log2(F.col("with_entity") / F.lit(documents))
+    pairs = (
+        near.groupBy("entity", "term", "copy").agg(F.count("*").alias("n"), F.max("with_entity").alias("with_entity"), F.max("with_term").alias("with_term"))
+        .groupBy("entity", "term").agg(
+            F.count("*").alias("copies"), F.sum("n").alias("n"), F.max("with_entity").alias("with_entity"), F.max("with_term").alias("with_term")
+        )
+        .filter((F.col("copies") >= SUPPORT) & (F.log2(F.col("n") / F.col("with_term")) + bits >= DISCLOSURE * bits))
+    )
+    return near.join(pairs.select("entity", "term"), ["entity", "term"], "left_semi").select("_row", "term").distinct()
 
 
 def report(documents: DataFrame) -> DataFrame:
@@ -187,13 +204,13 @@ def report(documents: DataFrame) -> DataFrame:
     out = found.select(
         "_row", "doc_id", *[f"n_{k}" for k in KINDS], F.sha2("base", 256).alias("base_sha256"), F.col("base")
     )
-    pairs = disclosing(found, texts)
-    if pairs is None:
+    marked = disclosing(found, texts)
+    if marked is None:
         return out.withColumnRenamed("base", "spans").drop("_row")
-    # The terms of one document, bounded by its base spans, are the only rows put together.
+    # The terms of one document are the only rows put together.
     terms = (
-        found.filter(F.col("copy").isNotNull()).select("_row", F.explode("context").alias("c")).select("_row", "c.*")
-        .join(pairs, ["entity", "term"], "left_semi").select("_row", "start", "end").distinct()
+        found.filter(F.col("copy").isNotNull()).select("_row", F.explode("words").alias("c")).select("_row", "c.*")
+        .join(marked, ["_row", "term"]).select("_row", "start", "end")
         .groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
         .select(F.col("_row").alias("_of"), F.concat_ws(",", F.transform("spans", lambda s: F.concat_ws(
             ":", F.lit(TERM), s["start"].cast("string"), s["end"].cast("string")

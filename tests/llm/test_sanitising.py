@@ -126,6 +126,16 @@ def test_random_patterns():
         assert sanitising.base_spans(text) == base(text), repr(text)
 
 
+def test_terms_far_from_the_value(spark):
+    fill = " ".join(f"f{i % 7}" for i in range(40))
+    docs = [(d, f"Dear Li Quentin {fill} Yours {d} at q@mail.example.com {fill} quentin") for d in range(4)]
+    docs += [(d, f"Dear all {fill} Yours") for d in range(10, 60)]
+    found = {r[0]: r[-1].split(",") for r in report(spark, docs)[1]}
+    for d, text in docs[:4]:
+        assert [text[int(a) : int(b)] for k, a, b in (x.split(":") for x in found[d]) if k == "term"] == ["Li", "Quentin", "at", "quentin"]
+    assert not any("term" in x for d in range(10, 60) for x in found[d])
+
+
 def test_none(spark):
     assert report(spark, [])[1] == [] and report(spark, [(1, "plain"), (2, None)])[1] == expected([(1, "plain"), (2, None)])
 
