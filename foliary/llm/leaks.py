@@ -1,12 +1,12 @@
-"""Benchmark passages in documents: SimHash of item-sized windows, Hamming blocks, exact verification.
+"""Benchmark passages in documents: SimHash of item-sized windows, Hamming distances, exact verification.
 
 The items are a stated query set: they are read in blocks of bounded size, and each block meets all
 documents in one pass over the whole texts.
 
 For every length (in words) that an item has, each window of that many words gets a 64-bit SimHash of
-its words. Fingerprints are cut into `RADIUS` + 1 blocks of bits; two within `RADIUS` bits of one
-another agree on at least one block, so the index from block values to items finds every item within
-the radius. Candidates are verified on word shingles of five (the whole sequence of shorter items),
+its words, which is compared with the fingerprints of all items of that length; at `RADIUS` no index of bit
+blocks would leave any out. Those within `RADIUS` bits are verified on word shingles of five (the whole
+sequence of shorter items),
 weighted by how often they occur: sum of minima / sum of maxima >= `SIMILARITY`.
 
 Windows that cannot pass are skipped before fingerprinting, without loss: a window of L words has
@@ -31,15 +31,16 @@ from pyspark.sql import functions as F
 from foliary.llm.words import SHINGLE, Words, chunks, mix, sequence_hash
 
 SIMILARITY = 0.75
-#: Words, not shingles, are fingerprinted: at the threshold about one word in forty differs, some five of
-#: 64 bits with a deviation of two.
-RADIUS = 15
+#: Words, not shingles, are fingerprinted. At the threshold a contiguous edit changes up to 14 % of the words. Of 3,000 random
+#: pairs each with such an edit, inside or at the end, in items of 50, 100, 200 and 500 distinct words, none was further apart;
+#: at 22 bits up to 0.03 % were, at 20 up to 0.27 %, at 15 up to 7.4 %.
+RADIUS = 24
+#: Distances computed at once.
+PAIRS = 1 << 20
 #: Characters of benchmark text that are matched in one pass over the documents.
 BLOCK_CHARS = 8_000_000
 FOUND = "doc_id long, item_id long, start long, end long, similarity double, hamming int"
 
-_EDGES = np.linspace(0, 64, RADIUS + 2).astype(int)
-
 
 def bit_sums(hashes: np.ndarray) -> np.ndarray:
     """For each bit, how many of the first i words have it set: (words + 1) x 64."""
@@ -76,32 +77,20 @@ def weighted_similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
 
 
 class Blocks:
-    """Fingerprints of items of one length, found by the values of their blocks of bits."""
+    """Fingerprints of items of one length, compared with blocks of others."""
 
     def __init__(self, prints: np.ndarray):
-        self.prints, self.tables = prints, []
-        for low, high in zip(_EDGES[:-1], _EDGES[1:], strict=True):
-            values = block_values(prints, low, high)
-            order = np.argsort(values, kind="stable")
-            self.tables.append((order, np.searchsorted(values[order], np.arange((1 << int(high - low)) + 1))))
+        self.prints = prints
 
     def within(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(print place, item place, distance) of every pair within the radius."""
-        pairs = []
-        for (order, first), low, high in zip(self.tables, _EDGES[:-1], _EDGES[1:], strict=True):
-            values = block_values(prints, low, high)
-            sizes = first[values + 1] - first[values]
-            which = np.repeat(np.arange(len(prints)), sizes)
-            inside = np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            pairs.append(which * len(self.prints) + order[first[values][which] + inside])
-        which, item = np.divmod(np.unique(np.concatenate(pairs)), len(self.prints))
-        distance = np.bitwise_count(prints[which] ^ self.prints[item])
-        near = distance <= RADIUS
-        return which[near], item[near], distance[near]
-
-
-def block_values(prints: np.ndarray, low: int, high: int) -> np.ndarray:
-    return ((prints >> np.uint64(low)) & np.uint64((1 << int(high - low)) - 1)).astype(np.int64)
+        found, step = [], max(1, PAIRS // len(self.prints))
+        for low in range(0, len(prints), step):
+            distance = np.bitwise_count(prints[low : low + step, None] ^ self.prints[None, :])
+            which, item = np.nonzero(distance <= RADIUS)
+            found.append((which + low, item, distance[which, item]))
+        which, item, distance = (np.concatenate(x) for x in zip(*found, strict=True))
+        return which, item, distance
 
 
 class Index:

@@ -95,3 +95,18 @@ def test_radius_is_guaranteed():
     which, item, distance = leaks.Blocks(np.array(items, np.uint64)).within(np.array(prints, np.uint64))
     expected = {(i, j): (x ^ y).bit_count() for i, x in enumerate(prints) for j, y in enumerate(items)}
     assert dict(zip(zip(which.tolist(), item.tolist()), distance.tolist())) == {k: v for k, v in expected.items() if v <= leaks.RADIUS}
+
+
+def test_contiguous_edits_at_the_threshold_are_within_the_radius():
+    """Edits of one block or at the end, as long as the similarity allows, in items of distinct words."""
+    draw, none = np.random.default_rng(11), np.zeros(1, np.int64)
+    for length, inner, end in ((50, 2, 6), (100, 9, 13), (200, 24, 28), (500, 66, 70)):
+        for _ in range(150):
+            item = draw.integers(1, 1 << 63, length, dtype=np.uint64)
+            block, shifted = item.copy(), np.concatenate([item[end:], draw.integers(1, 1 << 63, end, dtype=np.uint64)])
+            at = draw.integers(5, length - inner - 5)
+            block[at : at + inner] = draw.integers(1, 1 << 63, inner, dtype=np.uint64)
+            for other in (block, shifted):
+                assert leaks.weighted_similarity(leaks.window_shingles(item), leaks.window_shingles(other)) >= leaks.SIMILARITY
+                prints = [leaks.simhash(leaks.bit_sums(x), none, length) for x in (item, other)]
+                assert len(leaks.Blocks(prints[0]).within(prints[1])[0]) == 1
