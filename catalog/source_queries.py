@@ -229,12 +229,14 @@ def register_functions(spark, sf):
 
 
 def stream_scan_diff(spark, sf):
-    """Two scans as a stream: a later listing, then everything back as it was."""
+    """A later listing as a stream of several files a batch, applied when its scan is complete."""
     folder = scratch(spark, "scan")
     files = A.source_files(spark, sf)
     later = A.listing(spark, sf)
-    later.coalesce(1).write.parquet(f"{folder}/in/scan=1")
-    listings = spark.readStream.schema(later.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/*")
+    marker = later.agg(F.count("*").alias("scan_rows"))
+    later = later.withColumn("scan_rows", F.lit(None).cast("long")).unionByName(marker, allowMissingColumns=True).withColumn("scan_id", F.lit(1).cast("long"))
+    later.repartition(8).write.parquet(f"{folder}/in")
+    listings = spark.readStream.schema(later.schema).option("maxFilesPerTrigger", 3).parquet(f"{folder}/in")
     query = ST.stream_scan_diff(listings, files, f"{folder}/state", f"{folder}/checkpoint")
     query.processAllAvailable()
     query.stop()

@@ -12,22 +12,44 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from foliary.operators.inventory import inventory_after, scan_diff
 from foliary.operators.jobs import job_progress
+from foliary.operators.sizing import settled
 from foliary.plans.pipelines import assign_ids
 from foliary.streaming.state import read_version, write_version
 
 
 def stream_scan_diff(listings: DataFrame, inventory: DataFrame, state: str, checkpoint: str) -> StreamingQuery:
-    """Keeps an inventory current from a stream of listings, one listing per micro-batch.
+    """Keeps an inventory current from a stream of listings, whose rows come in any files and order.
 
-    The first batch starts from `inventory`; each batch reads the version before it and writes its own,
-    so the result equals the same scans run one after the other.
+    Rows carry `scan_id`; one row of each scan, without a path, has the number of its files in `scan_rows`.
+    Micro-batches are appended to a table partitioned by batch and scan, and a scan is applied by the batch
+    that completes it; one that completes after a newer scan is passed over. Each state is a version of its
+    own, so a retried batch repeats itself.
     """
+    rows = f"{state}_rows"
 
     def apply(batch: DataFrame, number: int) -> None:
-        previous = read_version(batch.sparkSession, state, before=number)
-        changes = scan_diff(inventory if previous is None else previous, batch)
-        write_version(inventory_after(assign_ids(changes)), state, number)
-
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").partitionBy("scan_id").parquet(f"{rows}/version={number}")
+        every = spark.read.schema(f"{rows_schema}, version long").parquet(rows).filter(F.col("version") <= number)
+        before = F.col("version") < number
+        there = F.col("relative_path").isNotNull()
+        scans = every.groupBy("scan_id").agg(
+            (F.max("scan_rows") == F.count_if(there)).alias("now"),
+            (F.max(F.when(before, F.col("scan_rows"))) == F.count_if(there & before)).alias("earlier"),
+        ).filter("now")
+        newest = scans.filter("earlier").agg(F.max("scan_id")).first()[0]
+        due = scans.filter("earlier is not true").select("scan_id")
+        if newest is not None:
+            due = due.filter(F.col("scan_id") > newest)
+        current = read_version(spark, state, before=number)
+        current, done = inventory if current is None else current, False
+        for scan in sorted(r[0] for r in due.collect()):
+            listing = every.filter((F.col("scan_id") == scan) & there).drop("scan_id", "scan_rows", "version")
+            current, done = settled(inventory_after(assign_ids(scan_diff(current, listing)))), True
+        if done:
+            write_version(current, state, number)
+
+    rows_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in listings.schema.fields)
     return listings.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).start()
 
 
