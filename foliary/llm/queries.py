@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliary.llm import dialogues, hosts, leaks, lines, mixing, nearcopies, pages, sanitising, tokens, toxicity
+from foliary.llm import collocations, dialogues, hosts, leaks, lines, mixing, nearcopies, pages, sanitising, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,10 @@ def op10_subset_sum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(_table(spark, sf_dir, "documents"))
 
 
+def op11_top_order_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_host_paths": op1_host_paths,
     "op2_line_hashes": op2_line_hashes,
@@ -67,6 +71,7 @@ QUERIES = {
     "op8_perspectives": op8_perspectives,
     "op9_disclosure": op9_disclosure,
     "op10_subset_sum_mix": op10_subset_sum_mix,
+    "op11_top_order_rollup": op11_top_order_rollup,
 }
 
 _HOST_RULES = ("few_words", "repeats", "symbols", "dup_lines")
@@ -163,5 +168,43 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND host NOT IN (SELECT host FROM bad) AS kept
 FROM m
+""",
+    "op11_top_order_rollup": """
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split(translate(coalesce(text, ''),
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?' || chr(11) || chr(12) || chr(13),
+         'abcdefghijklmnopqrstuvwxyz' || repeat(chr(10), 9)), chr(10))) AS piece
+  FROM documents
+),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM p),
+i AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+t AS MATERIALIZED (SELECT lang, w[i] AS w1, w[i + 1] AS w2, w[i + 2] AS w3 FROM i),
+total AS (SELECT lang, count(*) AS n FROM t GROUP BY lang),
+f1 AS MATERIALIZED (SELECT lang, w1, count(*) AS n FROM t GROUP BY ALL),
+f2 AS MATERIALIZED (SELECT lang, w1, w2, count(*) AS n FROM t WHERE w2 IS NOT NULL GROUP BY ALL),
+f3 AS MATERIALIZED (SELECT lang, w1, w2, w3, count(*) AS n FROM t WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+inside AS (
+  SELECT lang, x, y, max(n) AS n FROM (SELECT lang, w1 AS x, w2 AS y, n FROM f3 UNION ALL SELECT lang, w2, w3, n FROM f3) GROUP BY ALL
+),
+cut AS (
+  SELECT f.lang, f.w1 || ' ' || f.w2 AS phrase, f.n AS a, 1 AS k, a.n AS l, b.n AS r
+  FROM f2 f JOIN f1 a ON a.lang = f.lang AND a.w1 = f.w1 JOIN f1 b ON b.lang = f.lang AND b.w1 = f.w2
+  LEFT JOIN inside i ON i.lang = f.lang AND i.x = f.w1 AND i.y = f.w2
+  WHERE f.n >= 10 AND (i.n IS NULL OR 100 * i.n < 50 * f.n)
+  UNION ALL
+  SELECT f.lang, f.w1 || ' ' || f.w2 || ' ' || f.w3, f.n, 1, a.n, b.n
+  FROM f3 f JOIN f1 a ON a.lang = f.lang AND a.w1 = f.w1 JOIN f2 b ON b.lang = f.lang AND b.w1 = f.w2 AND b.w2 = f.w3
+  UNION ALL
+  SELECT f.lang, f.w1 || ' ' || f.w2 || ' ' || f.w3, f.n, 2, a.n, b.n
+  FROM f3 f JOIN f2 a ON a.lang = f.lang AND a.w1 = f.w1 AND a.w2 = f.w2 JOIN f1 b ON b.lang = f.lang AND b.w1 = f.w3
+),
+s AS (SELECT *, ((1000000::HUGEINT * a * a) // (l::HUGEINT * r))::BIGINT AS score FROM cut),
+low AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS nth FROM s),
+best AS (
+  SELECT lang, phrase, a, l, r, score, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+  FROM low WHERE nth = 1
+)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score
+FROM best JOIN total USING (lang) WHERE rank <= 2000
 """,
 }
