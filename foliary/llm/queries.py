@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliary.llm import collocations, dialogues, hosts, leaks, lines, mixing, nearcopies, pages, sanitising, tokens, toxicity
+from foliary.llm import alignment, collocations, dialogues, hosts, leaks, lines, mixing, nearcopies, pages, sanitising, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,10 @@ def op11_top_order_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(_table(spark, sf_dir, "documents"))
 
 
+def op12_token_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignments(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_host_paths": op1_host_paths,
     "op2_line_hashes": op2_line_hashes,
@@ -72,6 +76,7 @@ QUERIES = {
     "op9_disclosure": op9_disclosure,
     "op10_subset_sum_mix": op10_subset_sum_mix,
     "op11_top_order_rollup": op11_top_order_rollup,
+    "op12_token_spans": op12_token_spans,
 }
 
 _HOST_RULES = ("few_words", "repeats", "symbols", "dup_lines")
