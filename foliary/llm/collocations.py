@@ -6,6 +6,11 @@ sums each window into its shorter prefixes, which gives every word and word pair
 occurrences, since each occurrence opens exactly one window, and the words of each language as well.
 No n-gram table beside that one is made.
 
+A window is padded already from its first pair that stands fewer than `least` times, as no phrase with
+that pair can be a candidate. Such pairs are known from a first pass that counts hashes of pairs: the
+frequent ones set bits of a map, sized by their number up to 16 MB; a pair that passes by chance is counted
+for nothing and dropped with its sum. Words of a chunk of text are told apart by 64-bit hashes.
+
 A phrase's parts stand at least as often as the phrase, so everything below `least` occurrences is dropped
 once the sums are known. Scores are whole numbers in decimals of 38 digits, exact while a count is below
 10^15. Of each language the best rows are taken in two steps, first in buckets of candidates by hash, so
@@ -17,11 +22,17 @@ empty table gives an empty result; repeated rows count as often as they stand; f
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from hashlib import blake2b
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from foliary.llm.columns import whole
+from foliary.llm.bitmaps import bitmap, bits_for, passes
+from foliary.llm.words import CHUNK_BYTES, FOLDED_BYTE, buffers, mix, span_hashes
 from foliary.operators.sizing import settled
 
 LEAST, TOP = 10, 2000
@@ -29,28 +40,94 @@ LEAST, TOP = 10, 2000
 INSIDE_PERCENT = 50
 #: Buckets in which a language's candidates are ranked before its last ranking.
 BUCKETS = 32
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Marks that end a piece.
-_ENDS = ".,;:!?\n\x0b\x0c\r"
-
-
-def pieces(documents: DataFrame) -> DataFrame:
-    """(lang, words) of every piece: lower-cased words between marks."""
-    # One pass over the characters: letters are folded, tabs become blanks and all marks line breaks.
-    plain = F.translate(whole("text"), _UPPER + "\t" + _ENDS, _LOWER + " " + "\n" * len(_ENDS))
-    cut = documents.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.explode(F.split(plain, "\n")).alias("piece"))
-    return cut.select("lang", F.array_remove(F.split("piece", " "), "").alias("words"))
-
-
-def window_counts(documents: DataFrame) -> DataFrame:
-    """(lang, w1, w2, w3, n): how often each padded window of three words stands."""
-    words = F.col("words")
-    leads = F.arrays_zip(words.alias("w1"), F.slice(words, 2, 1 << 30).alias("w2"), F.slice(words, 3, 1 << 30).alias("w3"))
-    rows = pieces(documents).select("lang", F.inline(leads))
-    pad = F.lit("")
-    return rows.select("lang", "w1", F.coalesce("w2", pad).alias("w2"), F.coalesce("w3", pad).alias("w3")).groupBy(
-        "lang", "w1", "w2", "w3"
-    ).agg(F.count(F.lit(1)).alias("n"))
+#: 0 inside a word, 1 between words, 2 where a piece ends.
+_KIND = np.zeros(256, np.uint8)
+_KIND[[0x20, 0x09]] = 1
+_KIND[list(b".,;:!?\n\x0b\x0c\r")] = 2
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
+_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93], np.uint64)
+
+
+class Windows:
+    """The padded windows of some texts: `word`, `second` and `third` hold word numbers, `second` and `third`
+    -1 where the piece has ended; `text` is the row of each. `words` are the distinct words."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        kind = _KIND[data]
+        inside = kind == 0
+        opens, closes = inside.copy(), inside.copy()
+        opens[1:] &= ~inside[:-1]
+        closes[:-1] &= ~inside[1:]
+        edges = offsets[(offsets > 0) & (offsets < len(data))]
+        opens[edges], closes[edges - 1] = inside[edges], inside[edges - 1]
+        start, end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
+        hashes = span_hashes(data, start, end, FOLDED_BYTE)
+        known, first, self.word = np.unique(hashes, return_index=True, return_inverse=True)
+        raw = _FOLD[data].tobytes()
+        self.words = [raw[x:y].decode() for x, y in zip(start[first].tolist(), end[first].tolist(), strict=True)]
+        self.hashes = known
+        self.text = np.searchsorted(offsets, start, "right") - 1
+        piece = np.cumsum(kind == 2)[start]
+        follows = np.zeros(len(start) + 1, bool)  # whether the next word belongs to the same piece
+        follows[:-2] = (piece[1:] == piece[:-1]) & (self.text[1:] == self.text[:-1]) if len(start) else []
+        lead = np.append(self.word, [-1, -1])
+        self.second = np.where(follows[:-1], lead[1:-1], -1)
+        self.third = np.where(follows[:-1] & follows[1:], lead[2:], -1)
+
+    def pairs(self, langs: np.ndarray) -> np.ndarray:
+        """Hash of (lang, word, second) of each window."""
+        return mix(self.hashes[self.word] * _ODD[0] + self.hashes[self.second] * _ODD[1] + langs[self.text])
+
+
+def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, Windows]]:
+    """(langs, their hashes, windows) of some rows at a time."""
+    for batch in batches:
+        data, offsets = buffers(batch.column("text"))
+        names = batch.column("lang").dictionary_encode()
+        own = [int.from_bytes(blake2b(x.encode(), digest_size=8).digest(), "little") for x in names.dictionary.to_pylist()]
+        langs = np.array(own, np.uint64)[names.indices.to_numpy()] if own else np.zeros(0, np.uint64)
+        row, rows = 0, batch.num_rows
+        while row < rows:
+            last = max(row + 1, int(np.searchsorted(offsets, offsets[row] + CHUNK_BYTES, "right")) - 1)
+            windows = Windows(data[offsets[row] : offsets[last]], offsets[row : last + 1] - offsets[row])
+            if len(windows.word):
+                yield batch.column("lang").slice(row, last - row), langs[row:last], windows
+            row = last
+
+
+def _pair_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for _, langs, windows in _chunked(batches):
+        hashes, times = np.unique(windows.pairs(langs)[windows.second >= 0], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(times)], ["h", "n"])
+
+
+def _windows(frequent: np.ndarray) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for names, langs, windows in _chunked(batches):
+            pairs = passes(frequent, windows.pairs(langs)) & (windows.second >= 0)
+            second = np.where(pairs, windows.second, -1)
+            third = np.where(pairs & np.append(pairs[1:], False), windows.third, -1)
+            padded = np.append(windows.hashes, np.uint64(0))  # -1 is the pad
+            key = mix(windows.hashes[windows.word] * _ODD[0] + padded[second] * _ODD[1] + padded[third] * _ODD[2] + langs[windows.text])
+            _, first, times = np.unique(key, return_index=True, return_counts=True)
+            words = pa.array([*windows.words, ""])
+            columns = [words.take(pa.array(c[first] % len(words))) for c in (windows.word, second, third)]
+            yield pa.RecordBatch.from_arrays(
+                [names.take(pa.array(windows.text[first])), *columns, pa.array(times)], ["lang", "w1", "w2", "w3", "n"]
+            )
+
+    return run
+
+
+def window_counts(documents: DataFrame, least: int = LEAST) -> DataFrame:
+    """(lang, w1, w2, w3, n): the padded windows of three words with their counts, added up a chunk of text at
+    a time. A window is padded from the first pair on that cannot stand `least` times."""
+    rows = documents.select(F.coalesce("lang", F.lit("und")).cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    pairs = rows.mapInArrow(_pair_hashes, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("h")
+    frequent = settled(pairs)
+    bits = bitmap(frequent, F.col("h"), bits_for(frequent.count()))
+    return rows.mapInArrow(_windows(bits), "lang string, w1 string, w2 string, w3 string, n long")
 
 
 def phrase_counts(documents: DataFrame, least: int = LEAST) -> DataFrame:
@@ -58,7 +135,7 @@ def phrase_counts(documents: DataFrame, least: int = LEAST) -> DataFrame:
     size 0 the words of each language."""
     sums = documents.sparkSession.sql(
         "SELECT lang, w1, w2, w3, 3 - bit_count(grouping_id()) AS size, sum(n) AS n FROM {windows} GROUP BY lang, ROLLUP(w1, w2, w3)",
-        windows=window_counts(documents),
+        windows=window_counts(documents, least),
     )
     # A padded window that is summed to its full length, or to the pad of its second word, is no phrase.
     padded = ((F.col("size") == 3) & (F.col("w3") == "")) | ((F.col("size") == 2) & (F.col("w2") == ""))
