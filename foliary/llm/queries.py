@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliary.llm import alignment, collocations, dialogues, hosts, leaks, lines, mixing, nearcopies, pages, sanitising, tokens, toxicity
+from foliary.llm import alignment, collocations, dialogues, hosts, leaks, lines, mixing, nearcopies, pages, sanitising, suffixes, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,10 @@ def op12_token_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.alignments(_table(spark, sf_dir, "documents"))
 
 
+def op13_columnwise_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.report(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_host_paths": op1_host_paths,
     "op2_line_hashes": op2_line_hashes,
@@ -77,6 +81,7 @@ QUERIES = {
     "op10_subset_sum_mix": op10_subset_sum_mix,
     "op11_top_order_rollup": op11_top_order_rollup,
     "op12_token_spans": op12_token_spans,
+    "op13_columnwise_suffixes": op13_columnwise_suffixes,
 }
 
 _HOST_RULES = ("few_words", "repeats", "symbols", "dup_lines")
