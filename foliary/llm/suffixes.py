@@ -9,18 +9,19 @@ mostly share theirs: such a run of windows is one string of less than 2 * WINDOW
 
 1. hashes of anchors are counted; only runs whose anchor stands twice or more go on (a bit map, sized by their
    number up to 16 MB; what passes by chance is dropped at 2);
-2. equal strings of an anchor are one string with the earliest rank; all windows of the others are repeats;
-   anchors left with a single string are done, as equal windows lie at equal places beside their anchor;
-3. the strings of the other anchors are read once more from the texts and form collections of some
-   `PART_BYTES`. An anchor with more than `HOT` different strings is split first: its windows go to two longer
-   grams, one to the left and one to the right, and so on up to the whole window, so that neither a common line
-   nor a large family of copies fills one task;
+2. equal strings of an anchor are one string with the earliest rank, found by digest and never shuffled as text.
+   The texts are read once more: a run that is not in the map of these first ones is a repeat for certain, and
+   neighbours among them leave the task as one; the few others are told apart by a join. Anchors
+   with a single string are done, as equal windows lie at equal places beside their anchor;
+3. the strings of the other anchors form collections of some `PART_BYTES`. An anchor with more than `HOT`
+   different strings is split first: its windows go to two longer grams, one to the left and one to the right, and
+   so on up to the whole window, so that neither a common line nor a large family of copies fills one task;
 4. each collection is sorted column-wise: in every round one symbol of each string is inserted, from the
    right end on, into the Burrows-Wheeler transform of all suffixes so far, and the common prefixes of new
    neighbours follow from those of the round before by range minima. Both columns are files in the
    session's shared folder, read and written in sequence once a round. Rows that share WINDOW bytes with the row
    before are equal windows; all but the earliest are repeats;
-5. repeated windows go back to their texts as runs, by doc_id and hash of the text, and are cut out.
+5. repeated windows go back to their texts as runs, by doc_id and hash of the text (32 bits beside the id), and are cut out.
 
 Cases: a null or empty text has no window. Rows with one doc_id and one text are the same document, so neither
 repeats the other; rows with one doc_id and different texts are documents in the order of their texts' hash; a null
@@ -36,7 +37,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliary.llm.bitmaps import bitmap, bits_for, passes
@@ -44,7 +45,7 @@ from foliary.llm.tokens import _opened as opened
 from foliary.llm.words import _BACK, _STEP, RAW_BYTE, _powers, buffers, mix, span_hashes
 from foliary.operators.sizing import new_folder, settled
 
-WINDOW, GRAM = 100, 50
+WINDOW, GRAM = 100, 40
 #: Bytes of strings in one collection, and the most different strings of an anchor in it.
 PART_BYTES, HOT = 1 << 21, 4_000
 #: Bytes of text handled at once; positions inside them take 20 bits.
@@ -52,8 +53,16 @@ CHUNK_BYTES = 1 << 18
 _PLACE = np.uint64((1 << 20) - 1)
 _GRAM_BYTE = np.random.Generator(np.random.PCG64(20_251_113)).integers(1, 1 << 63, 256, dtype=np.uint64)
 
-RUN = "doc_id long, th long, start long, n int, gram int, key long, digest long, id long"
-SPAN = "doc_id long, th long, start long, n int"
+#: `place` is the hash of the text (32 bits) and the position in it (31 bits).
+RUN = "doc_id long, place long, key long, digest long"
+SEEN = "doc_id long, place long, n int, gram int, key long, digest long, maybe boolean, string binary"
+STRING = "doc_id long, place long, n int, gram int, key long, digest long, string binary"
+SPAN = "doc_id long, place long, n int"
+PLACE_BITS = 31
+
+
+def _names(schema: str) -> list[str]:
+    return [field.split()[0] for field in schema.split(", ")]
 
 
 def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
@@ -84,11 +93,12 @@ def runs(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW, gram: int
     opens = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1] + 1) | (anchor[at[1:]] != anchor[at[:-1]])]))
     start, count = at[opens], np.diff(np.append(opens, len(at)))
     text = np.searchsorted(offsets, start, "right") - 1
-    return text, start, count, anchor[start], hashes[anchor[start]]
+    # The least of many hashes has leading zeros; mixed again, its bits are spread for the maps.
+    return text, start, count, anchor[start], mix(hashes[anchor[start]] + np.uint64(_STEP))
 
 
-def _ids(doc_id: np.ndarray, th: np.ndarray, start: np.ndarray) -> np.ndarray:
-    return mix(mix(th.view(np.uint64) * np.uint64(_STEP) + doc_id.view(np.uint64)) + start.view(np.uint64))
+def _ids(doc_id: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return mix(mix(doc_id.view(np.uint64) * np.uint64(_STEP)) + place.view(np.uint64))
 
 
 class _Chunk:
@@ -98,11 +108,12 @@ class _Chunk:
         self.data = data
         text, self.at, self.n, anchor, self.key = runs(data, offsets)
         self.row = rows[text]
-        self.start = self.at - offsets[text] + shift
         self.gram = anchor - self.at
-        ids = batch.column("doc_id").take(pa.array(self.row))
-        self.doc_id, self.th = ids, batch.column("th").to_numpy()[self.row]
-        self.id = _ids(ids.fill_null(-1).to_numpy(zero_copy_only=False), self.th, self.start)
+        self.doc_id = batch.column("doc_id").take(pa.array(self.row))
+        self.place = batch.column("text_place").to_numpy()[self.row] + self.at - offsets[text] + shift
+
+    def digests(self, some: np.ndarray) -> np.ndarray:
+        return span_hashes(self.data, self.at[some], self.at[some] + self.n[some] + WINDOW - 1).view(np.int64)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[_Chunk]:
@@ -130,26 +141,45 @@ def _runs(repeated: np.ndarray) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in _chunks(batches):
             some = np.flatnonzero(passes(repeated, c.key))
-            digests = span_hashes(c.data, c.at[some], c.at[some] + c.n[some] + WINDOW - 1)
-            longs = [pa.array(x) for x in (c.th[some], c.start[some])]
-            ints = [pa.array(x[some].astype(np.int32)) for x in (c.n, c.gram)]
-            hashes = [pa.array(x.view(np.int64)) for x in (c.key[some], digests, c.id[some])]
-            yield pa.RecordBatch.from_arrays([c.doc_id.take(pa.array(some)), *longs, *ints, *hashes], [f.split()[0] for f in RUN.split(", ")])
+            longs = [pa.array(x) for x in (c.place[some], c.key[some].view(np.int64), c.digests(some))]
+            yield pa.RecordBatch.from_arrays([c.doc_id.take(pa.array(some)), *longs], _names(RUN))
 
     return run
 
 
-def _strings(wanted: np.ndarray) -> Callable:
+def _with_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids = _ids(batch.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False), batch.column("place").to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64)), batch.column("several")], ["id", "several"])
+
+
+def _seen(repeated: np.ndarray, firsts: np.ndarray, several: np.ndarray) -> Callable:
+    """Runs that are surely repeats, neighbours joined, and those that may be the first of their string; these with
+    the string itself if their anchor may have several."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
         for c in _chunks(batches):
-            some = np.flatnonzero(passes(wanted, c.id))
-            if len(some):
-                raw = c.data.tobytes()
-                strings = [raw[a : a + n + WINDOW - 1] for a, n in zip(c.at[some].tolist(), c.n[some].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c.id[some].view(np.int64)), pa.array(c.th[some]), pa.array(c.start[some]), pa.array(strings, pa.binary())],
-                    ["id", "th", "start", "string"],
-                )
+            some = np.flatnonzero(passes(repeated, c.key))
+            ids = _ids(c.doc_id.fill_null(-1).to_numpy(zero_copy_only=False)[some], c.place[some])
+            maybe = passes(firsts, ids)
+            sure = some[~maybe]
+            opens = np.ones(len(sure), bool)
+            opens[1:] = (c.row[sure][1:] != c.row[sure][:-1]) | (c.place[sure][1:] != c.place[sure][:-1] + c.n[sure][:-1])
+            at = np.flatnonzero(opens)
+            total = np.add.reduceat(c.n[sure], at) if len(at) else np.zeros(0, np.int64)
+            none = [pa.nulls(len(at), k) for k in kinds]
+            yield pa.RecordBatch.from_arrays(
+                [c.doc_id.take(pa.array(sure[at])), pa.array(c.place[sure[at]]), pa.array(total.astype(np.int32)), *none[3:6], pa.array(np.zeros(len(at), bool)), none[7]],
+                _names(SEEN),
+            )
+            some, ids = some[maybe], ids[maybe]
+            raw, wanted = c.data.tobytes(), passes(several, ids).tolist()
+            strings = [raw[a : a + n + WINDOW - 1] if w else None for a, n, w in zip(c.at[some].tolist(), c.n[some].tolist(), wanted, strict=True)]
+            columns = [c.place[some], c.n[some], c.gram[some], c.key[some].view(np.int64), c.digests(some), np.ones(len(some), bool), strings]
+            yield pa.RecordBatch.from_arrays(
+                [c.doc_id.take(pa.array(some)), *[pa.array(x, k) if x is strings else pa.array(x).cast(k) for x, k in zip(columns, kinds[1:], strict=True)]],
+                _names(SEEN),
+            )
 
     return run
 
@@ -170,40 +200,42 @@ def _longer(gram: int) -> Callable:
                     if n > 0:
                         string = r["string"][first : first + n + WINDOW - 1]
                         key = hashed(r["string"][place : place + gram + step])
-                        out.append(r | {"start": r["start"] + first, "n": n, "gram": place - first, "key": key, "digest": hashed(string), "string": string})
+                        out.append(r | {"place": r["place"] + first, "n": n, "gram": place - first, "key": key, "digest": hashed(string), "string": string})
             yield pa.RecordBatch.from_pylist(out, schema=batch.schema)
 
     return run
 
 
-def _apart(found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(runs that repeat an equal string, the earliest run of each string of anchors with several)."""
-    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th", "start", "id")
-    ranked = found.withColumn("rank", rank)
-    carried = [F.max(c).alias(c) for c in found.columns if c in ("n", "gram", "string")]
-    first = settled(ranked.groupBy("key", "digest").agg(F.min("rank").alias("first"), F.max("rank").alias("final"), *carried))
-    copies = ranked.join(first.filter("first < final").select("key", "digest", "first"), ["key", "digest"]).filter("rank > first")
-    several = first.groupBy("key").agg(F.count(F.lit(1)).alias("strings")).filter("strings > 1").select("key")
-    kept = first.join(several, "key", "left_semi").select(
-        "first.doc_id", "first.th", "first.start", "n", "gram", "key", "digest", "first.id", *[c for c in ("string",) if c in found.columns]
+def _rank() -> Column:
+    return F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "place")
+
+
+def _same_place(a: DataFrame, b: DataFrame) -> Column:
+    return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["place"] == b["place"])
+
+
+def _firsts(runs_: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
+    """The earliest run of each string: doc_id, place, key, digest, and whether its anchor has `several` strings."""
+    first = settled(runs_.groupBy("key", "digest").agg(F.min(_rank()).alias("first"), *[F.max(c).alias(c) for c in carried]))
+    many = first.groupBy("key").agg(F.count(F.lit(1)).alias("strings")).filter("strings > 1").select("key", F.lit(True).alias("several"))
+    return first.join(many, "key", "left").select(
+        "first.doc_id", "first.place", "key", "digest", F.coalesce("several", F.lit(False)).alias("several"), *carried
     )
-    return copies.select("doc_id", "th", "start", "n"), kept
 
 
 def _split_hot(strings: DataFrame, hot: int) -> tuple[list[DataFrame], list[DataFrame]]:
     """(collections without an anchor of more than `hot` strings, runs found to repeat on the way)."""
     done, copies, gram = [], [], GRAM
-    schema = RUN + ", string binary"
     while True:
         many = settled(strings.groupBy("key").agg(F.count(F.lit(1)).alias("strings")).filter(F.col("strings") > hot).select("key"))
         if gram == WINDOW or many.isEmpty():
             return [*done, strings], copies
         done.append(strings.join(many, "key", "left_anti"))
-        halves = settled(strings.join(many, "key", "left_semi").select([f.split()[0] for f in schema.split(", ")]).mapInArrow(_longer(gram), schema))
+        halves = settled(strings.join(many, "key", "left_semi").select(_names(STRING)).mapInArrow(_longer(gram), STRING))
         gram += (WINDOW - gram + 1) // 2
-        repeats, kept = _apart(halves)
-        copies.append(repeats)
-        strings = settled(kept)
+        first = settled(_firsts(halves, ("n", "gram", "string")))
+        copies.append(halves.join(first, _same_place(halves, first) & (halves["key"] == first["key"]), "left_anti").select(_names(SPAN)))
+        strings = settled(first.filter("several").select(_names(STRING)))
 
 
 class Columns:
@@ -296,13 +328,13 @@ def sorted_suffixes(strings: list[bytes], columns: Columns, depth: int = WINDOW)
 
 def repeated_windows(strings: list[bytes], ranks: np.ndarray, columns: Columns) -> list[tuple[int, int, int]]:
     """(string, first window, windows) of the runs of windows that an earlier equal one repeats; `ranks` has the
-    rows (null id, doc_id, hash of the text, start) of each string."""
+    rows (null id, doc_id, place) of each string."""
     of, length, common = sorted_suffixes(strings, columns)
     sizes = np.array([len(s) for s in strings])
     group = np.cumsum(common < WINDOW)
     whole = np.flatnonzero(length >= WINDOW)
     of, first, group = of[whole], sizes[of[whole]] - length[whole], group[whole]
-    order = np.lexsort((ranks[3][of] + first, ranks[2][of], ranks[1][of], ranks[0][of], group))
+    order = np.lexsort((ranks[2][of] + first, ranks[1][of], ranks[0][of], group))
     of, first, group = of[order], first[order], group[order]
     later = np.concatenate([[False], group[1:] == group[:-1]])
     found = sorted(zip(of[later].tolist(), first[later].tolist(), strict=True))
@@ -322,37 +354,45 @@ def _collection(folder: str) -> Callable:
             return
         table = pa.Table.from_batches(tables)
         ids = table["doc_id"]
-        ranks = np.stack([ids.is_null().to_numpy(), ids.fill_null(0).to_numpy(), table["th"].to_numpy(), table["start"].to_numpy()]).astype(np.int64)
+        ranks = np.stack([ids.is_null().to_numpy(), ids.fill_null(0).to_numpy(), table["place"].to_numpy()]).astype(np.int64)
         found = repeated_windows(table["string"].to_pylist(), ranks, Columns(folder))
         string, first, n = np.array(found, np.int64).reshape(-1, 3).T
         yield pa.RecordBatch.from_arrays(
-            [ids.combine_chunks().take(pa.array(string)), pa.array(ranks[2][string]), pa.array(ranks[3][string] + first), pa.array(n.astype(np.int32))],
-            ["doc_id", "th", "start", "n"],
+            [ids.combine_chunks().take(pa.array(string)), pa.array(ranks[2][string] + first), pa.array(n.astype(np.int32))], _names(SPAN)
         )
 
     return run
 
 
+def _text_place() -> Column:
+    """The place of a text's first byte."""
+    return F.shiftleft(F.hash("text").cast("long").bitwiseAND(F.lit((1 << 32) - 1)), PLACE_BITS)
+
+
 def repeated_runs(documents: DataFrame, hot: int = HOT, part_bytes: int = PART_BYTES) -> DataFrame:
-    """(doc_id, th, start, n): runs of n windows, from byte `start` on, that all stand earlier too; `th` is the
-    hash of the text they are in."""
+    """(doc_id, place, n): runs of n windows from this place on that all stand earlier too."""
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(
         F.octet_length("text") >= WINDOW
-    ).withColumn("th", F.xxhash64("text"))
+    ).withColumn("text_place", _text_place())
     counted = rows.mapInArrow(_keys, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h")
     repeated = settled(counted)
-    bits = bitmap(repeated, F.col("h"), bits_for(repeated.count()))
-    copies, kept = _apart(settled(rows.mapInArrow(_runs(bits), RUN)))
-    kept = settled(kept)
-    bits = bitmap(kept, F.col("id"), bits_for(kept.count()))
-    texts = rows.mapInArrow(_strings(bits), "id long, th long, start long, string binary").dropDuplicates(["id", "th", "start"])
-    strings = settled(kept.join(texts, ["id", "th", "start"]))
+    repeated_bits = bitmap(repeated, F.col("h"), bits_for(repeated.count()))
+    first = settled(_firsts(rows.mapInArrow(_runs(repeated_bits), RUN)))
+    ids = settled(first.select("doc_id", "place", "several").mapInArrow(_with_ids, "id long, several boolean"))
+    several = ids.filter("several")
+    bits = [bitmap(x, F.col("id"), bits_for(x.count())) for x in (ids, several)]
+    seen = settled(rows.mapInArrow(_seen(repeated_bits, *bits), SEEN))
+    sure, maybe = seen.filter("not maybe").select(_names(SPAN)), seen.filter("maybe")
+    keys = ["doc_id", "place"]
+    known = settled(maybe.join(first.select(*keys, "several"), _same_place(maybe, first), "left").select(*[maybe[c] for c in _names(STRING)], "several"))
+    copies = known.filter("several is null").select(_names(SPAN))
+    strings = settled(known.filter("several").select(_names(STRING)).dropDuplicates(["key", "digest"]))
     parts, more = _split_hot(strings, hot)
-    dealt = settled(reduce(DataFrame.unionByName, parts).select("doc_id", "th", "start", "key", "string"))
+    dealt = settled(reduce(DataFrame.unionByName, parts).select(*keys, "key", "string"))
     size = dealt.agg(F.sum(F.octet_length("string"))).first()[0] or 0
     folder = new_folder(documents.sparkSession, "columns")
     found = dealt.repartition(max(1, -(-size // part_bytes)), "key").mapInArrow(_collection(folder), SPAN)
-    return reduce(DataFrame.unionByName, [copies, *more, settled(found)])
+    return reduce(DataFrame.unionByName, [sure, copies, *more, settled(found)])
 
 
 def _cut(batches: Iterator[pa.RecordBatch], keep: bool) -> Iterator[pa.RecordBatch]:
@@ -381,11 +421,12 @@ def _cut(batches: Iterator[pa.RecordBatch], keep: bool) -> Iterator[pa.RecordBat
 def deduplicated(documents: DataFrame, keep: bool = True, hot: int = HOT, part_bytes: int = PART_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document, and with `keep` the bytes that stay (`kept`,
     which may begin or end inside a character)."""
-    spans = repeated_runs(documents, hot, part_bytes).groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(
-        F.collect_list(F.struct("start", "n")).alias("spans")
-    )
+    inside = F.lit((1 << PLACE_BITS) - 1)
+    spans = repeated_runs(documents, hot, part_bytes).groupBy(
+        F.col("doc_id").alias("_id"), (F.col("place") - F.col("place").bitwiseAND(inside)).alias("_place")
+    ).agg(F.collect_list(F.struct(F.col("place").bitwiseAND(inside).alias("start"), "n")).alias("spans"))
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    joined = rows.join(spans, (F.xxhash64("text") == F.col("_th")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    joined = rows.join(spans, (_text_place() == F.col("_place")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep
     return joined.select("doc_id", "text", "spans").mapInArrow(lambda batches: _cut(batches, keep), schema)
 

@@ -3,6 +3,7 @@
 import hashlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from foliary.llm import alignment
@@ -76,8 +77,13 @@ def test_table_against_loop(spark):
 
 
 def test_cut_ends():
-    assert alignment.cut_ends([0, 2, 2, 2, 5], [2, 5, 5, 5, 6], [2, 1, 1, 1, 1]) == [2, 3, 4, 5, 6]
-    assert alignment.cut_ends([0, 1, 1, 1], [1, 1, 1, 4], [1, 1, 1, 1]) == [1, 2, 3, 4]
+    def ends(begins, stops, sizes):
+        n = len(sizes)
+        return alignment.cut_ends(*map(np.array, (begins, stops, sizes)), np.arange(n) == 0, np.zeros(n, int)).tolist()
+
+    assert ends([0, 2, 2, 2, 5], [2, 5, 5, 5, 6], [2, 1, 1, 1, 1]) == [2, 3, 4, 5, 6]
+    assert ends([0, 1, 1, 1], [1, 1, 1, 4], [1, 1, 1, 1]) == [1, 2, 3, 4]
+    assert ends([0, 0, 0], [3, 3, 3], [1, 1, 1]) == [1, 2, 3]
 
 
 def test_empty_table(spark):
