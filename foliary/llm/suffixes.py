@@ -47,7 +47,7 @@ from foliary.operators.sizing import new_folder, settled
 
 WINDOW, GRAM = 100, 40
 #: Bytes of strings in one collection, and the most different strings of an anchor in it.
-PART_BYTES, HOT = 1 << 21, 4_000
+PART_BYTES, HOT = 1 << 21, 1_000
 #: Bytes of text handled at once; positions inside them take 20 bits.
 CHUNK_BYTES = 1 << 18
 _PLACE = np.uint64((1 << 20) - 1)
