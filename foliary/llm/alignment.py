@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliary.llm.tokens import cuts
+from foliary.llm.tokens import byte_alphabet, cuts
 from foliary.llm.words import buffers, span_hashes
 from foliary.operators.sizing import settled
 
@@ -59,14 +59,6 @@ def default_paths() -> tuple[str, str]:
     return public_tokenizers.path(TOKENIZER_A), public_tokenizers.path(TOKENIZER_B)
 
 
-def byte_alphabet() -> dict[str, int]:
-    """The byte of each character in a byte-level vocabulary: visible Latin-1 characters stand for themselves,
-    the other bytes in order for the characters from U+0100 on."""
-    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = sorted(set(range(256)) - set(own))
-    return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
-
-
 def cut_ends(begins: np.ndarray, ends: np.ndarray, sizes: np.ndarray, opens: np.ndarray, place: np.ndarray) -> np.ndarray:
     """Where each token of some pieces ends. A span's end holds unless the token shares a character with the
     next one or has an empty span; then the end is the one before it plus the bytes the token decodes to.

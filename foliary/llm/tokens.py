@@ -32,6 +32,7 @@ import types
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -53,7 +54,9 @@ SHARD_CHARS, MOST_SHARDS = 32_000_000, 20_000
 TRAINING_DOCUMENTS, TRAINING_BYTES, DICTIONARY_BYTES = 2_000, 8_192, 65_536
 LEVEL = 3
 #: Distinct pieces that a worker remembers before it starts anew, and bytes of text encoded at once.
-REMEMBERED, AT_ONCE = 1_000_000, 1 << 20
+REMEMBERED, AT_ONCE = 300_000, 1 << 20
+#: New pieces learned at once, and how many of them are encoded as one text.
+PIECES_AT_ONCE, JOINED = 16_384, 64
 MANIFEST = "shard int, file string, documents long, tokens long"
 
 _VISIBLE = np.zeros(256, bool)
@@ -70,6 +73,14 @@ def default_tokenizer() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def byte_alphabet() -> dict[str, int]:
+    """The byte of each character in a byte-level vocabulary: visible Latin-1 characters stand for themselves,
+    the other bytes in order for the characters from U+0100 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = sorted(set(range(256)) - set(own))
+    return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
+
+
 class Encoder:
     """Ids of texts, remembering those of each distinct piece."""
 
@@ -77,6 +88,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        alphabet = byte_alphabet()
+        entries = {i: len(t) if all(c in alphabet for c in t) else 0 for t, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
+        #: Bytes that each id stands for; 0 where that is not known.
+        self.bytes = np.array([entries.get(i, 0) for i in range(max(entries, default=0) + 1)], np.int64)
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.forget()
 
@@ -86,15 +101,37 @@ class Encoder:
         self.start, self.size, self.count = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
 
     def learn(self, hashes: list[int], pieces: list[str]) -> None:
+        for first in range(0, len(pieces), PIECES_AT_ONCE):
+            some = pieces[first : first + PIECES_AT_ONCE]
+            self._learn(hashes[first : first + PIECES_AT_ONCE], *(self._joined(some) or self._alone(some)))
+
+    def _alone(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces, and how many each has."""
         found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(sizes.sum()))
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes
+
+    def _joined(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """The same from texts of up to JOINED pieces, parted by the bytes of their tokens; None if a token crosses
+        the border of a piece or its bytes are not known."""
+        raw = np.frombuffer("".join(pieces).encode(), np.uint8)
+        edge = np.cumsum([0, *(len(p.encode()) for p in pieces)])
+        opens = (np.arange(len(pieces)) % JOINED == 0) | ~cuts(raw, np.array([0, len(raw)]))[edge[:-1]]
+        at = np.flatnonzero(opens).tolist()
+        flat, _ = self._alone(["".join(pieces[x:y]) for x, y in zip(at, [*at[1:], len(pieces)], strict=True)])
+        ends = np.cumsum(self.bytes[flat])
+        last = np.searchsorted(ends, edge[1:])
+        if len(ends) != (last[-1] + 1 if len(last) else 0) or (ends[last] != edge[1:]).any():
+            return None
+        return flat, np.diff(last, prepend=-1)
+
+    def _learn(self, hashes: list[int], flat: np.ndarray, sizes: np.ndarray) -> None:
         while len(self.ids) < self.used + len(flat):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while len(self.start) < self.count + len(found):
+        while len(self.start) < self.count + len(sizes):
             self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
         self.ids[self.used : self.used + len(flat)] = flat
-        span = slice(self.count, self.count + len(found))
+        span = slice(self.count, self.count + len(sizes))
         self.start[span], self.size[span] = self.used + np.cumsum(sizes) - sizes, sizes
         self.slots.update(zip(hashes, range(span.start, span.stop), strict=True))
         self.used, self.count = self.used + len(flat), span.stop
@@ -169,7 +206,10 @@ def _trained(documents: DataFrame, path: str) -> bytes:
             parts = [ids.astype(width).tobytes()[:TRAINING_BYTES] for _, ids in encoded(batch.column("text"), path)]
             yield pa.RecordBatch.from_arrays([pa.array(parts, pa.binary())], ["ids"])
 
-    chosen = documents.filter(F.length("text") > 0).orderBy(F.xxhash64("doc_id", "text")).limit(TRAINING_DOCUMENTS)
+    # Only hashes are sorted; the texts below the last one are read where they are, equal rows once.
+    hashed = documents.filter(F.length("text") > 0).withColumn("h", F.xxhash64("doc_id", "text"))
+    last = hashed.select("h").orderBy("h").limit(TRAINING_DOCUMENTS).agg(F.max("h")).first()[0]
+    chosen = hashed.filter(F.col("h") <= F.lit(last)).dropDuplicates(["h"]).select("text")
     parts = sorted(row[0] for row in chosen.mapInArrow(samples, "ids binary").collect())
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, parts).as_bytes()

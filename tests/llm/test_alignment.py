@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from foliary.llm import alignment
+from foliary.llm.tokens import byte_alphabet
 
 DOCS = "doc_id long, text string, pair string, row long"
 TEXTS = [
@@ -23,7 +24,7 @@ def docs(spark, texts):
 def brute(texts):
     a, b = alignment.default_paths()
     own = alignment.Aligner(a, b)
-    alphabet = alignment.byte_alphabet()
+    alphabet = byte_alphabet()
     rows = []
     for text in texts:
         ids_a = own.a.encode(" " + text, add_special_tokens=False).ids if text else []
