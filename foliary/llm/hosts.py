@@ -145,10 +145,10 @@ def judged(documents: DataFrame, key: str = "doc_id", limit: float = HOST_LIMIT)
 def kept_documents(documents: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
     """The documents that pass, with their columns unchanged.
 
-    Texts stay where they are: the measures run once for the host counts and once for the filter,
-    and only the short list of rejected hosts is joined.
+    The rows are written once with their measures, which feed the host counts and then the filter, so that
+    no text is measured twice or shuffled; only the short list of rejected hosts is joined.
     """
-    rows = documents.withColumns({"_hq_host": host(F.col("source")), "_hq_m": measures(F.col("text"))})
+    rows = settled(documents.withColumns({"_hq_host": host(F.col("source")), "_hq_m": measures(F.col("text"))}))
     bad = settled(rejected_hosts(host_rates(rows.select("_hq_host", "_hq_m")), limit))
     return (
         rows.filter(~base_failed(F.col("_hq_m")))

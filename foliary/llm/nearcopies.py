@@ -53,6 +53,9 @@ ESTIMATE_FROM, DEVIATIONS = 64, 6.0
 #: Constant of the expected collisions of two HyperMinHash sketches (Yu and Weber, 2017), a fixed value.
 COLLISION = 0.169919487159739093975315012348630288992889
 
+#: Documents whose registers (a long each while they are made) are in memory at once.
+SIGNED_AT_ONCE = 512
+
 _SECOND = np.uint64(0xA0761D6478BD642F)
 #: Row j: the rank of each bucket in the order in which register j borrows.
 _RANK = np.random.Generator(np.random.PCG64(20_170_101)).random((REGISTERS, REGISTERS)).argsort(axis=1).astype(np.int16)
@@ -110,7 +113,7 @@ def estimate(a: np.ndarray, b: np.ndarray, n: int, m: int) -> tuple[float, int]:
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for first, words in chunks(batch.column("text")):
+        for first, words in chunks(batch.column("text"), most=SIGNED_AT_ONCE):
             rows = len(words.offsets) - 1
             shingles, bounds = words.shingle_rows()
             codes = registers(shingles, np.repeat(np.arange(rows), np.diff(bounds)), rows)

@@ -125,11 +125,11 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, Words]]:
-    """The column's words in pieces of whole rows, about `limit` bytes each, with the first row's number."""
+def chunks(column: pa.Array, limit: int = CHUNK_BYTES, most: int = 1 << 30) -> Iterator[tuple[int, Words]]:
+    """The column's words in pieces of whole rows, about `limit` bytes and at most `most` rows each, with the first row's number."""
     data, offsets = buffers(column)
     row, rows = 0, len(offsets) - 1
     while row < rows:
-        last = max(row + 1, int(np.searchsorted(offsets, offsets[row] + limit, "right")) - 1)
+        last = max(row + 1, min(row + most, int(np.searchsorted(offsets, offsets[row] + limit, "right")) - 1))
         yield row, Words(data[offsets[row] : offsets[last]], offsets[row : last + 1] - offsets[row])
         row = last
