@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from catalog import sql
 from foliary.operators import lexical as L
+from foliary.operators.sizing import settled
 from foliary.plans import adapter as A
 from foliary.functions import text as X
 
@@ -64,13 +65,17 @@ def bm25_score(spark, sf):
     )
 
 
+def _ranked(spark, sf):
+    postings = settled(L.part_postings(_search(spark, sf)))
+    return L.rank_candidates(L.question_terms(A.questions(spark, sf)), postings, L.corpus_term_stats(postings))
+
+
 def rank_candidates(spark, sf):
-    return L.rank_candidates(_scores(spark, sf)).select("question_id", "document_id", "part_no", "rank")
+    return _ranked(spark, sf).select("question_id", "document_id", "part_no", "rank")
 
 
 def diversify_candidates(spark, sf):
-    ranked = L.rank_candidates(_scores(spark, sf))
-    return L.diversify_candidates(ranked, 2, 40).select("question_id", "document_id", "part_no", "rank")
+    return L.diversify_candidates(_ranked(spark, sf), 2, 40).select("question_id", "document_id", "part_no", "rank")
 
 
 QUERIES = {

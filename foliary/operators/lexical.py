@@ -11,18 +11,26 @@ Scores are summed as whole numbers of 1e-12, which makes them independent of tas
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable, Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from foliary.functions.text import folded_terms, lexical_normalize, query_terms
-from foliary.operators.sizing import settled, settled_if_small
+from foliary.operators import scoring
+from foliary.operators.sizing import settled
 from foliary.params import LEXICAL_VERSION, SEARCH_OVERFETCH, Params
 
 # Searchable fields with their weights, and the BM25 constants.
 FIELD_WEIGHTS = {"source_path": 12, "title": 10, "metadata": 8, "part_summary": 6, "body": 1}
-K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
-UNITS = 1e12
+K1, B, IDF_FLOOR, UNITS = scoring.K1, scoring.B, 1e-6, scoring.UNITS
+#: A stored index is dealt into so many buckets by term.
+TERM_BUCKETS = 64
 
 PART_KEYS = ["folder_id", "document_id", "part_id"]
 PART_ORDER = ["source_path", "document_id", "part_no"]
@@ -104,7 +112,9 @@ def part_postings(search: DataFrame, vocabulary: DataFrame | None = None) -> Dat
 
 
 def indexed_parts(postings: DataFrame) -> DataFrame:
-    """Every part of the index: (folder_id, document_id, part_id, part_no)."""
+    """Every part of the index: (folder_id, document_id, part_id, part_no); of a stored index one bucket is read."""
+    if "bucket" in postings.columns:
+        postings = postings.filter(F.col("bucket") == term_bucket(F.lit(EVERY_PART)))
     return postings.filter(F.col("term") == EVERY_PART).select(*PART_KEYS, "part_no")
 
 
@@ -125,6 +135,11 @@ def search_postings(terms: DataFrame, postings: DataFrame) -> DataFrame:
     return postings.join(terms.filter(F.col("term") != EVERY_PART), "term")
 
 
+def _idf(parts: Column, found: Column) -> Column:
+    raw = F.log((parts - found + 0.5) / (found + 0.5))
+    return F.when(raw <= 0, F.lit(IDF_FLOOR)).otherwise(raw)
+
+
 def posting_units(postings: DataFrame, stats: DataFrame) -> DataFrame:
     """Postings with what each adds to the score of a question using its term, in units of 1e-12.
 
@@ -137,8 +152,7 @@ def posting_units(postings: DataFrame, stats: DataFrame) -> DataFrame:
     )
     parts, mean = total["parts"], total["mean"]
     found = F.col("document_frequency")
-    raw = F.log((parts - found + 0.5) / (found + 0.5))
-    idf = F.when(raw <= 0, F.lit(IDF_FLOOR)).otherwise(raw)
+    idf = _idf(parts, found)
     known = stats.filter(F.col("term") != EVERY_PART).select("term", idf.alias("idf"))
     weight = F.col("weight").cast("double")
     norm = K1 * ((1 - B) + B * F.col("length") / mean)
@@ -154,15 +168,75 @@ def bm25_score(terms: DataFrame, postings: DataFrame, stats: DataFrame) -> DataF
     return hits.groupBy("question_id", "document_id", "part_no", "source_path").agg(F.sum("units").alias("units"))
 
 
-def rank_candidates(scores: DataFrame, keep: int = SEARCH_OVERFETCH) -> DataFrame:
-    """Best `keep` parts per question; equal scores keep the index order (path, id, part)."""
-    order = [F.desc("units"), *PART_ORDER]
-    position = F.row_number().over(Window.partitionBy("question_id").orderBy(*order))
-    return scores.withColumn("rank", position).filter(F.col("rank") <= keep)
+def term_bucket(term: Column) -> Column:
+    """Bucket of a term in a stored index."""
+    return F.pmod(F.xxhash64(term), F.lit(TERM_BUCKETS)).cast("int")
+
+
+def _weighed(stats: DataFrame) -> Callable[[DataFrame], tuple[DataFrame, float | None]]:
+    """Gives the terms of questions their idf; terms that no part has go."""
+    def run(terms: DataFrame) -> tuple[DataFrame, float | None]:
+        total = stats.filter(F.col("term") == EVERY_PART).select("document_frequency", "mean_length").first()
+        if total is None:
+            return terms.select("question_id", "term", F.lit(0.0).alias("idf")).limit(0), None
+        parts = F.lit(float(total["document_frequency"]))
+        return terms.join(stats, "term").select("question_id", "term", _idf(parts, F.col("document_frequency")).alias("idf")), total["mean_length"]
+
+    return run
+
+
+def _wanted(postings: DataFrame, asked: scoring.Asked) -> DataFrame:
+    """The postings of asked terms. Of a stored index only the buckets of these terms are listed and read; the
+    terms (at most BLOCK_TERMS) are sent to the scan, so that nothing else is moved."""
+    spark = postings.sparkSession
+    terms = spark.createDataFrame(pa.table({"term": asked.terms}))
+    if "bucket" in postings.columns:
+        buckets = [r[0] for r in terms.select(term_bucket(F.col("term"))).distinct().collect()]
+        postings = postings.filter(F.col("bucket").isin(buckets))
+    return postings.join(F.broadcast(terms), "term", "left_semi")
+
+
+def _ranked(rows: DataFrame, keep: int) -> DataFrame:
+    """Best `keep` rows per question; equal scores keep the index order (path, id, part)."""
+    position = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("units"), *PART_ORDER))
+    return rows.withColumn("rank", position).filter(F.col("rank") <= keep)
+
+
+def local_candidates(terms: DataFrame, postings: DataFrame, stats: DataFrame, keep: int = SEARCH_OVERFETCH) -> DataFrame:
+    """The best `keep` parts of every question in each partition, with `read` and `every`, on a question's first row
+    there: the postings that its answer read, of how many (see `scoring`). Wanted postings are moved once, to
+    their part's partition."""
+    kind = dict(terms.dtypes)["question_id"]
+    terms = terms.filter(F.col("term") != EVERY_PART)
+    found = [
+        scoring.best_rows(
+            _wanted(postings, asked).select("document_id", "part_no", "source_path", "term", "weight", "length").repartition("document_id", "part_no"),
+            asked, kind, keep, ["document_id", "part_no", "source_path"], False,
+        )
+        for asked in scoring.asked_blocks(terms, _weighed(stats))
+    ]
+    if not found:
+        return _no_rows(terms, ["document_id long", "part_no int", "source_path string"])
+    return reduce(DataFrame.unionByName, found)
+
 
+def _no_rows(terms: DataFrame, names: list[str]) -> DataFrame:
+    schema = ", ".join([f"question_id {dict(terms.dtypes)['question_id']}", *names, "units long", "read long", "every long"])
+    return terms.sparkSession.createDataFrame([], schema)
 
-def diversify_candidates(ranked: DataFrame, per_document: int | None, limit: int) -> DataFrame:
-    """At most `per_document` parts of a document in rank order, then at most `limit`, re-ranked."""
+
+def rank_candidates(terms: DataFrame, postings: DataFrame, stats: DataFrame, keep: int = SEARCH_OVERFETCH) -> DataFrame:
+    """Best `keep` parts per question: each partition gives its own best, which are then ranked together."""
+    return _ranked(local_candidates(terms, postings, stats, keep).drop("read", "every"), keep)
+
+
+def search_cost(terms: DataFrame, postings: DataFrame, stats: DataFrame, keep: int = SEARCH_OVERFETCH) -> DataFrame:
+    """(question_id, read, every): postings read to answer each question, and postings of its terms."""
+    return local_candidates(terms, postings, stats, keep).groupBy("question_id").agg(F.sum("read").alias("read"), F.sum("every").alias("every"))
+
+
+def diversify_candidates(ranked: DataFrame, per_document: int | None, limit: int, more: tuple[str, ...] = ()) -> DataFrame:
+    """At most `per_document` parts of a document in rank order, then at most `limit`, re-ranked; `more` columns are kept."""
     limit = min(limit, SEARCH_OVERFETCH)
     share = min(per_document, limit) if per_document and per_document > 0 else limit
     within = Window.partitionBy("question_id", "document_id").orderBy("rank")
@@ -173,54 +247,91 @@ def diversify_candidates(ranked: DataFrame, per_document: int | None, limit: int
         .filter(F.col("_rank") <= limit)
         .select(
             "question_id", "document_id", "part_no", F.col("_rank").alias("rank"),
-            F.round(-F.col("units") / UNITS, 6).alias("score"),
+            F.round(-F.col("units") / UNITS, 6).alias("score"), *more,
         )
     )
 
 
 def name_candidates(candidates: DataFrame, parts: DataFrame) -> DataFrame:
     """Candidates with the folder and part id of their part, and the document id as text."""
-    return candidates.join(parts, ["document_id", "part_no"]).select(
-        "question_id", "folder_id", F.col("document_id").cast("string").alias("document_id"), "part_id", "rank", "score"
-    )
+    return candidates.join(parts, ["document_id", "part_no"]).select(*_candidate())
+
+
+def _candidate() -> list[Column]:
+    return [F.col(c).cast("string").alias(c) if c == "document_id" else F.col(c) for c in ("question_id", "folder_id", "document_id", "part_id", "rank", "score")]
 
 
 def search_index(
     questions: DataFrame, postings: DataFrame, stats: DataFrame, params: Params, text: str = "text"
 ) -> DataFrame:
     """Candidates of every question from a stored index."""
-    terms, vocabulary = _search_terms(questions, text)
-    wanted = stats.join(vocabulary, "term", "left_semi")
-    return _best(terms, postings, wanted, params)
+    chosen = diversify_candidates(
+        rank_candidates(question_terms(questions, text), postings, stats), params.lexical_max_parts_per_document, params.lexical_candidate_parts
+    )
+    return name_candidates(chosen, indexed_parts(postings))
 
 
-def _search_terms(questions: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
-    """Query terms, and their distinct terms with the empty one; both broadcast when few."""
-    terms, _ = settled_if_small(question_terms(questions, text))
-    marker = questions.sparkSession.range(1).select(F.lit(EVERY_PART).alias("term"))
-    vocabulary, _ = settled_if_small(terms.select("term").unionByName(marker).distinct())
-    return terms, vocabulary
+def _found_terms(terms: pa.Array) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Parts with the numbers of the asked terms they hold, and the summed weights of these."""
+    fields = [(f"{f}_terms", w) for f, w in FIELD_WEIGHTS.items()]
+    names = [*PART_KEYS, "part_no", "source_path", "length"]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, weights = [], []
+            for field, weight in fields:
+                lists = batch.column(field)
+                term = pc.index_in(pc.list_flatten(lists), value_set=terms)
+                some = term.is_valid().to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))[some]
+                keys.append(row * max(1, len(terms)) + term.drop_null().to_numpy().astype(np.int64))
+                weights.append(np.full(len(row), weight))
+            known, place = np.unique(np.concatenate(keys), return_inverse=True)
+            total = np.bincount(place, np.concatenate(weights), len(known)).astype(np.int32)
+            row, term = np.divmod(known, max(1, len(terms)))
+            edges = pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32))
+            found = [pa.ListArray.from_arrays(edges, pa.array(x)) for x in (term.astype(np.int32), total)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], *found], [*names, "found", "weights"])
 
-def _best(terms: DataFrame, postings: DataFrame, stats: DataFrame, params: Params) -> DataFrame:
-    scores = bm25_score(terms, postings, stats)
-    chosen = diversify_candidates(
-        rank_candidates(scores), params.lexical_max_parts_per_document, params.lexical_candidate_parts
-    )
-    return name_candidates(chosen, indexed_parts(postings))
+    return run
+
+
+def _parts_found(records: DataFrame, terms: pa.Array) -> DataFrame:
+    search = part_search(records)
+    kinds = dict(search.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in [*PART_KEYS, "part_no", "source_path", "length"])
+    return search.mapInArrow(_found_terms(terms), f"{schema}, found array<int>, weights array<int>")
 
 
 def top_candidates(
     questions: DataFrame, records: DataFrame, params: Params, text: str = "text"
 ) -> DataFrame:
-    """Candidates of every question straight from the part records, in one pass over the text.
+    """Candidates of every question straight from the part records, in one pass over the text for each block of questions.
 
-    Only postings of terms that some question uses leave the scan stage; they are written once,
-    because both the statistics and the scores read them.
+    A part becomes one row with the asked terms it holds. These rows are written once, as the statistics and
+    the scores both read them, and are never moved: a partition answers all questions from its own parts.
     """
-    terms, vocabulary = _search_terms(questions, text)
-    postings = settled(part_postings(part_search(records), vocabulary))
-    return _best(terms, postings, corpus_term_stats(postings), params)
+    terms = question_terms(questions, text).filter(F.col("term") != EVERY_PART)
+    kind = dict(terms.dtypes)["question_id"]
+    keep, names, found = SEARCH_OVERFETCH, [*PART_KEYS, "part_no", "source_path"], []
+    blocks = scoring.asked_blocks(terms, lambda mine: (mine.withColumn("idf", F.lit(0.0)), 0.0))
+    for unweighed in blocks:
+        parts = settled(_parts_found(records, unweighed.terms))
+        total = parts.agg(F.count("*").cast("double").alias("parts"), F.avg("length").alias("mean")).first()
+        if not total["parts"]:
+            continue
+        held = parts.select(F.explode("found").alias("number")).groupBy("number").agg(F.count("*").alias("held"))
+        rows = held.select("number", _idf(F.lit(total["parts"]), F.col("held")).alias("idf")).toArrow()
+        idf = np.zeros(len(unweighed.terms))
+        idf[rows["number"].to_numpy()] = rows["idf"].to_numpy()
+        asked = scoring.Asked(unweighed.questions, unweighed.first, unweighed.term, unweighed.terms, idf, total["mean"])
+        found.append(scoring.best_rows(parts, asked, kind, keep, names, True))
+    if not found:
+        best = _no_rows(terms, ["folder_id string", "document_id long", "part_id string", "part_no int", "source_path string"])
+    else:
+        best = reduce(DataFrame.unionByName, found)
+    ranked = _ranked(best.drop("read", "every"), keep)
+    return diversify_candidates(ranked, params.lexical_max_parts_per_document, params.lexical_candidate_parts, ("folder_id", "part_id")).select(*_candidate())
 
 
 def index_metadata(postings: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Shared intermediate tables, size-checked broadcasts and skew-free numbering, shared by the operators."""
+"""Shared intermediate tables and skew-free numbering, shared by the operators."""
 
 from __future__ import annotations
 
@@ -10,20 +10,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-SMALL_ROWS = 100_000
-
-
-def settled_if_small(frame: DataFrame, max_rows: int = SMALL_ROWS) -> tuple[DataFrame, bool]:
-    """A frame of at most `max_rows` rows as a broadcast local table, any other one unchanged.
-
-    The check fetches no more than `max_rows` + 1 rows. A larger frame joins by shuffle, where
-    adaptive execution splits skewed keys.
-    """
-    rows = frame.limit(max_rows + 1).toArrow()
-    if rows.num_rows > max_rows:
-        return frame, False
-    return F.broadcast(frame.sparkSession.createDataFrame(rows, schema=frame.schema)), True
-
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: the session's `spark.checkpoint.dir`.
