@@ -54,7 +54,7 @@ SHARD_CHARS, MOST_SHARDS = 32_000_000, 20_000
 TRAINING_DOCUMENTS, TRAINING_BYTES, DICTIONARY_BYTES = 2_000, 8_192, 65_536
 LEVEL = 3
 #: Distinct pieces that a worker remembers before it starts anew, and bytes of text encoded at once.
-REMEMBERED, AT_ONCE = 300_000, 1 << 20
+REMEMBERED, AT_ONCE = 500_000, 1 << 20
 #: New pieces learned at once, and how many of them are encoded as one text.
 PIECES_AT_ONCE, JOINED = 16_384, 64
 MANIFEST = "shard int, file string, documents long, tokens long"
@@ -96,36 +96,42 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.slots: dict[int, int] = {}
+        self.known, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
         self.start, self.size, self.count = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
 
-    def learn(self, hashes: list[int], pieces: list[str]) -> None:
-        for first in range(0, len(pieces), PIECES_AT_ONCE):
-            some = pieces[first : first + PIECES_AT_ONCE]
-            self._learn(hashes[first : first + PIECES_AT_ONCE], *(self._joined(some) or self._alone(some)))
-
-    def _alone(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all pieces, and how many each has."""
+    def learn(self, hashes: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        """Encodes the pieces `data[start:end]`, whose hashes are new and in order."""
+        slots = np.arange(self.count, self.count + len(hashes))
+        at = np.searchsorted(self.known, hashes)
+        self.known, self.slots = np.insert(self.known, at, hashes), np.insert(self.slots, at, slots)
+        for first in range(0, len(hashes), PIECES_AT_ONCE):
+            some = slice(first, first + PIECES_AT_ONCE)
+            size = end[some] - start[some]
+            edge = np.concatenate([[0], np.cumsum(size)])
+            raw = data[np.repeat(start[some] - edge[:-1], size) + np.arange(edge[-1])]
+            self._learn(*(self._joined(raw, edge) or self._alone(raw, edge)))
+
+    def _alone(self, raw: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces `raw[edge[i]:edge[i + 1]]`, and how many each has."""
+        line, at = raw.tobytes(), edge.tolist()
+        pieces = [line[x:y].decode() for x, y in zip(at, at[1:])]
         found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes
 
-    def _joined(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+    def _joined(self, raw: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
         """The same from texts of up to JOINED pieces, parted by the bytes of their tokens; None if a token crosses
         the border of a piece or its bytes are not known."""
-        raw = np.frombuffer("".join(pieces).encode(), np.uint8)
-        edge = np.cumsum([0, *(len(p.encode()) for p in pieces)])
-        opens = (np.arange(len(pieces)) % JOINED == 0) | ~cuts(raw, np.array([0, len(raw)]))[edge[:-1]]
-        at = np.flatnonzero(opens).tolist()
-        flat, _ = self._alone(["".join(pieces[x:y]) for x, y in zip(at, [*at[1:], len(pieces)], strict=True)])
+        opens = (np.arange(len(edge) - 1) % JOINED == 0) | ~cuts(raw, np.array([0, len(raw)]))[edge[:-1]]
+        flat, _ = self._alone(raw, np.append(edge[:-1][opens], len(raw)))
         ends = np.cumsum(self.bytes[flat])
         last = np.searchsorted(ends, edge[1:])
-        if len(ends) != (last[-1] + 1 if len(last) else 0) or (ends[last] != edge[1:]).any():
+        if len(ends) != last[-1] + 1 or (ends[last] != edge[1:]).any():
             return None
         return flat, np.diff(last, prepend=-1)
 
-    def _learn(self, hashes: list[int], flat: np.ndarray, sizes: np.ndarray) -> None:
+    def _learn(self, flat: np.ndarray, sizes: np.ndarray) -> None:
         while len(self.ids) < self.used + len(flat):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while len(self.start) < self.count + len(sizes):
@@ -133,7 +139,6 @@ class Encoder:
         self.ids[self.used : self.used + len(flat)] = flat
         span = slice(self.count, self.count + len(sizes))
         self.start[span], self.size[span] = self.used + np.cumsum(sizes) - sizes, sizes
-        self.slots.update(zip(hashes, range(span.start, span.stop), strict=True))
         self.used, self.count = self.used + len(flat), span.stop
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -146,12 +151,14 @@ class Encoder:
         end = np.append(start[1:], len(data))
         hashes = span_hashes(data, start, end)
         known, first, place = np.unique(hashes, return_index=True, return_inverse=True)
-        slots = np.fromiter((self.slots.get(h, -1) for h in known.tolist()), np.int64, len(known))
-        new = np.flatnonzero(slots < 0)
+        at = np.searchsorted(self.known, known)
+        old = at < len(self.known)
+        old[old] = self.known[at[old]] == known[old]
+        new = np.flatnonzero(~old)
         if len(new):
-            raw = data.tobytes()
-            self.learn(known[new].tolist(), [raw[a:b].decode() for a, b in zip(start[first[new]], end[first[new]], strict=True)])
-            slots[new] = np.arange(self.count - len(new), self.count)
+            self.learn(known[new], data, start[first[new]], end[first[new]])
+            at = np.searchsorted(self.known, known)
+        slots = self.slots[at]
         slot = slots[place]
         size = self.size[slot]
         bounds = np.concatenate([[0], np.cumsum(size)])
