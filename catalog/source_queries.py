@@ -153,10 +153,39 @@ def read_current_generation(spark, sf):
     return stored["documents"].select("folder_id", "document_id", "title")
 
 
+def _earlier(spark, sf):
+    """Files, parts and cards of an earlier day: some documents were not there, some had other texts or titles,
+    and some were there that are not any more."""
+    there = F.when(F.col("id") % 17 == 1, F.lit("PRESENT")).otherwise(F.col("source_status"))
+    ready = F.when(F.col("id") % 17 == 1, F.lit("READY")).otherwise(F.col("conversion_status"))
+    files = A.source_files(spark, sf).filter("id % 10 <> 3").withColumns({"source_status": there, "conversion_status": ready})
+    text = F.when(F.col("document_id") % 10 == 6, F.concat(F.lit("earlier "), "markdown")).otherwise(F.col("markdown"))
+    parts = A.parts(spark, sf).withColumn("markdown", text).withColumn("sha256", F.sha2("markdown", 256))
+    title = F.when(F.col("document_id").cast("long") % 10 == 5, F.reverse("title")).otherwise(F.col("title"))
+    return files, parts, A.cards(spark, sf).withColumn("title", title)
+
+
+def updated(spark, sf, folder):
+    """A generation of the earlier day, and one of today made from it by an update."""
+    files, parts, cards = _earlier(spark, sf)
+    first = PL.publish(spark, PL.build_index(files, parts, cards, Params()), I.eligible_documents(files), folder)
+    today = A.source_files(spark, sf)
+    index = PL.update_index(spark, folder, today, A.parts(spark, sf), A.cards(spark, sf), Params())
+    return first, index, PL.publish(spark, index, I.eligible_documents(today), folder)
+
+
 def incremental_index(spark, sf):
-    _, first = _built(spark, sf)
-    _, second = _built(spark, sf, first.documents)
-    return second.documents.select("folder_id", "document_id", "title", "summary")
+    folder = scratch(spark, "generation")
+    updated(spark, sf, folder)
+    stored = AR.read_current_generation(spark, folder)
+    return stored["documents"].select("folder_id", "document_id", "title", "summary")
+
+
+def incremental_search(spark, sf):
+    folder = scratch(spark, "generation")
+    updated(spark, sf, folder)
+    found = PL.search(spark, folder, A.questions(spark, sf), A.FIXTURE)
+    return found.select("question_id", "document_id", "part_id", "rank")
 
 
 def search(spark, sf):
@@ -259,7 +288,7 @@ QUERIES = {
     for f in (
         read_text_documents, read_delimited_tables, read_json_documents, read_xml_documents, html_pages_to_parts, scan_source_tree,
         write_part_manifest, read_part_manifest, write_folder_index, write_root_index, write_lexical_index, build_index, publish_generation,
-        read_current_generation, incremental_index, search, ingest, ingest_inventory, assemble_answers, part_prompt_rows, routing_prompt_rows, answer_prompt_rows, register_functions,
+        read_current_generation, incremental_index, incremental_search, search, ingest, ingest_inventory, assemble_answers, part_prompt_rows, routing_prompt_rows, answer_prompt_rows, register_functions,
         stream_scan_diff, stream_job_progress,
     )
 }
@@ -303,6 +332,7 @@ FROM docs JOIN (SELECT document_id, count(*) AS n_parts, sha256(string_agg(part_
     "incremental_index": sql.with_(
         sql.FILES, sql.parts(), _ELIGIBLE, select="SELECT folder_id, document_id::VARCHAR AS document_id, title, substr(summary, 1, 600) AS summary FROM eligible"
     ),
+    "incremental_search": sql.with_(_ONLY, sql.lexical(), sql.query_terms(), sql.ranked(), select="SELECT question_id, document_id, part_id, rank FROM candidates"),
     "search": sql.with_(_ONLY, sql.lexical(), sql.query_terms(), sql.ranked(), select="SELECT question_id, document_id, part_id, rank FROM candidates"),
     "ingest": sql.with_(
         sql.FILES, LISTING, CHANGES,

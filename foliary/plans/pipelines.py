@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,8 +13,8 @@ from foliary.operators import answers as W, folds, hierarchy as H, inventory as
 from foliary.operators.chunking import bound_drafts, chunk_sections, number_parts
 from foliary.operators.sizing import number_sorted, settled
 from foliary.operators.tables import empty_table_marker, table_rows_to_parts
-from foliary.params import Params
-from foliary.sources import artifacts, files as S
+from foliary.params import LEXICAL_VERSION, Params
+from foliary.sources import artifacts, files as S, segments
 
 
 #: Routes whose files are per-file codecs without an extractor here.
@@ -102,23 +102,44 @@ def ingest(previous: DataFrame, listing: DataFrame, contents: DataFrame, convert
 
 @dataclass(frozen=True)
 class Index:
-    """A generation before it is published: compact cards, card parts and postings."""
+    """A generation before it is published: compact cards, card parts and postings.
+
+    After `update_index` the postings are those of changed and new documents; `earlier` has the segments they are added
+    to and `gone` the documents (document_id long) whose earlier postings are dead.
+    """
 
     documents: DataFrame
     card_parts: DataFrame
     postings: DataFrame
     params: Params
+    signatures: DataFrame | None = None
+    earlier: segments.Stored | None = None
+    gone: DataFrame | None = None
 
     def base(self) -> dict[str, DataFrame]:
-        return {"documents": self.documents, "card_parts": self.card_parts, "postings": self.postings}
+        frames = {"documents": self.documents, "card_parts": self.card_parts, "postings": self.postings}
+        return frames if self.signatures is None else frames | {"signatures": self.signatures}
 
-    def derive(self, base: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    def derive(self, base: dict[str, DataFrame], folder: str) -> dict[str, DataFrame]:
         """Frames that follow from the base frames; given the written ones, nothing is computed twice."""
+        spark = self.documents.sparkSession
+        counts, names, dead = segments.term_counts(base["postings"]), [folder], segments.no_dead(spark)
+        if self.earlier is not None:
+            live = self.earlier.postings()
+            lost = live.join(self.gone, "document_id", "left_semi")
+            counts = segments.merged_counts(self.earlier.counts, lost, counts)
+            names = [*self.earlier.segments, folder]
+            dead = self.earlier.dead.unionByName(segments.dead_rows(live, self.gone))
+        counts = settled(counts)
+        total = counts.filter(F.col("term") == L.EVERY_PART).select(F.col("parts").alias("part_count"))
         return {
             "root": H.build_root(base["documents"], self.params),
             "folders": H.folder_summary(base["documents"], self.params.folder_summary_topics),
-            "term_stats": L.corpus_term_stats(base["postings"]),
-            "metadata": L.index_metadata(base["postings"]),
+            "term_counts": counts,
+            "term_stats": segments.stats_of(counts),
+            "metadata": total.select(F.lit(LEXICAL_VERSION).alias("schema_version"), "part_count"),
+            "segments": spark.createDataFrame([(n,) for n in names], "segment string"),
+            "dead": dead,
         }
 
     @property
@@ -126,26 +147,75 @@ class Index:
         return H.build_root(self.documents, self.params)
 
 
-def build_index(files: DataFrame, parts: DataFrame, cards: DataFrame, params: Params, current: DataFrame | None = None) -> Index:
+def stored_index(spark: SparkSession, path: str) -> segments.Stored | None:
+    """Segments, dead rows and sums of the active generation; None before the first one."""
+    frames = artifacts.read_current_generation(spark, path, ("segments", "dead", "term_counts"))
+    if not frames:
+        return None
+    names = [r[0] for r in frames["segments"].collect()]
+    return segments.Stored(path, names, frames["dead"], frames["term_counts"])
+
+
+def _eligible(files: DataFrame, parts: DataFrame, cards: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Eligible documents, their cards and their parts."""
+    eligible = I.eligible_documents(files)
+    chosen = cards.join(eligible.select(F.col("id").cast("string").alias("document_id")), "document_id", "left_semi")
+    return eligible, chosen, parts.join(eligible.select(F.col("id").alias("document_id")), "document_id", "left_semi")
+
+
+def build_index(
+    files: DataFrame, parts: DataFrame, cards: DataFrame, params: Params, current: DataFrame | None = None, changed: DataFrame | None = None
+) -> Index:
     """Folder, root and search index of the eligible documents.
 
     With `current` (the compact cards of the active generation) the rows of folders whose documents and
-    cards did not change are taken over as they are.
+    cards did not change are taken over as they are; `changed` has ids of documents that did beside those whose
+    status says so.
     """
-    eligible = I.eligible_documents(files)
-    ids = eligible.select(F.col("id").cast("string").alias("document_id"))
-    chosen = cards.join(ids, "document_id", "left_semi")
+    eligible, chosen, own = _eligible(files, parts, cards)
     documents = H.group_cards_by_folder(eligible, chosen)
     if current is not None:
         refreshed = eligible.filter("index_status <> 'INDEXED'").select(F.col("id").cast("string").alias("document_id"))
-        reuse = H.folder_reuse_set(documents, current, refreshed)
+        reuse = H.folder_reuse_set(documents, current, refreshed if changed is None else refreshed.unionByName(changed).distinct())
         kept = reuse.filter("reuse").select("folder_id")
         documents = current.join(kept, "folder_id", "left_semi").unionByName(documents.join(kept, "folder_id", "left_anti"))
-    own = parts.join(eligible.select(F.col("id").alias("document_id")), "document_id", "left_semi")
     records = H.cards_with_artifacts(chosen, own)
     directory = source_directory_of(F.col("source_path"))
     card_parts = H.explode_card_parts(chosen).withColumn("folder_id", folder_id_of(directory))
-    return Index(documents, card_parts, L.part_postings(L.part_search(records)), params)
+    return Index(documents, card_parts, L.part_postings(L.part_search(records)), params, segments.signatures(chosen, own))
+
+
+def update_index(spark: SparkSession, path: str, files: DataFrame, parts: DataFrame, cards: DataFrame, params: Params) -> Index:
+    """The next generation of a stored index, to be given to `publish`.
+
+    Documents are compared with the active generation by their signatures. Only changed and new ones are
+    tokenised; their postings become a segment of their own, and earlier postings of changed and removed documents
+    are dead. With too many segments or dead documents all live postings are written as one segment (see
+    `segments`). Before the first generation this is `build_index`.
+    """
+    earlier = stored_index(spark, path)
+    if earlier is None:
+        return build_index(files, parts, cards, params)
+    stored = artifacts.read_current_generation(spark, path, ("documents", "signatures"))
+    _, chosen, own = _eligible(files, parts, cards)
+    now = settled(segments.signatures(chosen, own))
+    changed = settled(segments.changes(stored["signatures"], now))
+    gone = settled(changed.filter("known").select(F.col("document_id").cast("long").alias("document_id")))
+    fresh = changed.filter("fresh").select("document_id")
+    whole = build_index(files, parts, cards, params, stored["documents"], fresh)
+    own = own.join(fresh.select(F.col("document_id").cast("long").alias("document_id")), "document_id", "left_semi")
+    chosen = chosen.join(fresh, "document_id", "left_semi")
+    delta = L.part_postings(L.part_search(H.cards_with_artifacts(chosen, own)))
+    dead = earlier.dead.count() + gone.count()
+    if len(earlier.segments) >= segments.MOST_SEGMENTS or dead > segments.MOST_DEAD * (dead + now.count()):
+        kept = earlier.postings().join(gone, "document_id", "left_anti")
+        return replace(whole, postings=kept.select(*delta.columns).unionByName(delta), signatures=now)
+    return replace(whole, postings=delta, signatures=now, earlier=earlier, gone=gone)
+
+
+def _live(written: dict[str, DataFrame], path: str) -> DataFrame:
+    names = [r[0] for r in written["segments"].collect()]
+    return segments.Stored(path, names, written["dead"], written["term_counts"]).postings()
 
 
 def generation_violations(written: dict[str, DataFrame], eligible: DataFrame) -> DataFrame:
@@ -159,14 +229,14 @@ def generation_violations(written: dict[str, DataFrame], eligible: DataFrame) ->
 def publish(spark: SparkSession, index: Index, eligible: DataFrame, path: str) -> int | None:
     """Writes, checks and activates a generation; its number, or None if a check failed."""
     return artifacts.publish_generation(
-        spark, index.base(), path, index.derive, lambda written: generation_violations(written, eligible)
+        spark, index.base(), path, index.derive, lambda written: generation_violations(written | {"postings": _live(written, path)}, eligible)
     )
 
 
 def search(spark: SparkSession, path: str, questions: DataFrame, params: Params) -> DataFrame | None:
     """Candidates of a batch of questions from the active generation; None before the first one."""
-    stored = artifacts.read_current_generation(spark, path, ("postings", "term_stats"))
-    return L.search_index(questions, stored["postings"], stored["term_stats"], params) if stored else None
+    stored = stored_index(spark, path)
+    return L.search_index(questions, stored.postings(), segments.stats_of(stored.counts), params) if stored else None
 
 
 def assemble_answers(evidence: DataFrame, answers: DataFrame, documents: DataFrame, files: DataFrame) -> dict[str, DataFrame]:
