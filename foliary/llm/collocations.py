@@ -7,9 +7,9 @@ occurrences, since each occurrence opens exactly one window, and the words of ea
 No n-gram table beside that one is made.
 
 A window is padded already from its first pair that stands fewer than `least` times, as no phrase with
-that pair can be a candidate. Such pairs are known from a first pass that counts hashes of pairs: the
-frequent ones set bits of a map, sized by their number up to 16 MB; a pair that passes by chance is counted
-for nothing and dropped with its sum. Words of a chunk of text are told apart by 64-bit hashes.
+that pair can be a candidate, and so is the last word of such a triple. They are known from two passes that
+count hashes, of pairs and then of triples of frequent pairs: the frequent ones set bits of a map, sized by
+their number up to 16 MB; what passes by chance is counted for nothing and dropped with its sum. Words of a chunk of text are told apart by 64-bit hashes.
 
 A phrase's parts stand at least as often as the phrase, so everything below `least` occurrences is dropped
 once the sums are known. Scores are whole numbers in decimals of 38 digits, exact while a count is below
@@ -96,18 +96,34 @@ def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.n
             row = last
 
 
-def _pair_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, langs, windows in _chunked(batches):
-        hashes, times = np.unique(windows.pairs(langs)[windows.second >= 0], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(times)], ["h", "n"])
+def _kept(windows: Windows, langs: np.ndarray, pairs: np.ndarray, triples: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(whether a window's pair may stand often enough, whether its triple may, hash of the triple)."""
+    two = passes(pairs, windows.pairs(langs)) & (windows.second >= 0)
+    three = two & np.append(two[1:], False) & (windows.third >= 0)
+    hashes = mix(windows.pairs(langs) + windows.hashes[windows.third] * _ODD[2])
+    return two, three if triples is None else three & passes(triples, hashes), hashes
 
 
-def _windows(frequent: np.ndarray) -> Callable:
+def _phrase_hashes(pairs: np.ndarray | None) -> Callable:
+    """Hashes of pairs with their counts; with the map of frequent pairs, of the triples that consist of such."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, langs, windows in _chunked(batches):
+            if pairs is None:
+                own = windows.pairs(langs)[windows.second >= 0]
+            else:
+                _, three, own = _kept(windows, langs, pairs, None)
+                own = own[three]
+            hashes, times = np.unique(own, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(times)], ["h", "n"])
+
+    return run
+
+
+def _windows(pairs: np.ndarray, triples: np.ndarray) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for names, langs, windows in _chunked(batches):
-            pairs = passes(frequent, windows.pairs(langs)) & (windows.second >= 0)
-            second = np.where(pairs, windows.second, -1)
-            third = np.where(pairs & np.append(pairs[1:], False), windows.third, -1)
+            two, three, _ = _kept(windows, langs, pairs, triples)
+            second, third = np.where(two, windows.second, -1), np.where(three, windows.third, -1)
             padded = np.append(windows.hashes, np.uint64(0))  # -1 is the pad
             key = mix(windows.hashes[windows.word] * _ODD[0] + padded[second] * _ODD[1] + padded[third] * _ODD[2] + langs[windows.text])
             _, first, times = np.unique(key, return_index=True, return_counts=True)
@@ -120,14 +136,21 @@ def _windows(frequent: np.ndarray) -> Callable:
     return run
 
 
+def _frequent(rows: DataFrame, pairs: np.ndarray | None, least: int) -> np.ndarray:
+    """The map of the pairs or triples that stand at least `least` times."""
+    counted = rows.mapInArrow(_phrase_hashes(pairs), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    frequent = settled(counted.filter(F.col("n") >= least).select("h"))
+    return bitmap(frequent, F.col("h"), bits_for(frequent.count()))
+
+
 def window_counts(documents: DataFrame, least: int = LEAST) -> DataFrame:
     """(lang, w1, w2, w3, n): the padded windows of three words with their counts, added up a chunk of text at
-    a time. A window is padded from the first pair on that cannot stand `least` times."""
+    a time. A window is padded from the first pair on that cannot stand `least` times, and so is the last word of a
+    triple that cannot."""
     rows = documents.select(F.coalesce("lang", F.lit("und")).cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    pairs = rows.mapInArrow(_pair_hashes, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("h")
-    frequent = settled(pairs)
-    bits = bitmap(frequent, F.col("h"), bits_for(frequent.count()))
-    return rows.mapInArrow(_windows(bits), "lang string, w1 string, w2 string, w3 string, n long")
+    pairs = _frequent(rows, None, least)
+    triples = _frequent(rows, pairs, least)
+    return rows.mapInArrow(_windows(pairs, triples), "lang string, w1 string, w2 string, w3 string, n long")
 
 
 def phrase_counts(documents: DataFrame, least: int = LEAST) -> DataFrame:
