@@ -1,168 +1,173 @@
-"""Substring dedup by line hashing: equal lines across all documents, the earliest kept, offsets retained.
-
-A unit is a line of a text (between \\n). It is normalised (ASCII letters in lower case, white space
-runs as one blank, trimmed) and digested to 128 bits. Digests are grouped over all documents; of equal
-units the first by rank stays and the others are removed. Rank is (doc_id, null last; number of the
-line). Units of fewer than `MIN_WORDS` words are left alone by `removed_units`.
-
-`removed_lines` and `without_repeats` take shorter lines too: at every line, the lines from it on and the
-lines up to it are joined until they hold `MIN_WORDS` words (a run; blank lines hold none), and each line
-of `LINE_WORDS` words is a run of its own. Runs are compared by their words; a passage broken into lines
-at other words is found only where two runs begin and end at the same words.
-All lines of a run that an earlier run repeats are removed; a run that overlaps the one it repeats is left
-alone. Every removed word stands in an earlier run, so its first occurrence stays.
-
-Units travel as digest and offsets, never as text. A digest's earliest rank is a minimum that is
-pre-aggregated before its shuffle, and only digests that stand more than once are joined back to the
-units, a join whose hot keys adaptive execution can split.
-
-Cases: a null or empty text has no unit; a line repeated inside one document is removed like any other;
-rows that repeat a doc_id have equal ranks, and the lines of all of them stay or go together; a null
-doc_id ranks last; an empty table gives an empty result; further columns are ignored by
-`removed_units` and `removed_lines` and kept by `without_repeats`.
+"""Substring dedup by hashing lines: equal runs of units across all documents, the earliest kept, offsets retained.
+
+A unit is a sentence of a line: texts are cut at line breaks and behind '.', '!' and '?' before a blank or tab. A
+unit is normalised to its words (ASCII letters in lower case, white space apart). From every unit with words
+the units on are joined until they hold `MIN_WORDS` words, and so are the units up to it: the shortest runs that
+begin and end there. A run is digested to 128 bits. Digests are grouped over all documents; of equal
+runs the first by rank stays, and all units of the others are removed. Rank is (doc_id, null last; hash of the
+text; number of the unit). Each removed word stands in an earlier run, so its first occurrence stays. A run that
+overlaps the one it repeats in its own document is left alone.
+
+Runs travel as digest and offsets, never as text. Two reads of the texts: the first counts digests, whose
+repeated ones set a bit map; the second lets only runs through whose bit is set. A digest's earliest rank
+is a minimum that is pre-aggregated before its shuffle, and it goes back to the runs by a join whose hot keys
+adaptive execution can split.
+
+Cases: a null or empty text has no unit; a run repeated inside one document is removed like any other;
+equal rows have equal ranks, and their units stay or go together; rows with one doc_id and different texts are
+different documents, each cut by its own units; an empty table gives an empty result; further columns are
+ignored by `removed_units` and kept by `without_repeats`. A passage is found from its first whole unit to its
+last one, if these hold `MIN_WORDS` words; the parts of units at its ends stay.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from hashlib import blake2b
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliary.llm.bitmaps import bitmap, bits_for, passes
 from foliary.operators.sizing import settled
 
-MIN_WORDS = 25
-#: Shorter single lines repeat by chance and carry structure; they go only as part of a run.
-LINE_WORDS = 10
-UNITS = "doc_id long, unit int, start long, end long, n_words int, d1 long, d2 long"
-_LINES = (
-    "doc_id long, row long, unit int, start long, end long, n_words int, "
-    "runs array<struct<unit:int,last:int,d1:bigint,d2:bigint>>"
-)
-
-
-def _units(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
-    names = [field.split()[0] for field in UNITS.split(", ")]
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
-    for batch in batches:
-        columns: list[list] = [[] for _ in names]
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            start = 0
-            for unit, line in enumerate((text or "").split("\n")):
-                words = line.encode().lower().split()
-                if len(words) >= min_words:
-                    digest = blake2b(b" ".join(words), digest_size=16).digest()
-                    halves = [int.from_bytes(half, "little", signed=True) for half in (digest[:8], digest[8:])]
-                    for column, value in zip(columns, (doc_id, unit, start, start + len(line), len(words), *halves), strict=True):
-                        column.append(value)
-                start += len(line) + 1
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
-
-
-def units(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Every line of at least `min_words` words: doc_id, its number, code points, words and digest."""
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(lambda batches: _units(batches, min_words), UNITS)
+#: Words of a run. Shorter sentences repeat by chance and carry structure; they go only as part of a run.
+MIN_WORDS = 15
+_CUT = re.compile(r"\n|[.!?](?=[ \t])")
+_UNITS = "array<struct<unit:int,start:bigint,end:bigint,n_words:int>>"
+RUNS = f"doc_id long, th long, row long, d1 long, d2 long, units {_UNITS}"
 
 
-def removed_units(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Lines that an earlier one repeats: doc_id, unit, start, end, n_words, kept_doc_id, kept_unit."""
-    every = settled(units(documents, min_words)).withColumn("rank", F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "unit"))
-    first = every.groupBy("d1", "d2").agg(F.min("rank").alias("first"), F.max("rank").alias("last")).filter("first < last")
-    return every.join(first, ["d1", "d2"]).filter("rank > first").select(
-        "doc_id", "unit", "start", "end", "n_words",
-        F.col("first")["doc_id"].alias("kept_doc_id"), F.col("first")["unit"].alias("kept_unit"),
-    )
+def spans(text: str) -> Iterator[tuple[int, int]]:
+    """Start and end of each unit, in code points."""
+    start = 0
+    for cut in _CUT.finditer(text):
+        yield start, cut.start() if cut.group() == "\n" else cut.end()
+        start = cut.end()
+    yield start, len(text)
 
 
-def _text_runs(lines: list[list[bytes]], min_words: int) -> dict[int, list[tuple[int, int]]]:
-    """The runs (first line, last line) of a text by their first line."""
-    full = [i for i, words in enumerate(lines) if words]
-    out: dict[int, set[tuple[int, int]]] = {}
-    # Two ends move over the lines with words: the fewest from each line on, then the fewest up to each.
-    last, held = -1, 0
-    for k, i in enumerate(full):
-        while held < min_words and last + 1 < len(full):
+def shortest_runs(counts: list[int], least: int) -> list[tuple[int, int]]:
+    """(first, last) of the shortest runs of `least` words from each place on and up to each place."""
+    found, last, held = set(), -1, 0
+    for first, count in enumerate(counts):
+        while held < least and last + 1 < len(counts):
             last += 1
-            held += len(lines[full[last]])
-        if held >= min_words:
-            out.setdefault(i, set()).add((i, full[last]))
-        if len(lines[i]) >= min(LINE_WORDS, min_words):
-            out.setdefault(i, set()).add((i, i))
-        held -= len(lines[full[k]])
+            held += counts[last]
+        if held < least:
+            break
+        found.add((first, last))
+        held -= count
     first, held = 0, 0
-    for i in full:
-        held += len(lines[i])
-        while held - len(lines[full[first]]) >= min_words:
-            held -= len(lines[full[first]])
+    for last, count in enumerate(counts):
+        held += count
+        while held - counts[first] >= least:
+            held -= counts[first]
             first += 1
-        if held >= min_words:
-            out.setdefault(full[first], set()).add((full[first], i))
-    return {i: sorted(runs) for i, runs in out.items()}
-
-
-def _lines(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
-    run = pa.list_(pa.struct([("unit", pa.int32()), ("last", pa.int32()), ("d1", pa.int64()), ("d2", pa.int64())]))
-    names = ["doc_id", "row", "unit", "start", "end", "n_words", "runs"]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), run]
-    for batch in batches:
-        columns: list[list] = [[] for _ in names]
-        for doc_id, row, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row", "text")), strict=True):
-            texts = (text or "").split("\n")
-            words = [line.encode().lower().split() for line in texts]
-            normal = [b" ".join(w) for w in words]
-            runs = _text_runs(words, min_words)
-            start = 0
-            for unit, line in enumerate(texts):
-                own = []
-                for _, last in runs.get(unit, ()):
-                    digest = blake2b(b" ".join(n for n in normal[unit : last + 1] if n), digest_size=16).digest()
-                    halves = [int.from_bytes(half, "little", signed=True) for half in (digest[:8], digest[8:])]
-                    own.append({"unit": unit, "last": last, "d1": halves[0], "d2": halves[1]})
-                for column, value in zip(columns, (doc_id, row, unit, start, start + len(line), len(words[unit]), own), strict=True):
-                    column.append(value)
-                start += len(line) + 1
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
-
-
-def removed_lines(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Lines of runs that an earlier one repeats: doc_id, unit, start, end, n_words, kept_doc_id, kept_unit.
-
-    The kept unit is the first line of the earliest run that holds the line's words. Lines travel without text.
-    """
-    rows = documents.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col("text").cast("string").alias("text")
-    )
-    lines = settled(rows.mapInArrow(lambda batches: _lines(batches, min_words), _LINES))
-    every = lines.select("doc_id", "row", F.explode("runs").alias("r")).select("doc_id", "row", "r.*").withColumn(
-        "rank", F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "unit")
-    )
-    first = every.groupBy("d1", "d2").agg(
-        F.min(F.struct("rank", "last")).alias("first"), F.max("rank").alias("highest")
-    ).filter("first.rank < highest").drop("highest")
-    apart = ~F.col("doc_id").eqNullSafe(F.col("first.rank.doc_id")) | (F.col("unit") > F.col("first.last"))
-    removed = every.join(first, ["d1", "d2"]).filter((F.col("rank") > F.col("first.rank")) & apart).select(
-        "row", F.explode(F.sequence("unit", "last")).alias("unit"), F.col("first.rank").alias("kept")
-    ).groupBy("row", "unit").agg(F.min("kept").alias("kept"))
-    return lines.drop("runs").join(removed, ["row", "unit"]).select(
-        "doc_id", "unit", "start", "end", "n_words", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.unit").alias("kept_unit")
+        if held >= least:
+            found.add((first, last))
+    return sorted(found)
+
+
+def runs(text: str, least: int) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int]], np.ndarray]:
+    """(unit, start, end, words) of the units with words, (first, last) of the runs of these, their digests (n x 2)."""
+    units, lines = [], []
+    for unit, (start, end) in enumerate(spans(text)):
+        words = text[start:end].encode().lower().split()
+        if words:
+            units.append((unit, start, end, len(words)))
+            lines.append(b" ".join(words))
+    found = shortest_runs([u[3] for u in units], least)
+    digests = b"".join(blake2b(b" ".join(lines[a : b + 1]), digest_size=16).digest() for a, b in found)
+    return units, found, np.frombuffer(digests, "<i8").reshape(-1, 2)
+
+
+def _counted(least: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, 1024):
+                some = [runs(t, least)[2][:, 0] for t in batch.column("text").slice(first, 1024).to_pylist() if t]
+                digests, times = np.unique(np.concatenate([*some, np.zeros(0, np.int64)]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(digests), pa.array(times)], ["d1", "n"])
+
+    return run
+
+
+def _passing(least: int, bits: np.ndarray) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.struct([("unit", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("n_words", pa.int32())])
+        for batch in batches:
+            for first in range(0, batch.num_rows, 1024):
+                part = batch.slice(first, 1024)
+                rows, digests, sizes, units = [], [np.zeros((0, 2), np.int64)], [0], []
+                for i, text in enumerate(part.column("text").to_pylist()):
+                    own, found, both = runs(text or "", least)
+                    some = np.flatnonzero(passes(bits, both[:, 0].copy()))
+                    rows += [i] * len(some)
+                    digests.append(both[some])
+                    for a, b in (found[k] for k in some.tolist()):
+                        units += own[a : b + 1]
+                        sizes.append(b + 1 - a)
+                d1, d2 = np.concatenate(digests).T
+                fields = [pa.array(c, k.type) for c, k in zip(zip(*units) if units else [[]] * 4, schema, strict=True)]
+                held = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes).astype(np.int32)), pa.StructArray.from_arrays(fields, fields=list(schema)))
+                at = pa.array(rows, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [*[part.column(c).take(at) for c in ("doc_id", "th", "row")], pa.array(d1.copy()), pa.array(d2.copy()), held],
+                    ["doc_id", "th", "row", "d1", "d2", "units"],
+                )
+
+    return run
+
+
+def _removed(rows: DataFrame, least: int) -> DataFrame:
+    """(row, doc_id, unit, start, end, n_words, kept_doc_id, kept_unit) from rows with doc_id, text, th and row."""
+    counted = rows.select("text").mapInArrow(_counted(least), "d1 long, n long").groupBy("d1").agg(F.sum("n").alias("n"))
+    repeated = settled(counted.filter("n > 1").select("d1"))
+    bits = bitmap(repeated, F.col("d1"), bits_for(repeated.count()))
+    rank = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "th", F.col("units")[0]["unit"].alias("unit"), F.element_at("units", -1)["unit"].alias("last"))
+    every = settled(rows.select("doc_id", "th", "row", "text").mapInArrow(_passing(least, bits), RUNS)).withColumn("rank", rank)
+    first = every.groupBy("d1", "d2").agg(F.min("rank").alias("first"), F.max("rank").alias("final")).filter("first < final").drop("final")
+    same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th"))
+    found = every.join(first, ["d1", "d2"]).filter((F.col("rank") > F.col("first")) & ~(same & (F.col("rank.unit") <= F.col("first.last"))))
+    kept = F.struct("first.n", "first.doc_id", "first.th", "first.unit").alias("kept")
+    units = found.select("row", "doc_id", kept, F.inline("units"))
+    return units.groupBy("row", "doc_id", "unit", "start", "end", "n_words").agg(F.min("kept").alias("kept")).select(
+        "row", "doc_id", "unit", "start", "end", "n_words", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.unit").alias("kept_unit")
     )
 
 
+def _keyed(documents: DataFrame, row: Column) -> DataFrame:
+    text = F.col("text").cast("string")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th"), row.alias("row"))
+
+
+def removed_units(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """Units of runs that an earlier one repeats: doc_id, unit, start, end, n_words, kept_doc_id, kept_unit.
+
+    The kept unit is the first one of the earliest run that holds the unit's words.
+    """
+    return _removed(_keyed(documents, F.monotonically_increasing_id()), min_words).drop("row")
+
+
 def without_repeats(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """The documents with repeated lines and runs cut out, columns unchanged, and `removed_spans`, the original
-    [start, end) of each cut in code points. A document's spans are the only rows put together."""
-    spans = removed_lines(documents, min_words).select("doc_id", "start", "end").distinct().groupBy(F.col("doc_id").alias("_ln_id")).agg(
+    """The documents with repeated runs cut out, columns unchanged, and `removed_spans`, the original [start, end) of
+    each cut in code points. A document's spans are the only rows put together; rows are written once with a
+    number, by which their spans come back to them."""
+    rows = settled(documents.withColumn("_ln_row", F.monotonically_increasing_id()))
+    cuts = _removed(_keyed(rows, F.col("_ln_row")), min_words).groupBy(F.col("row").alias("_ln_of")).agg(
         F.sort_array(F.collect_list(F.struct("start", "end"))).alias("removed_spans")
     )
-    rows = documents.join(spans, documents["doc_id"].eqNullSafe(spans["_ln_id"]), "left").drop("_ln_id")
+    joined = rows.join(cuts, rows["_ln_row"] == cuts["_ln_of"], "left").drop("_ln_row", "_ln_of")
     text = F.coalesce(F.col("text"), F.lit(""))
-    # The pieces between the spans; the line break after a removed line goes with it.
-    begins = F.concat(F.array(F.lit(0).cast("long")), F.transform("removed_spans", lambda s: s["end"] + 1))
+    # The pieces between the spans; the line break behind a removed unit goes with it.
+    broken = lambda s: F.substring(text, (s["end"] + 1).cast("int"), F.lit(1)) == "\n"
+    begins = F.concat(F.array(F.lit(0).cast("long")), F.transform("removed_spans", lambda s: s["end"] + F.when(broken(s), 1).otherwise(0)))
     ends = F.concat(F.transform("removed_spans", lambda s: s["start"]), F.array(F.char_length(text).cast("long")))
     left = F.concat_ws("", F.zip_with(begins, ends, lambda a, b: F.substring(text, (a + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int"))))
-    return rows.withColumn("text", F.when(F.col("removed_spans").isNull(), F.col("text")).otherwise(left)).withColumn(
+    return joined.withColumn("text", F.when(F.col("removed_spans").isNull(), F.col("text")).otherwise(left)).withColumn(
         "removed_spans", F.coalesce("removed_spans", F.array().cast("array<struct<start:bigint,end:bigint>>"))
     )

@@ -19,10 +19,6 @@ def op2_line_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.removed_units(_table(spark, sf_dir, "documents"))
 
 
-def op2_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.removed_lines(_table(spark, sf_dir, "documents"))
-
-
 def op3_simhash_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.findings(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -70,7 +66,6 @@ def op13_columnwise_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_host_paths": op1_host_paths,
     "op2_line_hashes": op2_line_hashes,
-    "op2_line_runs": op2_line_runs,
     "op3_simhash_leaks": op3_simhash_leaks,
     "op4_unlabelled_toxicity": op4_unlabelled_toxicity,
     "op5_dictionary_shards": op5_dictionary_shards,
@@ -93,24 +88,6 @@ CASE WHEN {r}_mean * (1 - {r}_mean) <= 0
        / ({r}_var - {r}_mean * (1 - {r}_mean) * share))) END"""
 
 SQL = {
-    "op2_line_hashes": """
-WITH l AS (
-  SELECT rid, doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS unit
-  FROM (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)
-),
-placed AS (
-  SELECT doc_id, unit, length(line) AS size,
-         sum(length(line) + 1) OVER (PARTITION BY rid ORDER BY unit) - length(line) - 1 AS start,
-         regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
-  FROM l
-),
-u AS (SELECT *, array_to_string(w, ' ') AS norm, (doc_id, unit) AS rank FROM placed WHERE len(w) >= 25),
-r AS (SELECT *, first_value(doc_id) OVER same AS kept_doc_id, first_value(unit) OVER same AS kept_unit FROM u
-      WINDOW same AS (PARTITION BY norm ORDER BY doc_id NULLS LAST, unit))
-SELECT doc_id, unit::INTEGER AS unit, start::BIGINT AS start, (start + size)::BIGINT AS "end", len(w)::INTEGER AS n_words,
-       kept_doc_id, kept_unit::INTEGER AS kept_unit
-FROM r WHERE doc_id IS DISTINCT FROM kept_doc_id OR unit <> kept_unit
-""",
     "op8_perspectives": """
 WITH t AS (
   SELECT conv_id, coalesce(translate(role, '<|>' || chr(10) || chr(13), ''), 'unknown') AS role,

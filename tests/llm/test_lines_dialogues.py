@@ -1,5 +1,6 @@
 """Line dedup and perspectives on hand-made cases; the statements cover the tables."""
 
+import random
 from collections import Counter
 
 from foliary.llm import dialogues, lines
@@ -13,50 +14,86 @@ def docs(spark, rows):
     return spark.createDataFrame([(d, t, "x", 1) for d, t in rows], DOCS)
 
 
-def test_lines(spark):
-    rows = [
-        (5, f"first\n  {LONG.upper()} \nlast é"), (2, f"é\n{LONG}\nshort\nshort"), (None, f"{LONG}\nx"), (9, f"{LONG}\n\n{LONG}\ny"),
-        (7, None), (8, ""), (2, f"é\n{LONG}\nshort\nshort"),
-    ]
+def cut_units(text):
+    """Units of a text by a plain scan: (start, end)."""
+    out, start = [], 0
+    for i, c in enumerate(text):
+        if c == "\n":
+            out.append((start, i))
+            start = i + 1
+        elif c in ".!?" and text[i + 1 : i + 2] in (" ", "\t"):
+            out.append((start, i + 1))
+            start = i + 1
+    return [*out, (start, len(text))]
+
+
+def plain_removed(rows, least):
+    """Removed (row, unit) of all rows: every run from any unit that is shortest at either end, against all others."""
+    known = {}
+    own = []
+    for row, (doc, text) in enumerate(rows):
+        text = text or ""
+        words = [(u, s, e, text[s:e].encode().lower().split()) for u, (s, e) in enumerate(cut_units(text))]
+        words = [w for w in words if w[3]]
+        for i in range(len(words)):
+            for j in range(i, len(words)):
+                n = sum(len(w[3]) for w in words[i : j + 1])
+                if n >= least and (n - len(words[j][3]) < least or n - len(words[i][3]) < least):
+                    key = tuple(x for w in words[i : j + 1] for x in w[3])
+                    rank = (doc is None, doc or 0, hash_of(text), words[i][0])
+                    own.append((row, doc, text, words[i : j + 1], key, rank))
+                    known.setdefault(key, []).append((rank, words[j][0], doc, text))
+    out = {}
+    for row, doc, text, units, key, rank in own:
+        first = min(known[key], key=lambda x: (x[0], x[1]))
+        inside = first[2] == doc and first[3] == text and units[0][0] <= first[1]
+        if rank > first[0] and not inside:
+            for unit, start, end, w in units:
+                out[row, unit] = (doc, unit, start, end, len(w))
+    return Counter(out.values())
+
+
+HASHES = {}
+
+
+def hash_of(text):
+    return HASHES[text]
+
+
+def test_units_against_loop(spark):
+    random.seed(6)
+    words = [f"w{i}" for i in range(40)] + ["É", "ß", "Won't", "3.14"]
+    sentence = lambda n: " ".join(random.choices(words, k=n)) + random.choice([".", "!", "?", "", ".."])
+    shared = [" ".join(sentence(random.randrange(2, 9)) for _ in range(random.randrange(2, 9))) for _ in range(8)]
+    rows = []
+    for k in range(70):
+        parts = [sentence(random.randrange(1, 12)) for _ in range(random.randrange(6))]
+        for _ in range(random.randrange(3)):
+            passage = random.choice(shared)
+            parts.insert(random.randrange(len(parts) + 1), passage.upper() if k % 9 == 0 else passage.replace(". ", ".\n") if k % 7 == 0 else passage)
+        rows.append((k // 2 if k < 20 else 100 - k, random.choice([" ", "\n", "\n\n"]).join(parts)))
+    rows += [(5, None), (6, ""), (None, rows[3][1]), (None, shared[0]), rows[4], (500, " ".join(shared)), (501, shared[2] + " " + shared[2])]
     frame = docs(spark, rows)
-    found = lines.removed_units(frame, min_words=12)
-    assert Counter(map(tuple, found.collect())) == Counter({
-        (5, 1, 6, 6 + len(LONG) + 3, 12, 2, 1): 1, (None, 0, 0, len(LONG), 12, 2, 1): 1,
-        (9, 0, 0, len(LONG), 12, 2, 1): 1, (9, 2, len(LONG) + 2, 2 * len(LONG) + 2, 12, 2, 1): 1,
-    })
-    left = lines.without_repeats(frame, min_words=12)
-    assert left.columns == [*frame.columns, "removed_spans"]
-    got = Counter((r.doc_id, r.text, len(r.removed_spans)) for r in left.collect())
-    assert got == Counter({
-        (5, "first\nlast é", 1): 1, (2, rows[1][1], 0): 2, (None, "x", 1): 1, (9, "\ny", 2): 1, (7, None, 0): 1, (8, "", 0): 1
-    })
+    HASHES.update({r.text: r.h for r in frame.selectExpr("coalesce(text, '') AS text", "xxhash64(coalesce(text, '')) AS h").collect()})
+    for least in (6, 15):
+        found = Counter((r.doc_id, r.unit, r.start, r.end, r.n_words) for r in lines.removed_units(frame, least).collect())
+        assert set(found) == set(plain_removed(rows, least)) and found
     assert lines.removed_units(docs(spark, [])).collect() == []
 
 
-def test_lines_group_of_copies(spark):
+def test_rows_with_one_id(spark):
+    passage = " ".join(f"word{i}" for i in range(20)) + "."
+    rows = [(1, f"{passage} Own text of one."), (2, f"Before. {passage} After."), (2, "Another text under one id. It stays."), (None, passage)]
+    left = Counter((r.doc_id, r.text, len(r.removed_spans)) for r in lines.without_repeats(docs(spark, rows)).collect())
+    assert left == Counter({(1, rows[0][1], 0): 1, (2, "Before. After.", 1): 1, (2, rows[2][1], 0): 1, (None, "", 1): 1})
+    assert lines.without_repeats(docs(spark, rows)).columns == ["doc_id", "text", "unit", "rank", "removed_spans"]
+
+
+def test_group_of_copies_and_long_text(spark):
     text = "\n".join([LONG + " " + LONG + " " + str(k) for k in range(3)])
-    frame = docs(spark, [(d, text) for d in range(400)])
-    assert lines.removed_units(frame).count() == 399 * 3
-    assert {r.kept_doc_id for r in lines.removed_units(frame).collect()} == {0}
-
-
-def test_runs_of_short_lines(spark):
-    words = [f"w{i}" for i in range(60)]
-    passage = "\n".join(" ".join(words[i : i + 6]) for i in range(0, 60, 6))
-    tail = " ".join(words[:26]) + "\n\nend of it"
-    rows = [
-        (1, f"alone\n{passage}\nhere"), (2, f"other\n\n{passage.upper()}\nthere"), (3, passage.replace("w24", "x")),
-        (4, tail), (5, "head\n" + tail + "\nmore"), (6, "\n".join(["x"] * 30)), (7, "a b c d e f g h i j\nk"), (8, "m\na b c d e f g h i j"),
-        (None, "\n".join(words[30:])), (9, "short\nlines"), (10, "short\nlines"),
-    ]
-    frame = docs(spark, rows)
-    assert lines.removed_units(frame.filter("doc_id < 4 or doc_id is null")).collect() == []
-    got = {r.doc_id: r.text for r in lines.without_repeats(frame).collect()}
-    left = dict(rows) | {2: "other\n\nthere", 3: passage[: passage.index("w30")].replace("w24", "x"), 5: "head\nmore", 8: "m\n"}
-    assert got == left
-    found = [r for r in lines.removed_lines(frame).collect() if r.doc_id == 2]
-    assert sorted((r.unit, rows[1][1][r.start : r.end].lower(), r.n_words) for r in found) == [(i + 2, line, 6) for i, line in enumerate(passage.split("\n"))]
-    assert all(r.kept_doc_id == 1 for r in found) and lines.removed_lines(docs(spark, [])).collect() == []
+    frame = docs(spark, [(d, text) for d in range(400)] + [(1000, "." * 300_000 + " a" * 300_000)])
+    found = lines.removed_units(frame)
+    assert found.count() == 399 * 3 and {r.kept_doc_id for r in found.collect()} == {0}
 
 
 def turns(spark, rows):
