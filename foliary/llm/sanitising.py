@@ -32,18 +32,22 @@ from hashlib import blake2b, sha256
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliary.llm.bitmaps import bitmap, passes
 from foliary.llm.words import FOLDED_BYTE, Words, chunks, span_hashes, stripped
 from foliary.operators.sizing import settled
 
-#: Patterns of the base kinds, in their order: fixed values.
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+#: Patterns of the base kinds, in their order: fixed values. A text without an `@` or a dot costs nothing for the first two,
+#: which `emails` and `addresses` find from those marks on: taken alone they retry every start of a long run.
+EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+IP = r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)"
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+_LOCAL = "".join(chr(c) for c in range(128) if re.match("[A-Za-z0-9._%+-]", chr(c)))
+_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+_DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
 
@@ -66,14 +70,38 @@ def _luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def emails(text: str) -> Iterator[tuple[int, int]]:
+    """Matches of EMAIL. Before an `@` stands the run of local characters back to the match or `@` before it."""
+    low, at = 0, text.find("@")
+    while at >= 0:
+        start = low + len(text[low:at].rstrip(_LOCAL))
+        domain = _DOMAIN.match(text, at + 1) if start < at else None
+        if domain:
+            yield start, domain.end()
+        low = domain.end() if domain else at + 1
+        at = text.find("@", low)
+
+
+def addresses(text: str) -> Iterator[tuple[int, int]]:
+    """Matches of IP whose parts are at most 255: a chain of dotted numbers is taken four by four."""
+    for chain in _DOTTED.finditer(text):
+        parts = chain[0].split(".")
+        start = chain.start()
+        for k in range(0, len(parts) - 3, 4):
+            four = parts[k : k + 4]
+            end = start + sum(map(len, four)) + 3
+            values = [p.lstrip("0") for p in four]
+            if all(len(v) <= 3 and int(v or 0) <= 255 for v in values):
+                yield start, end
+            start = end + 1
+
+
 def base_spans(text: str) -> list[tuple[str, int, int, str]]:
     """(kind, start, end, normalised value) by kind, then start."""
     out = []
-    if "@" in text:
-        out += [("email", m.start(), m.end(), m[0].lower()) for m in EMAIL.finditer(text)]
-    for m in IP.finditer(text):
-        if all(int(part) <= 255 for part in m[0].split(".")):
-            out.append(("ip", m.start(), m.end(), m[0]))
+    out += [("email", a, b, text[a:b].lower()) for a, b in emails(text)]
+    if "." in text:
+        out += [("ip", a, b, text[a:b]) for a, b in addresses(text)]
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 16:
             digits = _NOT_DIGITS.sub("", m[0])
@@ -199,14 +227,19 @@ def disclosing(found: DataFrame, texts: DataFrame) -> DataFrame | None:
 
 def report(documents: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans of every document."""
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = settled(texts.withColumn("_row", F.monotonically_increasing_id()).mapInArrow(_found, _FOUND))
+    return _by_row(documents, F.monotonically_increasing_id()).drop("_row")
+
+
+def _by_row(documents: DataFrame, row: Column) -> DataFrame:
+    """The report with the number of each row as `_row`."""
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row.alias("_row"))
+    found = settled(texts.select("_row", "doc_id", "text").mapInArrow(_found, _FOUND))
     out = found.select(
         "_row", "doc_id", *[f"n_{k}" for k in KINDS], F.sha2("base", 256).alias("base_sha256"), F.col("base")
     )
     marked = disclosing(found, texts)
     if marked is None:
-        return out.withColumnRenamed("base", "spans").drop("_row")
+        return out.withColumnRenamed("base", "spans")
     # The terms of one document are the only rows put together.
     terms = (
         found.filter(F.col("copy").isNotNull()).select("_row", F.explode("words").alias("c")).select("_row", "c.*")
@@ -217,7 +250,7 @@ def report(documents: DataFrame) -> DataFrame:
         ))).alias("terms"))
     )
     return out.join(terms, out["_row"] == terms["_of"], "left").select(
-        "doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", F.concat_ws(",", "base", "terms").alias("spans")
+        "_row", "doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", F.concat_ws(",", "base", "terms").alias("spans")
     )
 
 
@@ -234,9 +267,11 @@ def generalised(text: str, spans: str, remove: bool = False) -> str:
 
 
 def sanitised(documents: DataFrame, remove: bool = False) -> DataFrame:
-    """The documents with their texts generalised, columns unchanged; of rows with one doc_id and text, all."""
-    spans = report(documents).filter("spans <> ''").select(F.col("doc_id").alias("_sn_id"), F.col("spans").alias("_sn_spans")).distinct()
-    rows = documents.join(spans, documents["doc_id"].eqNullSafe(spans["_sn_id"]), "left").drop("_sn_id")
+    """The documents with their texts generalised, columns unchanged. Rows are written once with a number, by which
+    their spans come back to them, whatever ids they share."""
+    numbered = settled(documents.withColumn("_sn_row", F.monotonically_increasing_id()))
+    spans = _by_row(numbered, F.col("_sn_row")).filter("spans <> ''").select(F.col("_row").alias("_sn_of"), F.col("spans").alias("_sn_spans"))
+    rows = numbered.join(spans, numbered["_sn_row"] == spans["_sn_of"], "left").drop("_sn_row", "_sn_of")
 
     def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -213,10 +213,10 @@ def _trained(documents: DataFrame, path: str) -> bytes:
             parts = [ids.astype(width).tobytes()[:TRAINING_BYTES] for _, ids in encoded(batch.column("text"), path)]
             yield pa.RecordBatch.from_arrays([pa.array(parts, pa.binary())], ["ids"])
 
-    # Only hashes are sorted; the texts below the last one are read where they are, equal rows once.
+    # Only hashes are sorted; the texts below the last one, fewer than TRAINING_DOCUMENTS, are read where they are.
     hashed = documents.filter(F.length("text") > 0).withColumn("h", F.xxhash64("doc_id", "text"))
     last = hashed.select("h").orderBy("h").limit(TRAINING_DOCUMENTS).agg(F.max("h")).first()[0]
-    chosen = hashed.filter(F.col("h") <= F.lit(last)).dropDuplicates(["h"]).select("text")
+    chosen = hashed.filter(F.col("h") < F.lit(last)).select("text")
     parts = sorted(row[0] for row in chosen.mapInArrow(samples, "ids binary").collect())
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, parts).as_bytes()

@@ -3,6 +3,8 @@
 import math
 import random
 import re
+import sys
+import time
 from collections import defaultdict
 from hashlib import sha256
 
@@ -126,6 +128,23 @@ def test_random_patterns():
         assert sanitising.base_spans(text) == base(text), repr(text)
 
 
+def test_long_runs_and_odd_numbers():
+    start = time.time()
+    for text in ("a" * 1_000_000 + "@", "a." * 500_000 + "@x", "@" * 300_000, "a@b" * 300_000, "1" * 1_000_000, "1." * 500_000, "+1" + "( " * 500_000, "1 " * 500_000, "a@" + "b-" * 500_000):
+        sanitising.base_spans(text)
+    assert time.time() - start < 60
+    sys.set_int_max_str_digits(0)  # for the plain loop
+    for text in ("1.2.3." + "4" * 5_000, "0" * 5_000 + "1.2.3.4", "1.2.3.4.5.6.7.8.9", "1.2.3.256.1.1.1.1", "a@b.c@d.e", "x..y@-.-", "a@b.c.d.@e.f"):
+        assert sanitising.base_spans(text) == base(text), text[:40]
+
+
+def test_rows_with_one_id(spark):
+    rows = [(1, "mail one@example.org now"), (1, "another text entirely, of one@example.org too"), (1, "nothing here"), (None, "one@example.org")]
+    frame = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, _row string")
+    left = sorted((str(r.doc_id), r.text) for r in sanitising.sanitised(frame).collect())
+    assert left == sorted((str(d), t.replace("one@example.org", "<email>")) for d, t in rows)
+
+
 def test_terms_far_from_the_value(spark):
     fill = " ".join(f"f{i % 7}" for i in range(40))
     docs = [(d, f"Dear Li Quentin {fill} Yours {d} at q@mail.example.com {fill} quentin") for d in range(4)]
