@@ -118,7 +118,7 @@ def current_job(spark, sf):
     return J.current_job(A.jobs(spark, sf)).select("job_id", "created_at", "status")
 
 
-def stream_stale_leases(spark, sf):
+def stale_leases(spark, sf):
     jobs = A.jobs(spark, sf)
     now = jobs.agg(F.max("heartbeat_at")).scalar()
     return J.stale_leases(jobs, now, 3600).select("job_id", "heartbeat_at")
@@ -171,7 +171,7 @@ QUERIES = {
         scan_diff, scan_summary, scan_candidates, dispatch_by_extension, eligible_documents, needs_conversion, needs_reconversion,
         folder_conversion_set, selected_files_check, source_references, inventory_order, library_view, library_search,
         folder_tree_rollup, folder_listing, snapshot_guard, content_changed_guard, job_progress, job_outcome, job_progress_ratio,
-        elapsed_seconds, job_list, current_job, stream_stale_leases, load_conversation_log, recent_history, lexical_query_text,
+        elapsed_seconds, job_list, current_job, stale_leases, load_conversation_log, recent_history, lexical_query_text,
         part_char_totals, batch_index_parts, document_plan, pack_batches, evidence_budget,
     )
 }
@@ -336,7 +336,7 @@ WHERE l.sha256 IS NULL OR l.sha256 <> f.sha256""",
         JOBS,
         select="SELECT job_id, created_at, status FROM jobs WHERE status IN ('PENDING', 'QUEUED', 'RUNNING') AND control_state <> 'STOPPED' ORDER BY created_at DESC, job_id DESC LIMIT 1",
     ),
-    "stream_stale_leases": sql.with_(
+    "stale_leases": sql.with_(
         JOBS,
         select="""SELECT job_id, heartbeat_at FROM jobs WHERE status = 'RUNNING' AND control_state = 'ACTIVE'
  AND (heartbeat_at IS NULL OR heartbeat_at < (SELECT max(heartbeat_at) FROM jobs) - INTERVAL 1 HOUR)""",

@@ -283,13 +283,31 @@ def stream_job_progress(spark, sf):
     return ST.current_progress(spark, f"{folder}/state")
 
 
+def stream_stale_leases(spark, sf):
+    """Heartbeats in files of a tenth of the time each, up to five minutes out of order, one file a batch."""
+    folder = scratch(spark, "leases")
+    beats = A.load(spark, sf, "events").select("event_id", F.col("user_id").alias("job_id"), F.col("ts").cast("timestamp").alias("ts"))
+    low, high = beats.agg(F.min(F.unix_seconds("ts")), F.max(F.unix_seconds("ts"))).first()
+    moved = F.unix_seconds("ts") + F.pmod(F.xxhash64("event_id"), F.lit(300)) - low
+    part = F.floor(moved * 10 / (high - low + 300))
+    for k in range(10):
+        beats.filter(part == k).drop("event_id").repartition(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema("job_id long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    with ST.keyed_state(spark):
+        told = ST.stream_stale_leases(stream, 3600, "10 minutes").writeStream.outputMode("append")
+        query = told.option("checkpointLocation", f"{folder}/checkpoint").format("parquet").option("path", f"{folder}/out").start()
+    query.processAllAvailable()
+    query.stop()
+    return spark.read.schema("job_id long, last_heartbeat timestamp").parquet(f"{folder}/out").withColumn("last_heartbeat", F.col("last_heartbeat").cast("timestamp_ntz"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         read_text_documents, read_delimited_tables, read_json_documents, read_xml_documents, html_pages_to_parts, scan_source_tree,
         write_part_manifest, read_part_manifest, write_folder_index, write_root_index, write_lexical_index, build_index, publish_generation,
         read_current_generation, incremental_index, incremental_search, search, ingest, ingest_inventory, assemble_answers, part_prompt_rows, routing_prompt_rows, answer_prompt_rows, register_functions,
-        stream_scan_diff, stream_job_progress,
+        stream_scan_diff, stream_job_progress, stream_stale_leases,
     )
 }
 
@@ -383,5 +401,11 @@ sized AS MATERIALIZED (SELECT document_id, part_no, strlen(entry) + 1 AS size FR
     "stream_scan_diff": sql.with_(
         sql.FILES, LISTING, CHANGES, select="SELECT * EXCLUDE (id, change, unsafe_skipped) FROM changes WHERE change NOT IN ('removed', 'skipped')"
     ),
+    "stream_stale_leases": """
+WITH h AS (SELECT DISTINCT user_id AS job_id, ts FROM events),
+n AS (SELECT *, lead(ts) OVER (PARTITION BY job_id ORDER BY ts) AS later FROM h),
+w AS (SELECT max(ts) - INTERVAL 10 MINUTE AS mark FROM events)
+SELECT job_id, ts AS last_heartbeat FROM n, w
+WHERE (later IS NULL OR later > ts + INTERVAL 1 HOUR) AND ts + INTERVAL 1 HOUR <= mark""",
     "stream_job_progress": sql.with_(JOBS, select="SELECT job_id, completed_items, failed_items FROM jobs"),
 }

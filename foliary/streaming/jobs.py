@@ -3,99 +3,191 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from foliary.operators.inventory import inventory_after, scan_diff
-from foliary.operators.jobs import job_progress
 from foliary.operators.sizing import settled
 from foliary.plans.pipelines import assign_ids
-from foliary.streaming.state import read_version, write_version
+from foliary.streaming.state import clear_scans, clear_versions, read_version, versions, write_version
+
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """Streams that start inside keep their state in RocksDB, which stateful processors ask for."""
+    before = spark.conf.get(_PROVIDER)
+    spark.conf.set(_PROVIDER, _ROCKS)
+    try:
+        yield
+    finally:
+        spark.conf.set(_PROVIDER, before)
 
 
 def stream_scan_diff(listings: DataFrame, inventory: DataFrame, state: str, checkpoint: str) -> StreamingQuery:
     """Keeps an inventory current from a stream of listings, whose rows come in any files and order.
 
     Rows carry `scan_id`; one row of each scan, without a path, has the number of its files in `scan_rows`.
-    Micro-batches are appended to a table partitioned by batch and scan, and a scan is applied by the batch
-    that completes it; one that completes after a newer scan is passed over. Each state is a version of its
-    own, so a retried batch repeats itself.
+    Micro-batches are appended to a table partitioned by batch and scan; a small table of counts by scan tells which
+    scan is complete, and only the partitions of that scan are read. It is applied by the batch
+    that completes it; one that completes after a newer scan is passed over. Rows of applied scans are cleared by a
+    later batch, when the version that has them in is finished. Each state is a version of its own, so a
+    retried batch repeats itself.
     """
-    rows = f"{state}_rows"
+    rows, counts = f"{state}_rows", f"{state}_counts"
 
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("overwrite").partitionBy("scan_id").parquet(f"{rows}/version={number}")
-        every = spark.read.schema(f"{rows_schema}, version long").parquet(rows).filter(F.col("version") <= number)
-        before = F.col("version") < number
         there = F.col("relative_path").isNotNull()
-        scans = every.groupBy("scan_id").agg(
-            (F.max("scan_rows") == F.count_if(there)).alias("now"),
-            (F.max(F.when(before, F.col("scan_rows"))) == F.count_if(there & before)).alias("earlier"),
-        ).filter("now")
-        newest = scans.filter("earlier").agg(F.max("scan_id")).first()[0]
-        due = scans.filter("earlier is not true").select("scan_id")
-        if newest is not None:
-            due = due.filter(F.col("scan_id") > newest)
+        batch.write.mode("overwrite").partitionBy("scan_id").parquet(f"{rows}/version={number}")
+        came = spark.read.schema(f"{rows_schema}, version long").parquet(rows).filter(F.col("version") == number).groupBy("scan_id").agg(
+            F.count_if(there).alias("found"), F.max("scan_rows").alias("expected")
+        )
+        before = read_version(spark, counts, before=number)
+        # One row for each scan that is not complete, and the newest one that was.
+        known = came.withColumn("applied", F.lit(False)) if before is None else came.withColumn("applied", F.lit(False)).unionByName(before)
+        scans = known.groupBy("scan_id").agg(F.sum("found").alias("found"), F.max("expected").alias("expected"), F.max("applied").alias("applied")).collect()
+        newest = max((r["scan_id"] for r in scans if r["applied"]), default=None)
+        clear_scans(spark, rows, [r["scan_id"] for r in scans if newest is not None and r["scan_id"] <= newest], before=number)
+        full = sorted(r["scan_id"] for r in scans if not r["applied"] and r["found"] == r["expected"] and (newest is None or r["scan_id"] > newest))
         current = read_version(spark, state, before=number)
-        current, done = inventory if current is None else current, False
-        for scan in sorted(r[0] for r in due.collect()):
-            listing = every.filter((F.col("scan_id") == scan) & there).drop("scan_id", "scan_rows", "version")
-            current, done = settled(inventory_after(assign_ids(scan_diff(current, listing)))), True
-        if done:
+        current = inventory if current is None else current
+        for scan in full:
+            listing = spark.read.schema(f"{rows_schema}, version long").parquet(rows).filter(
+                (F.col("scan_id") == scan) & (F.col("version") <= number) & there
+            ).drop("scan_id", "scan_rows", "version")
+            current = settled(inventory_after(assign_ids(scan_diff(current, listing))))
+        newest = max([*full, *([] if newest is None else [newest])], default=None)
+        kept = [(r["scan_id"], r["found"], r["expected"], r["scan_id"] == newest) for r in scans if newest is None or r["scan_id"] >= newest]
+        write_version(spark.createDataFrame(kept, "scan_id long, found long, expected long, applied boolean").coalesce(1), counts, number)
+        if full:
             write_version(current, state, number)
+        clear_versions(spark, counts, keep=2)
+        clear_versions(spark, state, keep=2)
 
     rows_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in listings.schema.fields)
     return listings.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).start()
 
 
+class LatestStatus(StatefulProcessor):
+    """Keeps the latest event of an item, and gives how a newer one changes its job's counts."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "ts_us long, status string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        before = self.last.get() if self.last.exists() else None
+        newest = before
+        for frame in rows:
+            for event in zip(frame["ts_us"].tolist(), frame["status"].tolist(), strict=True):
+                newest = event if newest is None or event > tuple(newest) else newest
+        if newest is not before:
+            self.last.update(tuple(newest))
+            old, new = before and before[1], newest[1]
+            change = {f"{kind.lower()}_items": [int(new == kind) - int(old == kind)] for kind in ("COMPLETED", "FAILED")}
+            yield pd.DataFrame({"job_id": [key[0]], **change, "items": [int(before is None)]})
+
+    def close(self) -> None:
+        pass
+
+
+PROGRESS = "job_id long, completed_items long, failed_items long, items long"
+#: Batches after which the changes before are added up into one row a job.
+ADD_UP = 32
+
+
 def stream_job_progress(items: DataFrame, state: str, checkpoint: str) -> StreamingQuery:
-    """Latest status per item from a stream of item events; `current_progress` reads it.
+    """Changes of the counts of each job from a stream of item events; `current_progress` reads them.
 
-    Each micro-batch is reduced to one row per item and merged with the version before it. The latest
-    event of an item is a maximum, so order does not matter: there is no watermark and no event is late.
+    The latest event of each item is in Spark's own keyed state, so a batch writes the changes that it makes and no
+    more. The latest event is a maximum: order does not matter, there is no watermark and no event is late. Every
+    `ADD_UP` batches the changes so far become one row a job.
     """
+    def append(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        change = [F.sum(c).alias(c) for c in ("completed_items", "failed_items", "items")]
+        changes = batch.groupBy("job_id").agg(*change)
+        if number and number % ADD_UP == 0:
+            before = _changes(spark, state, number)
+            write_version((changes if before is None else changes.unionByName(before)).groupBy("job_id").agg(*change), f"{state}/sums", number)
+        else:
+            write_version(changes, f"{state}/changes", number)
+
+    events = items.select("job_id", "item_id", F.unix_micros("ts").alias("ts_us"), "status")
+    with keyed_state(items.sparkSession):
+        changes = events.groupBy("job_id", "item_id").transformWithStateInPandas(LatestStatus(), PROGRESS, "Update", "None")
+        return changes.writeStream.outputMode("update").foreachBatch(append).option("checkpointLocation", checkpoint).start()
 
-    def apply(batch: DataFrame, number: int) -> None:
-        last = F.max(F.struct("ts", "status")).alias("last")
-        latest = batch.groupBy("job_id", "item_id").agg(last)
-        previous = read_version(batch.sparkSession, state, before=number)
-        merged = latest if previous is None else latest.unionByName(previous)
-        write_version(merged.groupBy("job_id", "item_id").agg(F.max("last").alias("last")), state, number)
 
-    return items.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).start()
+def _changes(spark: SparkSession, state: str, before: int | None = None) -> DataFrame | None:
+    """The newest sums, and the changes of the batches after them."""
+    sums = [v for v in versions(spark, f"{state}/sums") if before is None or v < before]
+    single = [v for v in versions(spark, f"{state}/changes") if (not sums or v > sums[-1]) and (before is None or v < before)]
+    paths = [f"{state}/sums/version={v}" for v in sums[-1:]] + [f"{state}/changes/version={v}" for v in single]
+    return spark.read.schema(PROGRESS).parquet(*paths) if paths else None
 
 
 def current_progress(spark: SparkSession, state: str) -> DataFrame | None:
     """Completed and failed items per job after the last finished micro-batch."""
-    items = read_version(spark, state)
-    return None if items is None else job_progress(items.select("job_id", "item_id", "last.status"))
+    changes = _changes(spark, state)
+    return None if changes is None else changes.groupBy("job_id").agg(
+        F.sum("completed_items").alias("completed_items"), F.sum("failed_items").alias("failed_items")
+    )
 
 
-def stream_stale_leases(heartbeats: DataFrame, timeout_seconds: int, late: str = "10 seconds") -> DataFrame:
-    """Stream of (job_id, last_heartbeat) of jobs silent for longer than the timeout, in event time.
+class SilentJobs(StatefulProcessor):
+    """Keeps the heartbeats of a job until it is known whether another one came in time."""
 
-    One timer per job is armed at its last heartbeat; heartbeats behind the watermark are dropped.
-    """
+    def __init__(self, timeout_us: int):
+        self.timeout = timeout_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.beats = handle.getListState("beats", "ts_us long")
+
+    def _due(self, beat: int) -> int:
+        return -(-(beat + self.timeout) // 1000)
 
-    def watch(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            last = state.get[0]
-            state.remove()
-            yield pd.DataFrame({"job_id": [key[0]], "last_heartbeat": [pd.Timestamp(last, unit="us")]})
-            return
-        newest = max(int(batch["ts_us"].max()) for batch in batches)
-        last = max(newest, state.get[0]) if state.exists else newest
-        state.update((last,))
-        due = last // 1000 + timeout_seconds * 1000
-        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"job_id": pd.Series(dtype="int64"), "last_heartbeat": pd.Series(dtype="datetime64[ns]")})
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        known = {r[0] for r in self.beats.get()} if self.beats.exists() else set()
+        new = {int(t) for frame in rows for t in frame["ts_us"]} - known
+        for beat in new:
+            self.handle.registerTimer(self._due(beat))
+        self.beats.put([(t,) for t in sorted(known | new)])
+        return iter(())
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        at = expiredTimerInfo.getExpiryTimeInMs()
+        beats = sorted(r[0] for r in self.beats.get()) if self.beats.exists() else []
+        due = [b for b in beats if self._due(b) <= at]
+        silent = [b for b in due if not any(b < other <= b + self.timeout for other in beats)]
+        left = [(b,) for b in beats if b not in due]
+        if left:
+            self.beats.put(left)
+        else:
+            self.beats.clear()
+        if silent:
+            yield pd.DataFrame({"job_id": [key[0]] * len(silent), "beat_us": silent})
+
+    def close(self) -> None:
+        pass
+
+
+def stream_stale_leases(heartbeats: DataFrame, timeout_seconds: int, late: str = "10 seconds") -> DataFrame:
+    """Stream of (job_id, last_heartbeat): every heartbeat that no other one of its job followed within the timeout.
+
+    Start it inside `keyed_state`. Each heartbeat has an event-time timer. The watermark that fires it has passed
+    every heartbeat that could still have come in time, so files and rows may come in any order that `late` covers; later
+    ones are dropped by the watermark. A job that falls silent again is told again.
+    """
     timed = heartbeats.withWatermark("ts", late).withColumn("ts_us", F.unix_micros("ts"))
-    return timed.groupBy("job_id").applyInPandasWithState(
-        watch, "job_id long, last_heartbeat timestamp", "last long", "append", GroupStateTimeout.EventTimeTimeout
+    told = timed.groupBy("job_id").transformWithStateInPandas(
+        SilentJobs(timeout_seconds * 1_000_000), "job_id long, beat_us long", "Append", "EventTime"
     )
+    return told.select("job_id", F.timestamp_micros("beat_us").alias("last_heartbeat"))

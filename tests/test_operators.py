@@ -226,15 +226,16 @@ def test_parameters_are_checked():
 
 
 def test_lost_heartbeats_stream(spark, tmp_path):
-    from foliary.streaming.jobs import stream_stale_leases
+    from foliary.streaming.jobs import keyed_state, stream_stale_leases
 
     base = datetime(2024, 1, 1)
-    beats = [(1, 0), (2, 0), (1, 50), (1, 100), (1, 150), (1, 400)]
+    beats = [(1, 0), (2, 0), (1, 100), (1, 50), (1, 150), (1, 150), (1, 400)]
     for n, (job, second) in enumerate(beats):
         spark.createDataFrame([(job, base + timedelta(seconds=second))], "job_id long, ts timestamp").coalesce(1).write.parquet(str(tmp_path / f"in/b={n:02d}"))
     stream = spark.readStream.schema("job_id long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
-    query = stream_stale_leases(stream, 60).writeStream.format("memory").queryName("lost").outputMode("append").start()
+    with keyed_state(spark):
+        query = stream_stale_leases(stream, 60, "60 seconds").writeStream.format("memory").queryName("lost").outputMode("append").start()
     query.processAllAvailable()
     query.stop()
     lost = {(r["job_id"], r["last_heartbeat"]) for r in spark.sql("SELECT * FROM lost").collect()}
-    assert (2, base) in lost
+    assert lost == {(2, base), (1, base + timedelta(seconds=150))}

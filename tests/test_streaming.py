@@ -10,7 +10,7 @@ from foliary.operators.inventory import inventory_after, scan_diff
 from foliary.plans import adapter as A
 from foliary.plans.pipelines import assign_ids
 from foliary.streaming import jobs
-from foliary.streaming.state import read_version
+from foliary.streaming.state import read_version, versions
 from tests.compare import difference, oracle
 
 SF = "/root/testdata/sf0.001"
@@ -37,5 +37,30 @@ def test_two_scans_and_one_that_is_not_complete(spark):
     expected = files
     for listing in (first, second):
         expected = inventory_after(assign_ids(scan_diff(expected, listing)))
+    # Applied scans leave no rows behind but those of the last batches, and states of old batches go.
+    left = spark.read.parquet(f"{folder}/state_rows").groupBy("scan_id").count().collect()
+    assert {r.scan_id for r in left} <= {2, 3} and len(versions(spark, f"{folder}/state")) <= 2
     columns = [c for c in expected.columns if c != "id"]
     assert Counter(map(str, read_version(spark, f"{folder}/state").select(columns).collect())) == Counter(map(str, expected.select(columns).collect()))
+
+
+def test_progress_by_changes(spark, monkeypatch):
+    """Events of one item in any batch and order; a batch writes its own changes, which are added up now and then."""
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    monkeypatch.setattr(jobs, "ADD_UP", 3)
+    rows = [
+        [(1, 10, 5, "RUNNING"), (1, 11, 1, "COMPLETED")], [(1, 10, 3, "COMPLETED"), (2, 20, 1, "FAILED")], [(1, 10, 9, "FAILED")],
+        [(2, 20, 4, "COMPLETED"), (1, 11, 0, "FAILED")], [(1, 10, 12, "COMPLETED"), (3, 30, 1, "QUEUED")],
+    ]
+    schema = "job_id long, item_id long, ts timestamp, status string"
+    for batch in rows:
+        frame = spark.createDataFrame(batch, "job_id long, item_id long, t long, status string")
+        frame.select("job_id", "item_id", F.timestamp_seconds("t").alias("ts"), "status").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    query = jobs.stream_job_progress(stream, f"{folder}/state", f"{folder}/checkpoint")
+    query.processAllAvailable()
+    query.stop()
+    found = {r.job_id: (r.completed_items, r.failed_items) for r in jobs.current_progress(spark, f"{folder}/state").collect()}
+    assert found == {1: (2, 0), 2: (1, 0), 3: (0, 0)}
+    sizes = [spark.read.parquet(f"{folder}/state/changes/version={v}").count() for v in versions(spark, f"{folder}/state/changes")]
+    assert sizes == [1, 1, 1, 2] and versions(spark, f"{folder}/state/sums") == [3]
