@@ -6,12 +6,13 @@ the units on are joined until they hold `MIN_WORDS` words, and so are the units
 begin and end there. A run is digested to 128 bits. Digests are grouped over all documents; of equal
 runs the first by rank stays, and all units of the others are removed. Rank is (doc_id, null last; hash of the
 text; number of the unit). Each removed word stands in an earlier run, so its first occurrence stays. A run that
-overlaps the one it repeats in its own document is left alone.
+overlaps the first equal one of its own document is left alone.
 
-Runs travel as digest and offsets, never as text. Two reads of the texts: the first counts digests, whose
-repeated ones set a bit map; the second lets only runs through whose bit is set. A digest's earliest rank
-is a minimum that is pre-aggregated before its shuffle, and it goes back to the runs by a join whose hot keys
-adaptive execution can split.
+Runs travel as digest and rank, never as text. Three reads of the texts: the first counts digests, whose repeated
+ones set a bit map; the second gives digest and rank of the runs whose bit is set, and the earliest rank of each
+digest is a minimum that is pre-aggregated before its shuffle. The earliest runs set a second map, and in the third
+read a run that is not in it is a repeat for certain; its units leave the task. The few other runs are told apart by a
+join with the earliest ones.
 
 Cases: a null or empty text has no unit; a run repeated inside one document is removed like any other;
 equal rows have equal ranks, and their units stay or go together; rows with one doc_id and different texts are
@@ -32,13 +33,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliary.llm.bitmaps import bitmap, bits_for, passes
+from foliary.llm.words import mix
 from foliary.operators.sizing import settled
 
 #: Words of a run. Shorter sentences repeat by chance and carry structure; they go only as part of a run.
 MIN_WORDS = 15
 _CUT = re.compile(r"\n|[.!?](?=[ \t])")
-_UNITS = "array<struct<unit:int,start:bigint,end:bigint,n_words:int>>"
-RUNS = f"doc_id long, th long, row long, d1 long, d2 long, units {_UNITS}"
+RUN = "doc_id long, th long, unit int, d1 long, d2 long"
+SEEN = "doc_id long, th long, row long, d1 long, d2 long, unit int, start long, end long, n_words int, first int, maybe boolean"
+#: Rows of a batch that are taken at once.
+AT_ONCE = 256
+
+
+def _names(schema: str) -> list[str]:
+    return [field.split()[0] for field in schema.split(", ")]
 
 
 def spans(text: str) -> Iterator[tuple[int, int]]:
@@ -73,7 +81,8 @@ def shortest_runs(counts: list[int], least: int) -> list[tuple[int, int]]:
 
 
 def runs(text: str, least: int) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int]], np.ndarray]:
-    """(unit, start, end, words) of the units with words, (first, last) of the runs of these, their digests (n x 2)."""
+    """(unit, start, end, words) of the units with words, (first, last) of the runs of these, their digests (n x 2);
+    without the runs that overlap the first equal one."""
     units, lines = [], []
     for unit, (start, end) in enumerate(spans(text)):
         words = text[start:end].encode().lower().split()
@@ -81,63 +90,107 @@ def runs(text: str, least: int) -> tuple[list[tuple[int, int, int, int]], list[t
             units.append((unit, start, end, len(words)))
             lines.append(b" ".join(words))
     found = shortest_runs([u[3] for u in units], least)
-    digests = b"".join(blake2b(b" ".join(lines[a : b + 1]), digest_size=16).digest() for a, b in found)
-    return units, found, np.frombuffer(digests, "<i8").reshape(-1, 2)
+    kept, digests, last_of = [], [], {}
+    for a, b in found:
+        digest = blake2b(b" ".join(lines[a : b + 1]), digest_size=16).digest()
+        if a > last_of.setdefault(digest, (a - 1, b))[1] or last_of[digest] == (a - 1, b):
+            kept.append((a, b))
+            digests.append(digest)
+    return units, kept, np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
 
 
 def _counted(least: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first in range(0, batch.num_rows, 1024):
-                some = [runs(t, least)[2][:, 0] for t in batch.column("text").slice(first, 1024).to_pylist() if t]
+            for first in range(0, batch.num_rows, AT_ONCE):
+                some = [runs(t, least)[2][:, 0] for t in batch.column("text").slice(first, AT_ONCE).to_pylist() if t]
                 digests, times = np.unique(np.concatenate([*some, np.zeros(0, np.int64)]), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(digests), pa.array(times)], ["d1", "n"])
 
     return run
 
 
-def _passing(least: int, bits: np.ndarray) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.struct([("unit", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("n_words", pa.int32())])
-        for batch in batches:
-            for first in range(0, batch.num_rows, 1024):
-                part = batch.slice(first, 1024)
-                rows, digests, sizes, units = [], [np.zeros((0, 2), np.int64)], [0], []
-                for i, text in enumerate(part.column("text").to_pylist()):
-                    own, found, both = runs(text or "", least)
-                    some = np.flatnonzero(passes(bits, both[:, 0].copy()))
-                    rows += [i] * len(some)
+def _parts(batches: Iterator[pa.RecordBatch], least: int, repeated: np.ndarray) -> Iterator[tuple]:
+    """(rows, number of the row and of the first unit of each repeated run, digests, units of each) some rows at a time."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, AT_ONCE):
+            part = batch.slice(first, AT_ONCE)
+            row, unit, digests, units = [], [], [np.zeros((0, 2), np.int64)], []
+            for i, text in enumerate(part.column("text").to_pylist()):
+                if text:
+                    own, found, both = runs(text, least)
+                    some = np.flatnonzero(passes(repeated, both[:, 0].copy())).tolist()
+                    row += [i] * len(some)
+                    unit += [own[found[k][0]][0] for k in some]
                     digests.append(both[some])
-                    for a, b in (found[k] for k in some.tolist()):
-                        units += own[a : b + 1]
-                        sizes.append(b + 1 - a)
-                d1, d2 = np.concatenate(digests).T
-                fields = [pa.array(c, k.type) for c, k in zip(zip(*units) if units else [[]] * 4, schema, strict=True)]
-                held = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes).astype(np.int32)), pa.StructArray.from_arrays(fields, fields=list(schema)))
-                at = pa.array(rows, pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [*[part.column(c).take(at) for c in ("doc_id", "th", "row")], pa.array(d1.copy()), pa.array(d2.copy()), held],
-                    ["doc_id", "th", "row", "d1", "d2", "units"],
-                )
+                    units += [own[found[k][0] : found[k][1] + 1] for k in some]
+            yield part, np.array(row, np.int64), np.array(unit, np.int64), np.concatenate(digests), units
+
+
+def _ranked(least: int, repeated: np.ndarray) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, row, unit, digests, _ in _parts(batches, least, repeated):
+            at = pa.array(row)
+            columns = [part.column("doc_id").take(at), part.column("th").take(at), pa.array(unit.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(d.copy()) for d in digests.T)], _names(RUN))
+
+    return run
+
+
+def _ids(doc_id: pa.Array, th: pa.Array, unit: np.ndarray, d1: np.ndarray) -> np.ndarray:
+    ids = doc_id.fill_null(-1).to_numpy(zero_copy_only=False).view(np.uint64)
+    return mix(mix(mix(ids) + th.to_numpy(zero_copy_only=False).view(np.uint64)) + unit.view(np.uint64) + d1.view(np.uint64))
+
+
+def _with_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        ids = _ids(b.column("doc_id"), b.column("th"), b.column("unit").to_numpy().astype(np.int64), b.column("d1").to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64))], ["id"])
+
+
+def _seen(least: int, repeated: np.ndarray, firsts: np.ndarray) -> Callable:
+    """Units of runs that surely repeat, each once, and the units of runs that may be the first of their digest."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
+        for part, row, unit, digests, units in _parts(batches, least, repeated):
+            at = pa.array(row)
+            maybe = passes(firsts, _ids(part.column("doc_id").take(at), part.column("th").take(at), unit, digests[:, 0].copy())).tolist()
+            gone: dict[tuple[int, int], tuple] = {}
+            rows, out = [], []
+            for i, own, one, first, (d1, d2) in zip(row.tolist(), units, maybe, unit.tolist(), digests.tolist(), strict=True):
+                for u in own:
+                    if one:
+                        rows.append(i)
+                        out.append((d1, d2, *u, first, True))
+                    else:
+                        gone[i, u[0]] = u
+            for (i, _), u in gone.items():
+                rows.append(i)
+                out.append((None, None, *u, None, False))
+            at = pa.array(rows, pa.int64())
+            columns = [part.column(c).take(at) for c in ("doc_id", "th", "row")]
+            columns += [pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 8, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, _names(SEEN))
 
     return run
 
 
 def _removed(rows: DataFrame, least: int) -> DataFrame:
-    """(row, doc_id, unit, start, end, n_words, kept_doc_id, kept_unit) from rows with doc_id, text, th and row."""
+    """(row, doc_id, unit, start, end, n_words) from rows with doc_id, text, th and row."""
     counted = rows.select("text").mapInArrow(_counted(least), "d1 long, n long").groupBy("d1").agg(F.sum("n").alias("n"))
     repeated = settled(counted.filter("n > 1").select("d1"))
     bits = bitmap(repeated, F.col("d1"), bits_for(repeated.count()))
-    rank = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "th", F.col("units")[0]["unit"].alias("unit"), F.element_at("units", -1)["unit"].alias("last"))
-    every = settled(rows.select("doc_id", "th", "row", "text").mapInArrow(_passing(least, bits), RUNS)).withColumn("rank", rank)
-    first = every.groupBy("d1", "d2").agg(F.min("rank").alias("first"), F.max("rank").alias("final")).filter("first < final").drop("final")
-    same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th"))
-    found = every.join(first, ["d1", "d2"]).filter((F.col("rank") > F.col("first")) & ~(same & (F.col("rank.unit") <= F.col("first.last"))))
-    kept = F.struct("first.n", "first.doc_id", "first.th", "first.unit").alias("kept")
-    units = found.select("row", "doc_id", kept, F.inline("units"))
-    return units.groupBy("row", "doc_id", "unit", "start", "end", "n_words").agg(F.min("kept").alias("kept")).select(
-        "row", "doc_id", "unit", "start", "end", "n_words", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.unit").alias("kept_unit")
-    )
+    rank = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "th", "unit")).alias("first")
+    texts = rows.select("doc_id", "th", "row", "text")
+    first = settled(texts.mapInArrow(_ranked(least, bits), RUN).groupBy("d1", "d2").agg(rank).select("d1", "d2", "first.doc_id", "first.th", "first.unit"))
+    ids = settled(first.mapInArrow(_with_ids, "id long"))
+    seen = settled(texts.mapInArrow(_seen(least, bits, bitmap(ids, F.col("id"), bits_for(ids.count()))), SEEN))
+    maybe = seen.filter("maybe")
+    known = first.select("d1", "d2", F.col("doc_id").alias("f_id"), F.col("th").alias("f_th"), F.col("unit").alias("f_unit"))
+    same = (maybe["d1"] == known["d1"]) & (maybe["d2"] == known["d2"])
+    is_first = F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("th") == F.col("f_th")) & (F.col("first") == F.col("f_unit"))
+    columns = ["row", "doc_id", "unit", "start", "end", "n_words"]
+    return seen.filter("not maybe").select(columns).unionByName(maybe.join(known, same).filter(~is_first).select(columns)).distinct()
 
 
 def _keyed(documents: DataFrame, row: Column) -> DataFrame:
@@ -146,10 +199,7 @@ def _keyed(documents: DataFrame, row: Column) -> DataFrame:
 
 
 def removed_units(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Units of runs that an earlier one repeats: doc_id, unit, start, end, n_words, kept_doc_id, kept_unit.
-
-    The kept unit is the first one of the earliest run that holds the unit's words.
-    """
+    """Units of runs that an earlier one repeats: doc_id, unit, start, end, n_words."""
     return _removed(_keyed(documents, F.monotonically_increasing_id()), min_words).drop("row")
 
 
