@@ -18,8 +18,8 @@ RECORD = (
 
 def record(document, part, title, body):
     return (
-        "contracts", document, f"part-{part:03d}", part, f"项目合同/{title}.md", title, "markdown", ["合同"], ["甲方", "乙方"],
-        "原文证据", "简短摘要未收录长尾数值。", body,
+        "depots", document, f"part-{part:03d}", part, f"仓储资料/{title}.md", title, "note", ["仓储"], ["北库", "南库"],
+        "摘录", "只说大意。", body,
     )
 
 
@@ -41,9 +41,9 @@ def test_exact_facts_are_recalled(spark):
 
 
 def test_one_large_document_cannot_take_all_places(spark):
-    records = [record("1", n, "超长投标文件", f"统一检索词，第 {n} 部分。") for n in range(1, 31)]
-    records.append(record("2", 1, "独立验收材料", "统一检索词，独立来源。"))
-    (found,) = ask(spark, records, "统一检索词", params=Params(lexical_candidate_parts=5, lexical_max_parts_per_document=2))
+    records = [record("1", n, "盘点长表", f"货架清单，编到 {n} 号。") for n in range(1, 31)]
+    records.append(record("2", 1, "另一份表", "货架清单，别处抄来。"))
+    (found,) = ask(spark, records, "货架清单", params=Params(lexical_candidate_parts=5, lexical_max_parts_per_document=2))
     assert sum(r["document_id"] == "1" for r in found) == 2
     assert any(r["document_id"] == "2" for r in found)
 
@@ -61,11 +61,11 @@ def test_pieces_prefer_blank_lines_in_the_second_half():
 
 
 def test_segments_and_fences(spark):
-    draft = spark.createDataFrame([(1, 1, "可检索证据段落。\n\n" * 400)], "document_id long, draft_no int, body string")
+    draft = spark.createDataFrame([(1, 1, "这一段只为切分而写。\n\n" * 400)], "document_id long, draft_no int, body string")
     out = C.bound_drafts(draft.withColumn("anchors", anchor(page=F.lit(7))), 1000).collect()
     assert len(out) > 1 and all(len(r["body"]) <= 1000 and r["anchors"]["page"] == 7 for r in out)
     assert sorted(r["anchors"]["segment"] for r in out)[0] == f"1/{len(out)}"
-    body = "```json\n{\n" + ",\n".join(f'"f{i}": "{"证据" * 50}"' for i in range(80)) + "\n}\n```"
+    body = "```json\n{\n" + ",\n".join(f'"f{i}": "{"货架" * 50}"' for i in range(80)) + "\n}\n```"
     fenced = spark.createDataFrame([(1, body)], "document_id long, text string")
     chunks = [r["chunk"] for r in C.chunk_markdown(fenced, 1000).collect()]
     assert len(chunks) > 1 and all(c.count("```") == 2 and len(c) <= 1000 for c in chunks)
@@ -80,15 +80,15 @@ def test_slides(spark):
 
 
 def test_tables(spark):
-    rows = [(1, "Metrics", 1, ["Name", "Value", "Formula"])] + [
-        (1, "Metrics", n, [f"row-{n - 1}", f"{(n - 1) * 1000 + 0.25}", f"=B{n}*2"]) for n in range(2, 206)
+    rows = [(1, "Stock", 1, ["Shelf", "Boxes", "Share"])] + [
+        (1, "Stock", n, [f"shelf {n - 1}", f"{(n - 1) * 30 + 0.5}", f"=B{n}/90"]) for n in range(2, 206)
     ]
     rows += [(2, "Empty", n, ["", None]) for n in range(1, 5)]
     frame = spark.createDataFrame(rows, "document_id long, sheet string, row_no long, cells array<string>")
     drafts = tables.table_rows_to_parts(frame, 200)
     out = drafts.orderBy("batch_no").collect()
     assert [r["anchors"]["rows"] for r in out] == ["1-200", "201-205"]
-    assert "| 2 | row-1 | 1000.25 | =B2*2 |" in out[0]["body"]
+    assert "| 2 | shelf 1 | 30.5 | =B2/90 |" in out[0]["body"]
     marker = tables.empty_table_marker(drafts, frame.select("document_id", "sheet").distinct()).collect()
     assert [(r["sheet"], r["anchors"]["rows"]) for r in marker] == [("Empty", "empty")]
 

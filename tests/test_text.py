@@ -63,7 +63,7 @@ def test_strip_takes_all_python_blanks(spark):
 
 
 def test_tokens(spark):
-    rows = ["", "a", "abcd", "证据", 'say "x"\n']
+    rows = ["", "a", "abcd", "货架", 'say "x"\n']
     assert values(spark, rows, X.estimate_tokens) == [math.ceil(len(r.encode()) / 3) for r in rows]
     import json
     assert values(spark, rows, X.evidence_tokens) == [math.ceil(len(json.dumps(r, ensure_ascii=False).encode()) / 3) for r in rows]
