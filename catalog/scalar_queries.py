@@ -195,12 +195,21 @@ def chunk_text(spark, sf):
     return chunking.chunk_text(docs, 1000)
 
 
-def chunk_text_udtf(spark, sf):
+def _clean_documents(spark, sf):
     chunking.register_chunk_text(spark)
     _docs(spark, sf).select("doc_id", X.normalize_markdown(F.col("text")).alias("text")).createOrReplaceTempView("clean_documents")
+
+
+def chunk_text_udtf(spark, sf):
+    _clean_documents(spark, sf)
     return spark.sql("SELECT doc_id, c.chunk_no, c.chunk FROM clean_documents, LATERAL chunk_text(text, 1000) c")
 
 
+def chunk_texts_udtf(spark, sf):
+    _clean_documents(spark, sf)
+    return spark.sql("SELECT id AS doc_id, chunk_no, chunk FROM chunk_texts(TABLE(SELECT doc_id AS id, text FROM clean_documents), 1000)")
+
+
 def chunk_markdown(spark, sf):
     fenced = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("```txt\n"), "text", F.lit("\n```"))).otherwise(F.col("text"))
     docs = _docs(spark, sf).select("doc_id", X.normalize_markdown(fenced).alias("text"))
@@ -277,7 +286,7 @@ QUERIES = {
         small_talk_kind, is_ignored_source_path, is_safe_relative_path, path_in_folder, source_directory_of, folder_id_of,
         canonical_anchor, human_source_location, table_cell_render, spreadsheet_column_name, part_front_matter,
         bounded_text, bounded_string_list, required_text, unique_non_blank, extract_json_object, canonical_document_id,
-        source_modified_at, token_budget, chunk_text, chunk_text_udtf, chunk_markdown, chunk_sections, bound_drafts,
+        source_modified_at, token_budget, chunk_text, chunk_text_udtf, chunk_texts_udtf, chunk_markdown, chunk_sections, bound_drafts,
         split_marked_blocks, number_parts, table_rows_to_parts, empty_table_marker,
     )
 }
@@ -402,6 +411,7 @@ FROM (SELECT *, avail - rs AS router_in, aavail - asr AS evidence FROM (
                least(CASE WHEN c_custkey % 3 <> 0 AND c_custkey * 211 > 0 THEN c_custkey * 211 ELSE 131072 END, 131072) AS actx, c_custkey % 9000 AS ao
         FROM customer)))))""",
     "chunk_text": sql.with_(_CUT(1000), select="SELECT doc_id, n::INTEGER AS chunk_no, chunk FROM cut"),
+    "chunk_texts_udtf": sql.with_(_CUT(1000), select="SELECT doc_id, n::INTEGER AS chunk_no, chunk FROM cut"),
     "chunk_text_udtf": sql.with_(_CUT(1000), select="SELECT doc_id, n::INTEGER AS chunk_no, chunk FROM cut"),
     "chunk_markdown": sql.with_(
         sql.cut(f"(SELECT doc_id, trim(text, {_B}) AS clean FROM documents)", "doc_id", "clean", 1000, "plain", "doc_id % 3 <> 0"),

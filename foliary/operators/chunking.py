@@ -6,6 +6,8 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -187,7 +189,7 @@ def number_parts(drafts: DataFrame, order: tuple[str, ...] = ("draft_no",)) -> D
 
 @F.udtf(returnType="chunk_no int, chunk string")
 class ChunkText:
-    """SQL table function chunk_text(text, limit) for lateral joins."""
+    """SQL table function chunk_text(text, limit) for lateral joins, which Spark runs row by row."""
 
     def eval(self, text: str, limit: int):
         if text is not None:
@@ -195,5 +197,25 @@ class ChunkText:
                 yield number, piece
 
 
+@F.arrow_udtf(returnType="id long, chunk_no int, chunk string")
+class ChunkTexts:
+    """SQL table function chunk_texts(TABLE(SELECT id, text …), limit): one Python call for each batch of rows."""
+
+    def eval(self, batch: pa.RecordBatch, limit: pa.Array):
+        most = limit[0].as_py()
+        ids, texts = batch.column("id"), batch.column("text")
+        # Only texts above the limit are cut in Python; the others pass as they are.
+        short = pc.less_equal(pc.utf8_length(texts), most)
+        whole, kept = ids.filter(short), texts.filter(short)
+        yield pa.table([whole.cast(pa.int64()), pa.array([1] * len(whole), pa.int32()), kept.cast(pa.string())], ["id", "chunk_no", "chunk"])
+        long = pc.invert(short)
+        pieces = [list(pieces_of(t, most)) for t in texts.filter(long).to_pylist()]
+        if pieces:
+            at = pa.array([i for i, p in enumerate(pieces) for _ in p], pa.int64())
+            numbers = pa.array([n for p in pieces for n in range(1, len(p) + 1)], pa.int32())
+            yield pa.table([ids.filter(long).take(at).cast(pa.int64()), numbers, pa.array([x for p in pieces for x in p], pa.string())], ["id", "chunk_no", "chunk"])
+
+
 def register_chunk_text(spark: SparkSession) -> None:
     spark.udtf.register("chunk_text", ChunkText)
+    spark.udtf.register("chunk_texts", ChunkTexts)
