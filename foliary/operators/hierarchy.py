@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 from foliary import params as P
 from foliary.functions.paths import folder_id_of, source_directory_of
 from foliary.functions.text import strip
+from foliary.operators.sizing import settled
 from foliary.params import Params
 
 COMPACT = [
@@ -72,14 +73,9 @@ def folder_summary(compact: DataFrame, top: int) -> DataFrame:
     )
     named = _first_k(topics, [F.desc("uses"), F.asc("first_seen")], top, "topic", "topics")
     titles = _first_k(compact, [F.asc("source_path"), F.col("document_id").cast("long").asc()], 5, "title", "titles")
-    lead = F.concat("source_directory", F.lit(": "), F.col("document_count").cast("string"), F.lit(" document(s). "))
-    listed = F.array_join("topics", ", ")
-    text = F.when(F.length(listed) > 0, F.concat(lead, F.lit("Topics: "), listed, F.lit("."))).otherwise(
-        F.concat(lead, F.array_join("titles", ", "))
-    )
     joined = counts.join(named, "folder_id", "left").join(titles, "folder_id", "left")
     return joined.select(
-        "folder_id", "source_directory", "document_count", F.substring(text, 1, P.FOLDER_SUMMARY_CHARS).alias("summary")
+        "folder_id", "source_directory", "document_count", _summary(F.col("topics"), F.col("titles")).alias("summary")
     )
 
 
@@ -113,26 +109,78 @@ def unique_document_values(compact: DataFrame, field: str, top: int, out: str) -
     return _first_k(values, [F.asc("first_seen")], top, "value", out)
 
 
+def _root_values(compact: DataFrame) -> DataFrame:
+    """(folder_id, field, term, slot, uses, first_seen) of all that a root row is made of, from one pass over the cards.
+
+    A field has its values in document order: `topic` and `entity` as they are, `clean_*` stripped and once a
+    document, `type`, `title`, and of every document its `lead` (title) and `folder` (directory) row.
+    """
+    def rows(field: str, values: Column) -> Column:
+        return F.transform(values, lambda v, i: F.struct(F.lit(field).alias("field"), v.alias("term"), i.alias("pos"), F.lit("").alias("slot")))
+
+    def clean(field: str) -> Column:
+        return F.array_distinct(F.filter(F.transform(field, strip), lambda t: F.length(t) > 0))
+
+    def filled(field: str) -> Column:
+        return F.filter(F.array(strip(F.col(field))), lambda t: F.length(t) > 0)
+
+    lead = F.array(F.struct(F.lit("lead").alias("field"), F.col("title").alias("term"), F.lit(0).alias("pos"), F.col("document_id").alias("slot")))
+    every = [
+        rows("topic", F.col("topics")), rows("entity", F.col("entities")), rows("clean_topic", clean("topics")), rows("clean_entity", clean("entities")),
+        rows("type", filled("document_type")), rows("title", filled("title")), lead, rows("folder", F.array("source_directory")),
+    ]
+    nothing = F.array().cast("array<struct<field:string,term:string,pos:int,slot:string>>")
+    exploded = compact.select("folder_id", "source_path", "document_id", F.inline(F.concat(*[F.coalesce(e, nothing) for e in every])))
+    return exploded.groupBy("folder_id", "field", "term", "slot").agg(F.count("*").alias("uses"), F.min(_position("pos")).alias("first_seen"))
+
+
 def build_root(compact: DataFrame, params: Params) -> DataFrame:
-    """One routing row per folder, ordered by directory."""
-    root = folder_summary(compact, params.folder_summary_topics)
-    pieces = [
-        unique_document_values(compact, "document_type", params.root_max_document_types, "document_types"),
-        rank_root_terms(compact, "topics", params.root_max_topics),
-        rank_root_terms(compact, "entities", params.root_max_entities),
-        unique_document_values(compact, "title", params.root_max_representative_titles, "representative_titles"),
+    """One routing row per folder, ordered by directory.
+
+    The cards are read once. Every list of a row is a ranking of the same table, so one window ranks them all and
+    one grouping by folder lays them side by side.
+    """
+    values = settled(_root_values(compact))
+    folders = values.filter("field IN ('topic', 'entity')").groupBy(F.concat(F.lit("clean_"), "field").alias("field"), "term").agg(
+        F.count_distinct("folder_id").alias("folders")
+    )
+    ranked = values.join(folders, ["field", "term"], "left")
+    by_folders, by_uses = F.col("field").startswith("clean_"), F.col("field").startswith("clean_") | (F.col("field") == "topic")
+    order = [
+        F.when(by_folders, F.coalesce("folders", F.lit(1))).otherwise(0).asc(), F.when(by_uses, F.col("uses")).otherwise(0).desc(), F.asc("first_seen"), F.asc("term"),
     ]
-    for piece in pieces:
-        root = root.join(piece, "folder_id", "left")
-    empty = F.array().cast("array<string>")
-    lists = ("document_types", "topics", "entities", "representative_titles")
+    limits = {
+        "topic": params.folder_summary_topics, "clean_topic": params.root_max_topics, "clean_entity": params.root_max_entities,
+        "type": params.root_max_document_types, "title": params.root_max_representative_titles, "lead": 5, "folder": 1,
+    }
+    place = F.row_number().over(Window.partitionBy("folder_id", "field").orderBy(*order))
+    within = F.element_at(F.create_map(*[F.lit(x) for pair in limits.items() for x in pair]), F.col("field"))
+    best = ranked.filter("field <> 'entity'").withColumn("_k", place).filter((F.col("_k") <= max(limits.values())) & (F.col("_k") <= within))
+
+    def of(field: str) -> Column:
+        picked = F.collect_list(F.when(F.col("field") == field, F.struct("_k", "term")))
+        return F.transform(F.array_sort(picked), lambda r: r["term"])
+
+    root = best.groupBy("folder_id").agg(
+        F.max(F.when(F.col("field") == "folder", F.col("term"))).alias("source_directory"),
+        F.max(F.when(F.col("field") == "folder", F.col("uses"))).alias("document_count"),
+        of("topic").alias("_named"), of("lead").alias("_titles"), of("type").alias("document_types"), of("clean_topic").alias("topics"),
+        of("clean_entity").alias("entities"), of("title").alias("representative_titles"),
+    )
     return root.select(
-        "folder_id", "source_directory", "summary", "document_count",
-        *[F.coalesce(c, empty).alias(c) for c in lists],
-        F.concat(F.lit("folders/"), "folder_id", F.lit(".json")).alias("index_path"),
+        "folder_id", "source_directory", _summary(F.col("_named"), F.col("_titles")).alias("summary"), "document_count",
+        "document_types", "topics", "entities", "representative_titles", F.concat(F.lit("folders/"), "folder_id", F.lit(".json")).alias("index_path"),
     ).orderBy("source_directory")
 
 
+def _summary(topics: Column, titles: Column) -> Column:
+    """Summary of a folder from its most used topics, or its first titles."""
+    lead = F.concat("source_directory", F.lit(": "), F.col("document_count").cast("string"), F.lit(" document(s). "))
+    listed = F.array_join(topics, ", ")
+    text = F.when(F.length(listed) > 0, F.concat(lead, F.lit("Topics: "), listed, F.lit("."))).otherwise(F.concat(lead, F.array_join(titles, ", ")))
+    return F.substring(text, 1, P.FOLDER_SUMMARY_CHARS)
+
+
 def root_document_count(root: DataFrame, generations: DataFrame) -> DataFrame:
     """One row: current generation, document and folder totals, last activation."""
     active = generations.filter("status = 'ACTIVE'").agg(
