@@ -64,3 +64,21 @@ def test_progress_by_changes(spark, monkeypatch):
     assert found == {1: (2, 0), 2: (1, 0), 3: (0, 0)}
     sizes = [spark.read.parquet(f"{folder}/state/changes/version={v}").count() for v in versions(spark, f"{folder}/state/changes")]
     assert sizes == [1, 1, 1, 2] and versions(spark, f"{folder}/state/sums") == [3]
+
+
+def test_progress_keeps_items_in_groups(spark):
+    """Many items of one job, repeated and older events, and rows without a job or item; the state has few keys."""
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    rows = [(1, i, 1, "COMPLETED") for i in range(5_000)] + [(None, 1, 1, "FAILED"), (2, None, 1, "FAILED"), (2, 0, 1, "COMPLETED")]
+    later = [(1, i, 2 if i % 2 else 0, "FAILED") for i in range(5_000)] + [(None, 1, 3, "COMPLETED"), (2, None, 0, "QUEUED"), (1, 2**60 + 1, 1, "FAILED")]
+    for batch in (rows, later):
+        frame = spark.createDataFrame(batch, "job_id long, item_id long, t long, status string")
+        frame.select("job_id", "item_id", F.timestamp_seconds("t").alias("ts"), "status").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema("job_id long, item_id long, ts timestamp, status string").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    query = jobs.stream_job_progress(stream, f"{folder}/state", f"{folder}/checkpoint")
+    query.processAllAvailable()
+    keys = query.lastProgress["stateOperators"][0]["numRowsTotal"]
+    query.stop()
+    found = {r.job_id: (r.completed_items, r.failed_items) for r in jobs.current_progress(spark, f"{folder}/state").collect()}
+    assert found == {1: (2_500, 2_501), 2: (1, 1), None: (1, 0)}
+    assert keys <= jobs.ITEM_GROUPS + 3
