@@ -66,6 +66,36 @@ def test_progress_by_changes(spark, monkeypatch):
     assert sizes == [1, 1, 1, 2] and versions(spark, f"{folder}/state/sums") == [3]
 
 
+def _beats(spark, folder, batches):
+    schema = "job_id long, us long"
+    for batch in batches:
+        spark.createDataFrame(batch, schema).select("job_id", F.timestamp_micros("us").alias("ts")).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema("job_id long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    with jobs.keyed_state(spark):
+        told = jobs.stream_stale_leases(stream, 60, "30 seconds").writeStream.outputMode("append")
+        query = told.option("checkpointLocation", f"{folder}/checkpoint").format("parquet").option("path", f"{folder}/out").start()
+    query.processAllAvailable()
+    query.stop()
+    rows = spark.read.schema("job_id long, last_heartbeat timestamp").parquet(f"{folder}/out")
+    return sorted(tuple(r) for r in rows.select("job_id", F.unix_micros("last_heartbeat")).collect())
+
+
+def test_silent_jobs_are_sessions(spark):
+    """A heartbeat exactly at the timeout is in time, one a microsecond later is not; no function in Python is called."""
+    folder, s = tempfile.mkdtemp(prefix="spark-", dir="/tmp"), 1_000_000
+    batches = [
+        [(1, 0), (1, 120 * s), (2, 0), (3, 10 * s)],
+        [(1, 60 * s), (2, 60 * s + 1), (3, 130 * s)],
+        [(4, 1_000 * s)],
+        [(5, 2_000 * s)],
+    ]
+    assert _beats(spark, folder, batches) == [(1, 120 * s), (2, 0), (2, 60 * s + 1), (3, 10 * s), (3, 130 * s), (4, 1_000 * s)]
+    beats = spark.readStream.schema("job_id long, ts timestamp").parquet(f"{folder}/in")
+    plan = jobs.stream_stale_leases(beats, 60)._jdf.queryExecution().analyzed().toString()
+    assert "SessionWindow" in plan or "session_window" in plan
+    assert "TransformWithState" not in plan
+
+
 def test_progress_keeps_items_in_groups(spark):
     """Many items of one job, repeated and older events, and rows without a job or item; the state has few keys."""
     folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
