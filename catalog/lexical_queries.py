@@ -13,12 +13,6 @@ def _search(spark, sf):
     return L.part_search(A.records(spark, sf))
 
 
-def _scores(spark, sf):
-    terms = L.question_terms(A.questions(spark, sf))
-    postings = L.part_postings(_search(spark, sf))
-    return L.bm25_score(terms, postings, L.corpus_term_stats(postings))
-
-
 def top_candidates(spark, sf):
     return L.top_candidates(A.questions(spark, sf), A.records(spark, sf), A.FIXTURE)
 
@@ -60,7 +54,7 @@ def search_postings(spark, sf):
 
 
 def bm25_score(spark, sf):
-    return _scores(spark, sf).select(
+    return L.part_scores(A.questions(spark, sf), A.records(spark, sf)).select(
         "question_id", "document_id", "part_no", F.round(-F.col("units") / L.UNITS, 6).alias("score")
     )
 

@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 
 from foliary import Params
 from foliary.operators import lexical as L, scoring
@@ -98,3 +99,63 @@ def test_stored_search_reads_wanted_buckets_alone(spark):
     assert 0 < len(files) <= 64
     expected = L.search_index(asked, postings(spark, made()), L.corpus_term_stats(postings(spark, made())), Params())
     assert sorted(map(tuple, L.search_index(asked, stored, stats, Params()).collect())) == sorted(map(tuple, expected.collect()))
+
+
+def _found_parts(seed=3, parts=400, terms=25):
+    rng = np.random.default_rng(seed)
+    found = [np.flatnonzero(rng.random(terms) < 0.3).astype(np.int32) for _ in range(parts)]
+    table = pa.table({
+        "document_id": pa.array(np.arange(parts) // 3), "part_no": pa.array((np.arange(parts) % 3 + 1).astype(np.int32)), "source_path": [f"p{i % 7}" for i in range(parts)],
+        "length": pa.array(rng.integers(5, 40, parts).astype(np.int32)), "found": pa.array(found, pa.list_(pa.int32())),
+        "weights": pa.array([rng.integers(1, 9, len(f)).astype(np.int32) for f in found], pa.list_(pa.int32())),
+    })
+    pairs = sorted({(q, int(t)) for q in range(15) for t in rng.choice(terms, 4)} | {(t % 15, t) for t in range(terms)})
+    asked = scoring.asked_of(pa.table({"question_id": [q for q, _ in pairs], "term": [f"t{t:02d}" for _, t in pairs], "idf": [1.0 + t / 7 for _, t in pairs]}), 17.0)
+    return table, asked
+
+
+def test_slices_give_the_same_scores(monkeypatch):
+    """Many slices of a partition: every score as a plain sum, the best rows among those of the slices, and little held at once."""
+    table, asked = _found_parts()
+    names, plain = ["document_id", "part_no", "source_path"], {}
+    for r in table.to_pylist():
+        for q in range(len(asked.questions)):
+            mine = set(asked.term[asked.first[q] : asked.first[q + 1]].tolist())
+            hit = [(t, w) for t, w in zip(r["found"], r["weights"]) if t in mine]
+            if hit:
+                units = scoring.gains(np.array([asked.idf[t] for t, _ in hit]), np.array([w for _, w in hit]), np.array([r["length"]] * len(hit)), asked.mean)
+                plain[(asked.questions[q].as_py(), r["document_id"], r["part_no"])] = int(units.sum())
+    monkeypatch.setattr(scoring, "SLICE", 150)
+    monkeypatch.setattr(scoring, "HITS", 90)
+    assert max(int(pa.compute.sum(pa.compute.list_value_length(t["found"])).as_py()) for t in scoring._parts_slices(iter(table.to_batches(64)), 150)) <= 150
+    batches = list(scoring._all_of_parts(asked, names)(iter(table.to_batches(max_chunksize=64))))
+    rows = [r for b in batches for r in b.to_pylist()]
+    assert {(r["question_id"], r["document_id"], r["part_no"]): r["units"] for r in rows} == plain and len(rows) == len(plain)
+    number = [(i, t, w) for i, (f, ws) in enumerate(zip(table["found"].to_pylist(), table["weights"].to_pylist())) for t, w in zip(f, ws)]
+    spread = table.select([*names, "length"]).take(pa.array([i for i, _, _ in number]))
+    spread = spread.append_column("term", pa.array([asked.terms[t].as_py() for _, t, _ in number])).append_column("weight", pa.array([w for _, _, w in number], pa.int32()))
+    sizes = [t.num_rows for t in scoring._postings_slices(iter(spread.to_batches(max_chunksize=64)), 150)]
+    assert sum(sizes) == spread.num_rows and max(sizes) < 150 + 64 and len(sizes) > 5
+    for run, given in ((scoring._from_parts, table), (scoring._from_postings, spread)):
+        best = defaultdict(list)
+        for b in run(asked, 5, names)(iter(given.to_batches(max_chunksize=64))):
+            for r in b.to_pylist():
+                best[r["question_id"]].append((-r["units"], r["source_path"], r["document_id"], r["part_no"]))
+        path = {(r["document_id"], r["part_no"]): r["source_path"] for r in table.to_pylist()}
+        for q in best:
+            whole = sorted((-u, path[d, n], d, n) for (asker, d, n), u in plain.items() if asker == q)
+            assert sorted(best[q])[:5] == whole[:5]
+
+
+def test_part_scores_equal_the_joins(spark):
+    """Scores beside the parts are those of the joined postings, and no hit is exchanged."""
+    from foliary.plans import adapter as A
+
+    sf = "/root/testdata/sf0.001"
+    questions, records = A.questions(spark, sf), A.records(spark, sf)
+    stored = L.part_postings(L.part_search(records))
+    joined = L.bm25_score(L.question_terms(questions), stored, L.corpus_term_stats(stored))
+    found = L.part_scores(questions, records)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    columns = ["question_id", "document_id", "part_no", "source_path", "units"]
+    assert sorted(map(tuple, found.select(columns).collect())) == sorted(map(tuple, joined.select(columns).collect()))
