@@ -239,3 +239,27 @@ def test_lost_heartbeats_stream(spark, tmp_path):
     query.stop()
     lost = {(r["job_id"], r["last_heartbeat"]) for r in spark.sql("SELECT * FROM lost").collect()}
     assert lost == {(2, base), (1, base + timedelta(seconds=150))}
+
+
+def test_python_workers_get_few_texts_at_once(spark):
+    """No batch of texts that a Python function gets is larger than TEXT_ROWS; a smaller setting of the session stays."""
+    from pyspark.sql import types as T
+
+    from foliary.operators.sizing import TEXT_ROWS
+    from foliary.plans import adapter
+
+    @F.pandas_udf(T.LongType())
+    def rows_at_once(texts):
+        return texts.map(lambda _: len(texts))
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "10000")
+        docs = adapter.load(spark, "/root/testdata/sf0.01", "documents").unionByName(adapter.load(spark, "/root/testdata/sf0.01", "documents"))
+        assert docs.coalesce(1).select(rows_at_once("text").alias("n")).agg(F.max("n")).first()[0] <= TEXT_ROWS
+        spark.conf.set(name, "100")
+        adapter.load(spark, "/root/testdata/sf0.01", "documents")
+        assert spark.conf.get(name) == "100"
+    finally:
+        spark.conf.set(name, before)
