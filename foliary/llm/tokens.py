@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import struct
 import sys
 import types
@@ -54,7 +55,7 @@ SHARD_CHARS, MOST_SHARDS = 32_000_000, 20_000
 TRAINING_DOCUMENTS, TRAINING_BYTES, DICTIONARY_BYTES = 2_000, 8_192, 65_536
 LEVEL = 3
 #: Distinct pieces that a worker remembers before it starts anew, and bytes of text encoded at once.
-REMEMBERED, AT_ONCE = 500_000, 1 << 20
+REMEMBERED, AT_ONCE = 500_000, 1 << 19
 #: New pieces learned at once, and how many of them are encoded as one text.
 PIECES_AT_ONCE, JOINED = 16_384, 64
 MANIFEST = "shard int, file string, documents long, tokens long"
@@ -85,6 +86,8 @@ class Encoder:
     """Ids of texts, remembering those of each distinct piece."""
 
     def __init__(self, path: str):
+        # A task has one core: threads of the library's own would only hold memory beside it.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)

@@ -62,3 +62,11 @@ def test_stages_on_odd_tables(spark):
         for _, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, SF)
         assert (docs.count() > 0) == bool(given)
+
+
+def test_stages_hand_python_few_texts_at_once(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(5)
+    for name in ("near_dedup", "decontamination", "token_shards"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+        dict(corpus_pipeline.STAGES)[name](spark, docs, SF)
+        assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000, name
