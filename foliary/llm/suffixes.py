@@ -281,24 +281,35 @@ def sorted_suffixes(strings: list[bytes], columns: Columns, depth: int = WINDOW)
     for i, s in enumerate(strings):
         symbols[: len(s), i] = np.frombuffer(s, np.uint8)[::-1] + 1
     columns.write(symbols[0], np.zeros(m, np.uint8))
+    # How often each symbol stands in the transform.
+    counts = np.bincount(symbols[0], minlength=256)
     place = np.arange(m)
     for j in range(1, len(symbols)):
         transform, common = columns.read()
         order = np.argsort(transform, kind="stable")
-        ended = int((transform == 0).sum())
-        row = np.empty(len(order), np.int64)
-        row[order] = np.arange(m - ended, m - ended + len(order))
+        bounds = np.concatenate([[0], np.cumsum(counts)])
+        ended = int(counts[0])
         active = np.flatnonzero(symbols[j - 1])
-        place[active] = row[place[active]]
-        new = np.sort(place[active])
+        # Rows of one symbol are in order: where a symbol's old rows stand in it gives the new ones, for the active strings alone.
+        active = active[np.lexsort((place[active], symbols[j - 1][active]))]
+        opens = np.flatnonzero(np.diff(symbols[j - 1][active], prepend=0))
+        for low, high in zip(opens.tolist(), [*opens[1:].tolist(), len(active)], strict=True):
+            symbol = symbols[j - 1][active[low]]
+            inside = order[bounds[symbol] : bounds[symbol + 1]]
+            place[active[low:high]] = m - ended + bounds[symbol] + np.searchsorted(inside, place[active[low:high]])
+        # The new rows rise in this order.
+        new = place[active]
         total = len(transform) + len(new)
-        old = np.ones(total, bool)
-        old[new] = False
+        fresh = np.zeros(total + 1, bool)
+        fresh[new] = True
+        old = ~fresh[:total]
         grown, prefixes = np.empty(total, np.uint8), np.empty(total, np.uint8)
         grown[old], prefixes[old] = transform, common
-        grown[place[active]] = symbols[j][active]
+        grown[new] = symbols[j][active]
+        counts += np.bincount(grown[new], minlength=256)
         # Common prefixes change at the new rows and at the rows after them.
-        touched = np.union1d(new, new[new + 1 < total] + 1)
+        fresh[new + 1] = True
+        touched = np.flatnonzero(fresh[:total])
         prefixes[touched] = 0
         touched = touched[touched > m]
         below, above = order[ended + touched - m - 1], order[ended + touched - m]

@@ -85,3 +85,23 @@ def test_kept_bytes_and_empty_table(spark):
     assert first.kept == text.encode() and second.kept == b"new " and second.n_spans == 1
     assert suffixes.report(docs(spark, [])).collect() == []
     assert [r.n_bytes for r in suffixes.report(docs(spark, [(1, None)])).collect()] == [0]
+
+
+def test_a_round_sorts_little_beside_the_transform(monkeypatch):
+    sorted_, real = [0], {n: getattr(np, n) for n in ("argsort", "sort", "lexsort", "union1d")}
+
+    def counted(name):
+        def run(*args, **options):
+            sorted_[0] += sum(len(a) for a in args[: 2 if name == "union1d" else 1]) if name != "lexsort" else len(args[0][0])
+            return real[name](*args, **options)
+
+        return run
+
+    for name in real:
+        monkeypatch.setattr(np, name, counted(name))
+    random.seed(4)
+    m, size = 50, 120
+    strings = ["".join(random.choices("abcd", k=size)).encode() for _ in range(m)]
+    suffixes.sorted_suffixes(strings, suffixes.Columns(tempfile.mkdtemp(prefix="spark-")))
+    transforms = sum(m * j for j in range(1, size + 2))
+    assert sorted_[0] - transforms <= 3 * m * size
