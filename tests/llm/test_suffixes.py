@@ -5,6 +5,7 @@ import random
 import tempfile
 
 import numpy as np
+import pyarrow as pa
 
 from foliary.llm import suffixes
 
@@ -105,3 +106,56 @@ def test_a_round_sorts_little_beside_the_transform(monkeypatch):
     suffixes.sorted_suffixes(strings, suffixes.Columns(tempfile.mkdtemp(prefix="spark-")))
     transforms = sum(m * j for j in range(1, size + 2))
     assert sorted_[0] - transforms <= 3 * m * size
+
+
+def test_a_round_does_not_sort_the_transform(monkeypatch):
+    sorted_, real = [0], {n: getattr(np, n) for n in ("argsort", "sort", "lexsort")}
+
+    def counted(name):
+        def run(a, *args, **options):
+            sorted_[0] += len(a[0] if name == "lexsort" else a)
+            return real[name](a, *args, **options)
+
+        return run
+
+    for name in real:
+        monkeypatch.setattr(np, name, counted(name))
+    random.seed(4)
+    m, size = 50, 120
+    strings = ["".join(random.choices("abcd", k=size)).encode() for _ in range(m)]
+    suffixes.sorted_suffixes(strings, suffixes.Columns(tempfile.mkdtemp(prefix="spark-")))
+    assert sorted_[0] <= 4 * m * size
+
+
+def test_strings_without_a_common_middle_are_not_sorted(monkeypatch):
+    random.seed(6)
+    letters = lambda k: "".join(random.choices("abcdefgh", k=k)).encode()
+    anchor, behind, before = letters(40), letters(60), letters(60)
+    strings = [letters(60) + anchor + letters(60) for _ in range(30)]
+    strings += [letters(60) + anchor + behind for _ in range(3)] + [before + anchor + letters(60), before + anchor + letters(40)]
+    seen, real = [], suffixes.sorted_suffixes
+    monkeypatch.setattr(suffixes, "sorted_suffixes", lambda s, *args: seen.extend(s) or real(s, *args))
+    n = len(strings)
+    batch = pa.RecordBatch.from_pydict(
+        {"doc_id": list(range(n)), "place": [7] * n, "gram": [s.index(anchor) for s in strings], "key": [-1] * n, "string": strings},
+        schema=pa.schema([("doc_id", pa.int64()), ("place", pa.int64()), ("gram", pa.int32()), ("key", pa.int64()), ("string", pa.binary())]),
+    )
+    found = [r for b in suffixes._collection(tempfile.mkdtemp(prefix="spark-"))(iter([batch])) for r in b.to_pylist()]
+    windows = {(r["doc_id"], r["place"] - 7 + k) for r in found for k in range(r["n"])}
+    known, expected = set(), set()
+    for i, s in enumerate(strings):
+        for k in range(len(s) - 99):
+            if s[k : k + 100] in known:
+                expected.add((i, k))
+            known.add(s[k : k + 100])
+    assert windows == expected and len(expected) > 2
+    assert len(seen) <= 6 and sum(map(len, seen)) < 6 * 130
+
+
+def test_wide_rows(monkeypatch):
+    random.seed(8)
+    strings = ["".join(random.choices("abc", k=random.randrange(1, 90))).encode() for _ in range(40)]
+    narrow = suffixes.sorted_suffixes(strings, suffixes.Columns(tempfile.mkdtemp(prefix="spark-")))
+    monkeypatch.setattr(suffixes, "_NARROW_ROWS", 0)
+    wide = suffixes.sorted_suffixes(strings, suffixes.Columns(tempfile.mkdtemp(prefix="spark-")))
+    assert all((a == b).all() for a, b in zip(narrow, wide))
