@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 from tests.compare import difference, oracle
 from tests.test_queries import SF
 
-NAMES = ["incremental_index", "read_current_generation"]
+NAMES = ["incremental_index", "read_current_generation", "search"]
 
 
 @pytest.fixture(scope="module")
