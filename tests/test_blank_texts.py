@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 from tests.compare import difference, oracle
 from tests.test_queries import SF
 
-NAMES = ["incremental_index", "read_current_generation", "search", "publish_generation", "build_index", "validate_generation"]
+NAMES = ["incremental_index", "read_current_generation", "search", "publish_generation", "build_index", "validate_generation", "write_folder_index"]
 
 
 @pytest.fixture(scope="module")
