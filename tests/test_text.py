@@ -126,3 +126,21 @@ def test_places(spark):
     assert values(spark, rows, AN.human_source_location) == [
         "第 3 页", "工作表“S”", "第 4 部分·片段 1/2", AN.UNKNOWN_PLACE, AN.UNKNOWN_PLACE, AN.UNKNOWN_PLACE, AN.UNKNOWN_PLACE, "第 2 张幻灯片",
     ]
+
+
+def test_first_terms_of_a_card_are_those_of_the_whole_text(spark):
+    from foliary.functions.text import index_terms
+    from foliary.plans import adapter as A
+
+    lead = "ab " * 650
+    texts = [
+        "", " ", None, "alphabet " * 400, "one two alphabetical", lead + "straightforward nevertheless " * 30 + "alphabetical everything somewhere",
+        lead + "exceptional" * 40 + " alphabetical everything somewhere completely", "x" * 2_500 + " alphabetical everything somewhere completely whatsoever",
+        "everything somewhere completely whatsoever alphabetical " * 60, "漢字" * 1_200 + " ﬁnancially Straße everything somewhere completely whatsoever", lead + "caf" + "e\u0301" * 60 + " everything",
+    ]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id int, text string, lang string")
+    terms = docs.withColumn("all", index_terms(F.col("text"))).select(
+        "doc_id", F.slice(F.filter("all", lambda t: F.length(t) >= 5), 1, 5).alias("topics"), F.slice(F.filter("all", lambda t: F.length(t) >= 8), 1, 3).alias("entities")
+    )
+    found = A._card_scalars(docs).select("doc_id", "topics", "entities")
+    assert sorted(found.collect()) == sorted(terms.collect())
